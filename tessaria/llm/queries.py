@@ -5,12 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaria.llm import canonical, distinctive, pii
-from tessaria.sources.tables import norm_id, table
+from tessaria.llm import canonical, distinctive, leakage, mixing, percentiles, pii, prose
+from tessaria.sources.tables import norm_id, norm_state, table
 
 REVIEWS = "olist_order_reviews_dataset"
 
 
+PS = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+WIDTH = 0.001  # days: a percentile's middle is wrong by 43 seconds at most
+
+
+def _delivery_state(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of delivery_days per state and week; an order's repeated rows count once."""
+    rows = table(spark, d, "panel").select(norm_id("order_id").alias("order_id"), norm_state("customer_state").alias("customer_state"), F.date_format("week", "yyyy-MM-dd").alias("week"), percentiles.finite(F.col("delivery_days")).alias("v"))
+    rows = rows.where(F.col("v").isNotNull()).distinct()
+    return percentiles.cell_state(rows, ["customer_state", "week"], "v", WIDTH)
+
+
+def _rounded(df: DataFrame, *groups: str) -> DataFrame:
+    return df.select(*groups, "p", "n", "rank", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round((F.col("low") + F.col("high")) / 2, 6).alias("value"), F.lit(WIDTH / 2).alias("max_error"))
+
+
+def p1_percentiles_by_state_week(spark: SparkSession, d: str) -> DataFrame:
+    groups = ["customer_state", "week"]
+    return _rounded(percentiles.percentiles(_delivery_state(spark, d), groups, PS, WIDTH), *groups)
+
+
+def p1_percentiles_by_state(spark: SparkSession, d: str) -> DataFrame:
+    """Whole span per state, from the joined states of the weeks."""
+    joined = percentiles.merge(_delivery_state(spark, d), ["customer_state"])
+    return _rounded(percentiles.percentiles(joined, ["customer_state"], PS, WIDTH), "customer_state")
+
+
+def p1_percentiles_by_quarter(spark: SparkSession, d: str) -> DataFrame:
+    """All states per quarter of the week, from the same weekly states."""
+    q = F.concat(F.substring("week", 1, 4), F.lit("Q"), F.quarter(F.col("week").cast("date")).cast("string"))
+    joined = percentiles.merge(_delivery_state(spark, d).withColumn("quarter", q), ["quarter"])
+    return _rounded(percentiles.percentiles(joined, ["quarter"], PS, WIDTH), "quarter")
+
+
 def _reviews(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, REVIEWS).select(norm_id("review_id").alias("review_id"), norm_id("order_id").alias("order_id"), "review_comment_message")
 
@@ -67,7 +100,44 @@ def p6_equal_look_groups(spark: SparkSession, d: str) -> DataFrame:
     return canonical.groups_of_equal_look(both, "id", "t")
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.withColumn("coverage", F.round("coverage", 6))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Per item: documents that leak it, the best coverage, the longest passage."""
+    return p8_leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("coverage").alias("best_coverage"), F.max("longest").alias("longest"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    sizes = mixing.sized(table(spark, d, "documents"))
+    return mixing.draw(sizes, mixing.plan(sizes, table(spark, d, "mix_targets")))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    sizes = mixing.sized(table(spark, d, "documents"))
+    shares = mixing.plan(sizes, table(spark, d, "mix_targets"))
+    return mixing.report(mixing.draw(sizes, shares), shares)
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    out = prose.judged(table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *prose.COUNTS, *[F.round(c, 6).alias(c) for c in prose.FIGURES], F.array_join("reasons", ",").alias("reasons"), "kind")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return prose.judged(table(spark, d, "documents").select("doc_id", "text")).where(F.col("kind") != "prose").select("doc_id", "kind")
+
+
 QUERIES = {
+    "p1_percentiles_by_state_week": p1_percentiles_by_state_week,
+    "p1_percentiles_by_state": p1_percentiles_by_state,
+    "p1_percentiles_by_quarter": p1_percentiles_by_quarter,
     "p3_found": p3_found,
     "p3_sanitised_reviews": p3_sanitised_reviews,
     "p3_sanitised_panel": p3_sanitised_panel,
@@ -76,5 +146,30 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_canonical_reviews": p6_canonical_reviews,
     "p6_equal_look_groups": p6_equal_look_groups,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
+    "p8_leaked_items": p8_leaked_items,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_statistics": p10_statistics,
+}
+
+
+def _percentile_sql(group: str, columns: str) -> str:
+    return f"""
+WITH v AS (SELECT DISTINCT lower(trim(order_id)) AS id, nullif(upper(trim(customer_state)), '') AS customer_state, strftime(week AT TIME ZONE 'UTC', '%Y-%m-%d') AS week, delivery_days AS v
+           FROM panel WHERE NOT isnan(delivery_days) AND NOT isinf(delivery_days)),
+g AS (SELECT {group}, floor(v / {WIDTH})::BIGINT AS cell FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY {columns} ORDER BY cell) AS k, count(*) OVER (PARTITION BY {columns}) AS n FROM g),
+p AS (SELECT unnest([{", ".join(f"{p}::DOUBLE" for p in PS)}]) AS p)
+SELECT {columns}, p, n, k AS rank, round(cell * {WIDTH}::DOUBLE, 6) AS low, round((cell + 1) * {WIDTH}::DOUBLE, 6) AS high,
+       round((cell * {WIDTH}::DOUBLE + (cell + 1) * {WIDTH}::DOUBLE) / 2, 6) AS value, {WIDTH / 2}::DOUBLE AS max_error
+FROM r JOIN p ON k = greatest(ceil(p * n), 1)"""
+
+
+SQL = {
+    "p1_percentiles_by_state_week": _percentile_sql("customer_state, week", "customer_state, week"),
+    "p1_percentiles_by_state": _percentile_sql("customer_state", "customer_state"),
+    "p1_percentiles_by_quarter": _percentile_sql("concat(week[1:4], 'Q', quarter(week::DATE)) AS quarter", "quarter"),
 }
-SQL: dict[str, str] = {}
