@@ -33,8 +33,9 @@ def postings(df: DataFrame, record: str, text: str, pattern: str = LETTERS) -> D
     rows = rows.select(F.col(record).alias("record"), F.array_sort(terms(F.col(text), pattern)).alias("t"))
     # runs of equal terms in the sorted array: a term ends where the next one differs
     n = F.size("t")
-    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.element_at("t", i.cast("int")) != F.try_element_at(F.col("t"), (i + 1).cast("int"))))
-    rows = rows.where(n > 0).withColumn("e", ends)
+    at = lambda i: F.try_element_at(F.col("t"), i.cast("int"))
+    ends = F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == n) | (at(i) != at(i + 1))))
+    rows = rows.withColumn("e", ends)
     rows = rows.select("record", "t", F.posexplode("e").alias("p", "end"), "e").select(
         "record", F.element_at("t", F.col("end").cast("int")).alias("term"), (F.col("end") - F.when(F.col("p") > 0, F.try_element_at("e", F.col("p"))).otherwise(0)).alias("tf")
     )
