@@ -67,13 +67,31 @@ def skeleton(text: str) -> str:
     return " ".join(unicodedata.normalize("NFD", twin).split())
 
 
+_NOT_PLAIN = re.compile(NOT_PLAIN)
 _JOINED = re.compile("(?<=[‼-㊙\U0001f000-\U0001faff️])[‍️]+")
 
 
+#: Latin-1 bytes that are their own canonical form, and the line break.
+_OWN_BYTES = bytes([10, *range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
+
+
+def _plain_latin(text: str) -> str | None:
+    """The canonical form of a text of plain Latin-1 letters, without looking at single characters; else None."""
+    if "  " in text:
+        return None
+    try:
+        odd = text.encode("latin-1").translate(None, _OWN_BYTES)
+    except UnicodeEncodeError:
+        return text.strip(" ") if not _NOT_PLAIN.search(text) else None
+    if odd:
+        return None
+    return text.strip(" ") if "\n" not in text else "\n".join(x.strip(" ") for x in text.split("\n"))
+
+
 def clean(text: str) -> str:
     """The one form that a text is brought to; line breaks and the inside of emoji are kept."""
-    if text.isascii() and "\t" not in text and "  " not in text and text.isprintable():
-        return text.strip(" ")
+    if (known := _plain_latin(text)) is not None:
+        return known
     lines = []
     for line in re.split("\r\n|[\n\r  \x85\x0b\x0c]", text):
         out, i = [], 0

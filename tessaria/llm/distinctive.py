@@ -5,62 +5,105 @@
 df records of N hold the term, cf times in all. The second part is the idf that a Poisson model expects from cf alone,
 so a term spread evenly scores about 0 and one concentrated in few records scores high.
 
-Scale: terms are counted inside each row before anything is shuffled. Postings (record, term, tf) make one exchange,
-the statistics (df, cf) of a term are summed from them with map-side partial sums, and postings are joined back to
-them. Filters on tf and df are applied before that join. The vocabulary is broadcast only below a checked size; beyond
-it the join is a shuffle whose hot terms adaptive execution splits.
+Scale: a record's rows are reduced to its distinct texts (one exchange of the texts), then one Arrow pass counts terms
+inside each text. Postings are never grouped across rows for the statistics: df and cf are summed inside each batch and
+leave it as one row per term. Only records whose rows carry different texts (found by comparing hashes first) go through
+an exact grouping by record and term. Postings below the asked tf are not even emitted. The statistics are joined back
+by broadcast below a checked size; beyond it by a shuffle whose hot terms adaptive execution splits.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessaria.llm.canonical import clean
+from tessaria.plans.materialize import cut, small_side
+
+LEAST_LETTERS = 4
+MAX_BROADCAST_ROWS = 200_000
+_LETTERS = re.compile(r"[^\W\d_]+")
+FLUSH = 100_000
+
+
+def terms(text: str, least: int = LEAST_LETTERS) -> list[str]:
+    """Longest runs of letters of the cleaned text, in lower case, at least so long."""
+    return [w for w in _LETTERS.findall(clean(text).lower()) if len(w) >= least]
+
+
+_COUNTED = T.StructType(
+    [T.StructField("record", T.StringType()), T.StructField("term", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("tf", "df", "cf")] + [T.StructField("open", T.BooleanType())]
+)
 
-from tessaria.llm.canonical import clean_text
 
-LETTERS = r"\p{L}{4,}"
-MAX_BROADCAST_TERMS = 200_000
+def _count(min_tf: int, least: int) -> Callable:
+    """Rows of three kinds: statistics of a batch (record null), postings of single-text records from min_tf on, and all
+    postings of records with several texts (open)."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, cf = Counter(), Counter()
 
-def terms(text: Column, pattern: str = LETTERS) -> Column:
-    """The terms of a cleaned text in lower case."""
-    return F.regexp_extract_all(F.lower(clean_text(text)), F.lit(pattern), F.lit(0))
+        def sums() -> pd.DataFrame:
+            out = pd.DataFrame({"record": None, "term": list(df), "tf": 0, "df": list(df.values()), "cf": [cf[t] for t in df], "open": False}, columns=_COUNTED.names)
+            df.clear()
+            cf.clear()
+            return out
 
+        for batch in batches:
+            rows = []
+            for record, text, several in zip(batch["record"], batch["text"], batch["several"]):
+                found = terms(text, least)
+                if several:
+                    rows += [(record, t, n, 0, 0, True) for t, n in Counter(found).items()]
+                    continue
+                cf.update(found)
+                once = set(found)
+                df.update(once)
+                if min_tf <= 1 or len(once) < len(found):
+                    rows += [(record, t, n, 0, 0, False) for t, n in Counter(found).items() if n >= min_tf]
+            if rows:
+                yield pd.DataFrame(rows, columns=_COUNTED.names)
+            if len(df) > FLUSH:
+                yield sums()
+        if df:
+            yield sums()
 
-def postings(df: DataFrame, record: str, text: str, pattern: str = LETTERS) -> DataFrame:
-    """(record, term, tf). Rows of one record are copies of each other: tf is the largest over them."""
-    rows = df.where(F.col(record).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
-    rows = rows.select(F.col(record).alias("record"), F.array_sort(terms(F.col(text), pattern)).alias("t"))
-    # runs of equal terms in the sorted array: a term ends where the next one differs
-    n = F.size("t")
-    at = lambda i: F.try_element_at(F.col("t"), i.cast("int"))
-    ends = F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == n) | (at(i) != at(i + 1))))
-    rows = rows.withColumn("e", ends)
-    rows = rows.select("record", "t", F.posexplode("e").alias("p", "end"), "e").select(
-        "record", F.element_at("t", F.col("end").cast("int")).alias("term"), (F.col("end") - F.when(F.col("p") > 0, F.try_element_at("e", F.col("p"))).otherwise(0)).alias("tf")
-    )
-    return rows.groupBy("record", "term").agg(F.max("tf").alias("tf"))
+    return run
 
 
 def residual_idf(df_: Column, cf: Column, n: Column) -> Column:
     return -F.log2(df_ / n) + F.log2(1 - F.exp(-cf / n))
 
 
-def scores(df: DataFrame, record: str, text: str, pattern: str = LETTERS, min_tf: int = 1, min_df: int = 1, max_df: int | None = None) -> DataFrame:
+def scores(df: DataFrame, record: str, text: str, min_tf: int = 1, min_df: int = 1, max_df: int | None = None, least: int = LEAST_LETTERS) -> DataFrame:
     """(record, term, tf, df, cf, ridf, score) of every posting within the given bounds.
 
     N counts the records with text, df and cf are over all of them. Records with a null id, null, empty or invisible
-    text have no terms; an empty table gives no rows; a term repeated in a record counts in tf and cf, repeated rows of
-    a record count once; other columns are ignored.
+    text have no terms; an empty table gives no rows; a term repeated in a record counts in tf and cf; repeated rows of
+    a record count once, and where its rows carry different texts a term's tf is the largest of them; other columns are
+    ignored.
     """
-    posts = postings(df, record, text, pattern)
-    stats = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    rows = df.where(F.col(record).isNotNull() & F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(record).cast("string").alias("record"), F.col(text).alias("text"))
+    texts = F.xxhash64("text")
+    per = rows.groupBy("record").agg(F.min(texts).alias("a"), F.max(texts).alias("z"))
+    seen = cut(per.groupBy(F.when(F.col("a") != F.col("z"), F.col("record")).alias("several")).agg(F.count(F.lit(1)).alias("n")))
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"))
+    several = seen.where("several IS NOT NULL").select(F.col("several").alias("_r"), F.lit(True).alias("several"))
+    flagged = rows.distinct().join(small_side(several, MAX_BROADCAST_ROWS), F.col("record") == F.col("_r"), "left").select("record", "text", F.coalesce("several", F.lit(False)).alias("several"))
+    counted = cut(flagged.mapInPandas(_count(min_tf, least), _COUNTED))
+    merged = counted.where("open").groupBy("record", "term").agg(F.max("tf").alias("tf"))
+    stats = counted.where("record IS NULL").select("term", "df", "cf").unionByName(merged.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
+    stats = stats.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     bound = F.col("df") >= min_df
     if max_df is not None:
         bound &= F.col("df") <= max_df
-    filled = df.where(F.col(record).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
-    total = filled.select(record).distinct().agg(F.count(F.lit(1)).alias("N"))
-    kept = posts.where(F.col("tf") >= min_tf).join(stats.where(bound), "term")
-    kept = kept.join(F.broadcast(total))  # one row
+    posts = counted.where("record IS NOT NULL AND NOT open").select("record", "term", "tf").unionByName(merged.where(F.col("tf") >= min_tf))
+    kept = posts.join(small_side(cut(stats.where(bound)), MAX_BROADCAST_ROWS), "term").crossJoin(F.broadcast(total))  # total is one row
     ridf = residual_idf(F.col("df"), F.col("cf"), F.col("N"))
     return kept.select("record", "term", "tf", "df", "cf", ridf.alias("ridf"), (F.col("tf") * ridf).alias("score"))
