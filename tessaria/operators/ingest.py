@@ -88,7 +88,7 @@ def column_stats(values: DataFrame) -> DataFrame:
         F.min(number).alias("low"),
         F.max(number).alias("high"),
         (F.sum(number * n) / F.sum(F.when(number.isNotNull(), n))).alias("mean_number"),
-        F.sqrt(F.greatest(F.lit(0.0), F.sum(number * number * n) / F.sum(F.when(number.isNotNull(), n)) - F.pow(F.sum(number * n) / F.sum(F.when(number.isNotNull(), n)), F.lit(2)))).alias("sd_number"),
+        F.when(F.count(number) > 0, F.sqrt(F.greatest(F.lit(0.0), F.sum(number * number * n) / F.sum(F.when(number.isNotNull(), n)) - F.pow(F.sum(number * n) / F.sum(F.when(number.isNotNull(), n)), F.lit(2))))).alias("sd_number"),
         F.coalesce(F.sum(F.when(number >= 0, n)) / F.sum(F.when(number.isNotNull(), n)), F.lit(0.0)).alias("positive_share"),
         mean(F.length(v)).alias("mean_length"),
         mean(F.regexp_count(v, F.lit(r"\s+")) + 1).alias("mean_words"),
