@@ -30,19 +30,26 @@ from tessaria.llm.canonical import clean
 LEAST = 12
 BLOCK_WORDS = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_WORD = re.compile(r"[^\W_]+")
+_WORD, _MARK = re.compile(r"[^\W_]+"), re.compile("[\u0300-\u036f]")
 
 
-def words(text: str) -> list[str]:
-    """Longest runs of letters or digits of the canonical text, in lower case without accents."""
+def _bare(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+
+
+def written_words(text: str) -> list[str]:
+    """Longest runs of letters or digits of the canonical text in lower case, accents kept (composed)."""
     text = clean(text).lower()
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    return _WORD.findall(text)
+    return _WORD.findall(_bare(text) if _MARK.search(text) else text)
+
+
+def words(text: str) -> list[str]:
+    """The same without accents: what is compared."""
+    return [w if w.isascii() else _bare(w) for w in written_words(text)]
 
 
 class WordCodes:
-    """64-bit codes of words, the same on every machine; a bounded cache."""
+    """64-bit codes of words without accents, the same on every machine; a bounded cache of written words."""
 
     def __init__(self, most: int = 500_000) -> None:
         self.known: dict[str, int] = {}
@@ -56,7 +63,7 @@ class WordCodes:
         for w in ws:
             c = known.get(w)
             if c is None:
-                c = known[w] = xxhash.xxh64_intdigest(w)
+                c = known[w] = xxhash.xxh64_intdigest(_bare(w))
             out.append(c)
         return np.array(out, np.uint64)
 
@@ -149,8 +156,10 @@ def _scan(shared) -> Callable:
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ws = words(text)
-                for k, seeds in items.seeds(codes.of(ws)).items():
+                written = written_words(text)
+                hits = items.seeds(codes.of(written))
+                ws = [_bare(w) for w in written] if hits else []
+                for k, seeds in hits.items():
                     tiles = tile(ws, items.words[k], seeds, items.least)
                     if tiles:
                         rows.append((doc_id, items.ids[k], len(tiles), tiles[0][2], sum(t[2] for t in tiles), len(items.words[k])))
