@@ -72,7 +72,7 @@ NUMBER = re.compile(
     r")(?![\w]|[-/.]\d)"
 )
 CEP = re.compile(r"\d{5}-\d{3}(?!\d)")
-WORD = re.compile(r"[a-z]+(?:\.[a-z]+)*")
+WORD, DIGIT = re.compile(r"[a-z]+(?:\.[a-z]+)*"), re.compile(r"\d")
 NAME_WORD = re.compile(r"[a-z]+")
 _NOT_PLAIN = re.compile(NOT_PLAIN.removesuffix("|  "))
 _FOLD = {c: d[0] for c in range(0xC0, 0x180) if len(d := unicodedata.normalize("NFD", chr(c)).lower()) > 1 or d.isascii()}
@@ -103,8 +103,10 @@ def folded(text: str) -> str:
 
 
 def words_before(f: str, start: int) -> list[str]:
-    """The two nearest words in front of a place that carry meaning, the nearest first, each with its distance."""
-    found = [w for w in WORD.findall(f[max(0, start - 40) : start]) if len(w) > 2 or w in SHORT_CUES]
+    """The two nearest words with a meaning between the number before and a place, the nearest first, with distances."""
+    near = f[max(0, start - 40) : start]
+    digits = [m.end() for m in DIGIT.finditer(near)]
+    found = [w for w in WORD.findall(near[digits[-1] if digits else 0 :]) if len(w) > 2 or w in SHORT_CUES]
     return [f"{w}@{d}" for d, w in enumerate(reversed(found[-2:]), 1)]
 
 
