@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,22 +34,32 @@ TERMINAL = ".!?…:;\"”’»)"
 BULLET = re.compile(r"^(?:[-*•·–—+>▪◦‣]|\[[ xX]?\]|\(?\d{1,3}[.)]|\(?[a-zA-Z]{1,2}\))\s+")
 WORD, SIGN = re.compile(r"[^\W\d_]+"), re.compile(r"[^\W_]")
 SHORT_LINE, RUN = 7, 6
-SPLIT = {"tab": re.compile(r"\t"), "semicolon": re.compile(r";"), "bar": re.compile(r"\|"), "comma": re.compile(r" , |,(?=\S)"), "gap": re.compile(r" {2,}")}
+SPLIT = {"\t": re.compile(r"\t"), ";": re.compile(r";"), "|": re.compile(r"\|"), ",": re.compile(r" , |,(?=\S)"), "  ": re.compile(r" {2,}")}
 
 COUNTS = ("n_chars", "n_words", "n_lines")
 FIGURES = (
-    "mean_word_length", "symbol_ratio", "letter_share", "letter_word_share", "terminal_line_share", "bullet_line_share", "short_line_word_share", "words_per_line",
+    "mean_word_length", "symbol_ratio", "letter_share", "terminal_line_share", "bullet_line_share", "short_line_word_share", "words_per_line",
     "common_word_share", "repeated_line_share", "distinct_word_share", "top_bigram_share", "repeated_run_share", "vowel_word_share",
     "symbol_word_share", "field_line_share", "fields_per_line", "words_per_field",
 )
 STATS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField(c, T.DoubleType()) for c in FIGURES])
+SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-–—“”‘’%/$ªº]|_")
+BARE = re.compile(r"(?<!\S)(?:[^\w\s]|_)+(?!\S)")
 VOWELS = re.compile("[aeiouyà-æè-ïò-öù-ýāēīōū]")
 
 
+@lru_cache(maxsize=200_000)
+def has_vowel(word: str) -> bool:
+    return VOWELS.search(word) is not None
+
+
 def fields(lines: list[str]) -> tuple[float, float, float]:
     """Share of lines that one separator cuts into the same number of fields, that number, and words per field."""
     best = (0.0, 0.0, 0.0)
-    for pattern in SPLIT.values():
+    text = "\n".join(lines)
+    for sign, pattern in SPLIT.items():
+        if sign not in text:
+            continue
         cuts = [len(pattern.findall(x)) for x in lines]
         usual = Counter(c for c in cuts if c).most_common(1)
         if usual:
@@ -76,9 +87,8 @@ def statistics(text: str | None) -> tuple:
     return (
         len(text), n, len(lines),
         letters / n if n else 0.0,
-        sum(1 for c in text if not (c.isalnum() or c.isspace() or c in ".,;:!?'\"()-–—“”‘’%/$ªº")) / max(1, len(tokens)),
+        len(SYMBOL.findall(text)) / len(tokens),
         letters / shown,
-        sum(1 for t in tokens if WORD.search(t)) / len(tokens),
         sum(1 for x in lines if x.rstrip()[-1] in TERMINAL) / len(lines),
         sum(1 for x, b in zip(lines, bare) if b != x.strip()) / len(lines),
         short / max(1, sum(sizes)),
@@ -88,8 +98,8 @@ def statistics(text: str | None) -> tuple:
         len(set(words)) / n if n else 0.0,
         max(pairs.values()) / (n - 1) if n > 1 else 0.0,
         1 - len(set(runs)) / len(runs) if runs else 0.0,
-        sum(1 for w in words if VOWELS.search(w)) / n if n else 0.0,
-        sum(1 for t in tokens if not SIGN.search(t)) / len(tokens),
+        sum(map(has_vowel, words)) / n if n else 0.0,
+        len(BARE.findall(text)) / len(tokens),
         *fields([b.strip(" ;,|\r") if "\t" not in b else b for b in bare]),
     )
 
