@@ -68,7 +68,7 @@ def skeleton(text: str) -> str:
 
 
 _NOT_PLAIN = re.compile(NOT_PLAIN)
-_JOINED = re.compile("(?<=[‼-㊙\U0001f000-\U0001faff️])[‍️]+")
+_JOINED = re.compile("(?<=[\u2600-\u27bf\u2b00-\u2bff\U0001f000-\U0001faff])[\u200d\ufe0f]+")
 
 
 #: Latin-1 bytes that are their own canonical form, and the line break.
