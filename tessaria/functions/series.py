@@ -36,7 +36,7 @@ def robust_baseline(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def with_z(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Adds center, scale, z (0 where the value is missing or there is no spread) and the control limits."""
     base = robust_baseline(series, keys)
-    s = series.join(F.broadcast(base), list(keys)) if keys else series.crossJoin(F.broadcast(base))  # one row per series
+    s = series.join(base, list(keys)) if keys else series.crossJoin(F.broadcast(base))  # without keys it is one row
     z = F.when((F.col("scale") > 0) & F.col("value").isNotNull(), (F.col("value") - F.col("center")) / F.col("scale")).otherwise(0.0)
     return s.withColumn("z", z).withColumn("lower", F.col("center") - BAND_SIGMA * F.col("scale")).withColumn("upper", F.col("center") + BAND_SIGMA * F.col("scale"))
 
@@ -72,7 +72,7 @@ def event_core(z: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def event_window(z: DataFrame, core: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """z with `role`: 'event' for the core widened over neighbours beyond one sigma on its side, 'buffer' for two rows
     around it, else 'baseline'. Series without a core are dropped."""
-    s = z.join(F.broadcast(core), list(keys)) if keys else z.crossJoin(F.broadcast(core))  # one row per series
+    s = z.join(core, list(keys)) if keys else z.crossJoin(F.broadcast(core))  # without keys it is one row
     sign = F.when(F.col("direction") == "down", -1).otherwise(1)
     in_core = (F.col("i") >= F.col("start_i")) & (F.col("i") <= F.col("end_i"))
     s = islands(s, (sign * F.col("z") >= WIDEN_SIGMA) | in_core, keys, "wide")

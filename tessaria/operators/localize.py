@@ -131,8 +131,8 @@ def did_groups(moments: DataFrame, exposure: str, least: int = MIN_SEGMENT_N, di
 
 
 def did_cells(panel: DataFrame, groups: DataFrame, segment: str, outcome: str) -> DataFrame:
-    """(grp, role, n, mean, var) of an outcome. groups has at most two rows per segment value kept."""
-    rows = panel.where(F.col("role").isNotNull()).withColumn("segment", F.col(segment).cast("string")).join(F.broadcast(groups), "segment")
+    """(grp, role, n, mean, var) of an outcome."""
+    rows = panel.where(F.col("role").isNotNull()).withColumn("segment", F.col(segment).cast("string")).join(groups, "segment")
     x = F.nanvl(F.col(outcome).cast("double"), F.lit(None).cast("double"))
     return rows.groupBy("grp", "role").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"))
 
@@ -147,7 +147,7 @@ def did_estimate(cells: DataFrame) -> DataFrame:
 
 def parallel_trend(panel: DataFrame, groups: DataFrame, segment: str, outcome: str, last: int = 12) -> DataFrame:
     """One row: slope of the difference of both groups' weekly means over the last weeks of the baseline."""
-    rows = panel.where(F.col("role") == "baseline").withColumn("segment", F.col(segment).cast("string")).join(F.broadcast(groups), "segment")
+    rows = panel.where(F.col("role") == "baseline").withColumn("segment", F.col(segment).cast("string")).join(groups, "segment")
     w = rows.groupBy("week").agg(F.avg(F.when(F.col("grp") == "treat", F.col(outcome))).alias("t"), F.avg(F.when(F.col("grp") == "control", F.col(outcome))).alias("c"))
     w = w.withColumn("k", F.row_number().over(Window.orderBy(F.col("week").desc()))).where(F.col("k") <= last)
     return w.where("t IS NOT NULL AND c IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.regr_slope(F.col("t") - F.col("c"), -F.col("k")).alias("slope"))

@@ -193,7 +193,7 @@ def systemic(c: Context) -> dict:
     if scan.count() < 3:
         return verdict("systemic", "systemic")
     u = localize.uniformity(scan).first().asDict()
-    return verdict("systemic", "systemic", u["supported"], (u["uniformity"], NEUTRAL, u["uniformity"], u["same_direction"]), column=c.segments[0], **u)
+    return verdict("systemic", "systemic", u["supported"], (u["uniformity"], NEUTRAL, u["uniformity"], u["same_direction"]), column=c.segments[0], even=u["uniformity"], same_direction=u["same_direction"])
 
 
 def wording(c: Context) -> dict:

@@ -1,48 +1,60 @@
+import pytest
+
 from tessaria.operators import quality
 
 SCHEMA = "feed_id int, load_no int, order_id string, order_date string, region string, category string, amount double, quantity int, customer_feedback string, value string, n int"
+NAN = float("nan")
 
 
-def rows(load, n, region="A", amount=None, order="o-1", date="2024-01-01", feedback="fine words"):
-    return [(1, load, f"{order}{i % 10}", date, region if isinstance(region, str) or region is None else region(i), "c", float(i) if amount is None else amount(i), 1, feedback, "clash", 9) for i in range(n)]
+def rows(feed, load, n=20, region="A", amount=None, date="2024-01-01"):
+    return [(feed, load, f"o-1{i % 10}", date, region if isinstance(region, str) or region is None else region(i), "c", float(i) if amount is None else amount(i), 1, "fine words", "clash", 9) for i in range(n)]
 
 
-def found(spark, data, recorded=None):
-    df = spark.createDataFrame(data, SCHEMA)
-    rec = spark.createDataFrame(recorded, "feed_id int, load_no int, name string, role string, dtype string, n_unique long, null_rate double") if recorded else None
-    return {(r.load_no, r.column_name, r.issue) for r in quality.issues(df, rec).collect()}
+def base(feed):
+    return [r for load in (1, 2, 3) for r in rows(feed, load)]
 
 
-def base():
-    return [r for load in (1, 2, 3) for r in rows(load, 20)]
+# per case: the later load of a feed of its own, and what must be found there
+CASES = {
+    "clean": (rows(1, 4), set()),
+    "missing": (rows(2, 4, region=lambda i: "A" if i < 16 else ["", "  ", "N/A", None][i % 4]), {("region", "missing")}),
+    "pattern": (rows(3, 4, date="01/01/2024"), {("order_date", "pattern")}),
+    "value_set": (rows(4, 4, region=lambda i: "B" if i == 0 else "A"), {("region", "value_set")}),
+    "nan": (rows(5, 4, amount=lambda i: NAN if i < 10 else float(i - 10)), {("amount", "missing"), ("amount", "distribution")}),
+    "range": (rows(6, 4, amount=lambda i: 1e6 if i < 2 else float(i)), {("amount", "range")}),
+    "distribution": (rows(7, 4, region=lambda i: "ABCDEF"[i % 6]), {("region", "value_set"), ("region", "distribution")}),
+    "all_missing": (rows(8, 4, region=None), {("region", "missing"), ("region", "value_set")}),
+    "recorded": (rows(9, 4), {("region", "role"), ("region", "n_unique"), ("region", "null_rate")}),
+    "repeated_rows": (rows(10, 4) * 2, set()),
+}
+RECORDED = [
+    (9, 1, "region", "segment", "o", 1, 0.0), (9, 4, "region", "measure", "o", 2, 0.5), (9, 4, "region", "measure", "o", 2, 0.5), (9, 4, "amount", None, "o", None, None), (9, 4, None, "x", "o", 1, 0.0), (11, 9, "region", "x", "o", 1, 0.0),
+]
 
 
-def test_clean_loads_have_no_issue(spark):
-    assert found(spark, base() + rows(4, 20)) == set()
+@pytest.fixture(scope="module")
+def found(spark):
+    data = [r for k, (later, _) in CASES.items() for r in base(later[0][0]) + later] + rows(12, 4)  # feed 12 has no base
+    rec = spark.createDataFrame(RECORDED, "feed_id int, load_no int, name string, role string, dtype string, n_unique long, null_rate double")
+    return quality.issues(spark.createDataFrame(data, SCHEMA), rec).collect()
 
 
-def test_each_issue(spark):
-    assert found(spark, base() + rows(4, 20, region=lambda i: "A" if i < 16 else ["", "  ", "N/A", None][i % 4])) == {(4, "region", "missing")}
-    assert found(spark, base() + rows(4, 20, date="01/01/2024")) == {(4, "order_date", "pattern")}
-    assert found(spark, base() + rows(4, 20, region=lambda i: "B" if i == 0 else "A")) == {(4, "region", "value_set")}
-    assert found(spark, base() + rows(4, 20, amount=lambda i: float("nan") if i < 10 else float(i - 10))) == {(4, "amount", "missing"), (4, "amount", "distribution")}
-    assert (4, "amount", "range") in found(spark, base() + rows(4, 20, amount=lambda i: 1e6 if i < 2 else float(i)))
-    assert (4, "region", "distribution") in found(spark, base() + rows(4, 20, region=lambda i: "ABCDEF"[i % 6]))
+@pytest.mark.parametrize("case", CASES)
+def test_issues(found, case):
+    later, want = CASES[case]
+    assert {(r.column_name, r.issue) for r in found if r.feed_id == later[0][0]} == want
 
 
-def test_recorded_profile(spark):
-    rec = [(1, 1, "region", "segment", "o", 1, 0.0), (1, 4, "region", "measure", "o", 2, 0.5), (1, 4, "region", "measure", "o", 2, 0.5), (1, 4, "amount", None, "o", None, None), (1, 9, "region", "x", "o", 1, 0.0)]
-    assert found(spark, base() + rows(4, 20), rec) == {(4, "region", "role"), (4, "region", "n_unique"), (4, "region", "null_rate"), (9, "region", "role")}  # load 9 has no rows
+def test_no_base_and_no_repeats(found):
+    assert not [r for r in found if r.feed_id in (11, 12)] and len(found) == len(set(found))
 
 
-def test_empty_table_and_missing_base(spark):
-    assert found(spark, []) == set()
-    assert found(spark, rows(4, 20)) == set()
-    assert found(spark, base() + rows(4, 20, region=None)) == {(4, "region", "missing"), (4, "region", "value_set")}
+def test_empty_table(spark):
+    assert quality.issues(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_states_of_parts_merge_to_the_state_of_all(spark):
-    a, b = spark.createDataFrame(base(), SCHEMA), spark.createDataFrame(rows(4, 20), SCHEMA)
+    a, b = spark.createDataFrame(base(1), SCHEMA), spark.createDataFrame(rows(1, 4), SCHEMA)
     parts = quality.merge_states(quality.value_state(a), quality.value_state(b))
     whole = quality.value_state(a.unionByName(b))
     assert sorted(map(repr, parts.collect())) == sorted(map(repr, whole.select(parts.columns).collect()))
