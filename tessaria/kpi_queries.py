@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaria.functions import fdr, series, tests
+from tessaria.functions.labels import STATES, label
 from tessaria.functions.text import MARKED, PLAIN, STOP, TOPICS, normalised, words, words_and_pairs
 from tessaria.operators import integrity, localize
 from tessaria.operators import panel as P
@@ -91,7 +92,7 @@ def topic_counts(spark, d):
 
 
 def region_options(spark, d):
-    return P.region_options(_panel(spark, d))
+    return P.region_options(_panel(spark, d)).withColumn("label", label(F.col("customer_state")))
 
 
 def robust_baseline(spark, d):
@@ -385,6 +386,8 @@ _PAIRS = "list_transform(range(1, len({0})), lambda k: {0}[k] || ' ' || {0}[k +
 TEXTS = f"texts AS (SELECT {_NORM.format('customer_feedback')} AS norm FROM upload_records WHERE customer_feedback IS NOT NULL), ws AS (SELECT {_WORDS.format('norm')} AS w FROM texts)".replace("{{", "{").replace("}}", "}")
 _P2 = lambda xe, ne, xb, nb: f"{xe} / {ne} - {xb} / {nb} AS estimate, ({xe} / {ne} - {xb} / {nb}) / sqrt(({xe} + {xb}) / ({ne} + {nb}) * (1 - ({xe} + {xb}) / ({ne} + {nb})) * (1 / {ne} + 1 / {nb})) AS z"
 
+_LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATES.items())
+
 
 def rounded(sql: str, doubles: str) -> str:
     """sql with the named columns rounded to six digits."""
@@ -412,7 +415,7 @@ SQL = {
         ", ".join(f"topic_{t}" for t in TOPICS),
     ),
     "topic_counts": f"WITH {PANEL} " + " UNION ALL ".join(f"SELECT '{t}' AS topic, sum(topic_{t})::BIGINT AS hits, count(*) AS total FROM orders_panel WHERE delivered AND has_text" for t in TOPICS),
-    "region_options": f"WITH {PANEL} SELECT customer_state, count(*) AS orders FROM orders_panel WHERE delivered AND customer_state IS NOT NULL GROUP BY 1",
+    "region_options": f"WITH {PANEL} SELECT customer_state, count(*) AS orders, CASE customer_state {_LABELS} ELSE customer_state END AS label FROM orders_panel WHERE delivered AND customer_state IS NOT NULL GROUP BY 1",
     "robust_baseline": rounded(f"WITH {SERIES} SELECT n, center, scale FROM base", "center, scale"),
     "weekly_z": rounded(f"WITH {SERIES} SELECT i, week, value, z FROM zs", "value, z"),
     "control_limits": rounded(f"WITH {SERIES} SELECT center, scale, center - 3 * scale AS lower, center + 3 * scale AS upper FROM base", "center, scale, lower, upper"),
