@@ -56,13 +56,18 @@ def verdict(agent: str, family: str, supported: bool = False, parts: Sequence[fl
     return {"agent": agent, "family": family, "supported": bool(supported), "score": tests.composite_score(*parts), "components": dict(zip(names, map(clip, parts))), "evidence": evidence}
 
 
+def local(df: DataFrame) -> DataFrame:
+    """A table of one row per week as a local one of one partition: windows over it need no exchange."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema).coalesce(1)
+
+
 def triage(panel: DataFrame, weekly: DataFrame, metric: str, population=None) -> dict:
     """NO_BASELINE, NOISE or SIGNAL with windows, direction, sizes and the test on rows (or weekly values)."""
     s = series.indexed(weekly, metric)
-    known = [r["value"] for r in s.where("value IS NOT NULL").orderBy("i").collect()]  # one per week
+    known = [r["value"] for r in sorted(s.collect(), key=lambda r: r["i"]) if r["value"] is not None]  # one per week
     if len(known) < series.MIN_HISTORY:
         return {"verdict": "NO_BASELINE", "rule": f"only {len(known)} periods", "event_value": known[-1] if known else None, "baseline_value": sum(known) / len(known) if known else None, "delta": 0.0, "event_weeks": [], "baseline_weeks": []}
-    z = series.with_z(s)
+    z = local(series.with_z(s))
     core = series.event_core(z).collect()
     if not core:
         worst = z.orderBy(F.abs("z").desc(), "i").first()
@@ -297,7 +302,7 @@ def investigate(panel: DataFrame, metric: str = "review_score", states: Sequence
         panel = panel.where(F.col("week") >= F.lit(week_from).cast("date"))
     if week_to:
         panel = panel.where(F.col("week") <= F.lit(week_to).cast("date"))
-    weekly = P.weekly(panel).persist()
+    weekly = local(P.weekly(panel))
     population = None if metric == "cancellation_rate" else F.col("delivered")
     c = Context(panel, weekly, metric, ["customer_state"], population)
     gate = integrity.gate(panel, metric if metric in panel.columns else None, ["customer_state", "order_status"], ["order_value", "review_score", "order_delivered_customer_date"])
@@ -306,10 +311,7 @@ def investigate(panel: DataFrame, metric: str = "review_score", states: Sequence
     def explain(c: Context) -> list[dict]:
         return [fulfilment(c), customer_voice(c), demand(c), data_feed(c, ["order_value", "review_score", "on_time", "delivery_days"], 0.05)]
 
-    try:
-        return _run(c, gate, explain, lambda c: challenges(c, "customer_state", "review_score", "on_time", localize.MIN_SEGMENT_N, 4, 3), log)
-    finally:
-        weekly.unpersist()
+    return _run(c, gate, explain, lambda c: challenges(c, "customer_state", "review_score", "on_time", localize.MIN_SEGMENT_N, 4, 3), log)
 
 
 def investigate_table(df: DataFrame, metric: str | None = None, log: Callable[[str], None] = lambda s: None) -> dict:
@@ -318,7 +320,7 @@ def investigate_table(df: DataFrame, metric: str | None = None, log: Callable[[s
     keys = [m["key"] for m in p.metrics]
     metric = metric if metric in keys else keys[0]
     panel = ingest.generic_panel(df, p)
-    weekly = ingest.generic_weekly(panel, p).persist()
+    weekly = local(ingest.generic_weekly(panel, p))
     gate = integrity.gate(panel, metric if metric in panel.columns else None, p.segments, [c for c in p.measures if c in panel.columns])
     log("integrity")
     c = Context(panel, weekly, metric, p.segments if metric in panel.columns else [], None, "_text" if p.text else None)
@@ -329,7 +331,4 @@ def investigate_table(df: DataFrame, metric: str | None = None, log: Callable[[s
     def challenge(c: Context) -> dict:
         return challenges(c, c.segments[0], metric, metric, GENERIC_LEAST, 3, 1) if c.segments else {"challenges": [], "survived": False}
 
-    try:
-        return {"profile": {"rows": p.rows, "roles": {x.name: x.role for x in p.columns}, "metrics": keys}} | _run(c, gate, explain, challenge, log)
-    finally:
-        weekly.unpersist()
+    return {"profile": {"rows": p.rows, "roles": {x.name: x.role for x in p.columns}, "metrics": keys}} | _run(c, gate, explain, challenge, log)

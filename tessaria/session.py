@@ -6,11 +6,13 @@ import os
 
 from pyspark.sql import SparkSession
 
+from tessaria.plans.ship import ship
+
 
 def local_session(name: str = "tessaria", cpus: int | None = None, memory: str = "12g") -> SparkSession:
     """A local session with UTC, AQE and as many shuffle partitions as cores."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.driver.memory", memory)
@@ -22,3 +24,5 @@ def local_session(name: str = "tessaria", cpus: int | None = None, memory: str =
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
