@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessaria.functions import tests
 from tessaria.functions.series import recent_and_prior
+from tessaria.plans.parallel import at_once
 
 VOLUME, COVERAGE, NULLS, DRIFT = 0.40, 0.15, 0.10, 0.30
 
@@ -69,20 +70,23 @@ def gate(panel: DataFrame, metric: str | None, segments: Sequence[str], values:
     """
     parts = with_part(panel.select("week", *dict.fromkeys([c for c in [metric, *segments, *values] if c and c in panel.columns]))).persist()
     try:
-        volume = rows_per_week(parts).first()
+        nulls, drifts = [c for c in values if c in panel.columns], [c for c in segments if c in panel.columns]
+        volume = rows_per_week(parts).first()  # also fills what is kept of parts
         if not volume or not volume["e_n"]:
             return {"assessed": False, "is_artefact": False, "checks": [], "n_flagged": 0, "n_structural": 0}
+        covered, null, drift = at_once(
+            lambda: coverage(parts, metric).first() if metric and metric in panel.columns else None,
+            lambda: null_rates(parts, nulls).orderBy(F.col("shift").desc(), "column_name").first() if nulls else None,
+            lambda: category_drift(parts, drifts).orderBy(F.col("drift").desc(), "column_name").first() if drifts else None,
+        )
         sig = lambda r: r["ci_low"] > 0 or r["ci_high"] < 0
         checks = [{"name": "rows_per_period", "flagged": bool(sig(volume) and volume["shift"] > limits[0]), "structural": False, "magnitude": volume["shift"]}]
-        if metric and metric in panel.columns:
-            c = coverage(parts, metric).first()
-            checks.append({"name": "metric_coverage", "flagged": bool(sig(c) and abs(c["estimate"]) > limits[1]), "structural": True, "magnitude": abs(c["estimate"])})
-        have = [c for c in values if c in panel.columns]
-        if have and (worst := null_rates(parts, have).orderBy(F.col("shift").desc(), "column_name").first()) and worst["shift"] > 0:
-            checks.append({"name": "missing_values", "flagged": worst["shift"] > limits[2], "structural": True, "magnitude": worst["shift"], "column": worst["column_name"]})
-        have = [c for c in segments if c in panel.columns]
-        if have and (worst := category_drift(parts, have).orderBy(F.col("drift").desc(), "column_name").first()) and worst["drift"] > 0:
-            checks.append({"name": "category_stability", "flagged": worst["drift"] > limits[3], "structural": True, "magnitude": worst["drift"], "column": worst["column_name"], "gone": worst["gone"], "new": worst["new"]})
+        if covered:
+            checks.append({"name": "metric_coverage", "flagged": bool(sig(covered) and abs(covered["estimate"]) > limits[1]), "structural": True, "magnitude": abs(covered["estimate"])})
+        if null and null["shift"] > 0:
+            checks.append({"name": "missing_values", "flagged": null["shift"] > limits[2], "structural": True, "magnitude": null["shift"], "column": null["column_name"]})
+        if drift and drift["drift"] > 0:
+            checks.append({"name": "category_stability", "flagged": drift["drift"] > limits[3], "structural": True, "magnitude": drift["drift"], "column": drift["column_name"], "gone": drift["gone"], "new": drift["new"]})
     finally:
         parts.unpersist()
     flagged = [c for c in checks if c["flagged"]]

@@ -18,6 +18,7 @@ from tessaria.functions import series, tests
 from tessaria.functions.text import TOPICS
 from tessaria.operators import ingest, integrity, localize
 from tessaria.operators import panel as P
+from tessaria.plans.parallel import at_once
 
 MARGIN, NEUTRAL = 0.15, 0.5
 GENERIC_LEAST, GENERIC_LIMITS = 30, (0.35, 0.15, 0.10, 0.35)
@@ -309,7 +310,7 @@ def investigate(panel: DataFrame, metric: str = "review_score", states: Sequence
     log("integrity")
 
     def explain(c: Context) -> list[dict]:
-        return [fulfilment(c), customer_voice(c), demand(c), data_feed(c, ["order_value", "review_score", "on_time", "delivery_days"], 0.05)]
+        return at_once(lambda: fulfilment(c), lambda: customer_voice(c), lambda: demand(c), lambda: data_feed(c, ["order_value", "review_score", "on_time", "delivery_days"], 0.05))
 
     return _run(c, gate, explain, lambda c: challenges(c, "customer_state", "review_score", "on_time", localize.MIN_SEGMENT_N, 4, 3), log)
 
@@ -326,7 +327,7 @@ def investigate_table(df: DataFrame, metric: str | None = None, log: Callable[[s
     c = Context(panel, weekly, metric, p.segments if metric in panel.columns else [], None, "_text" if p.text else None)
 
     def explain(c: Context) -> list[dict]:
-        return [concentrated(c), mix(c), systemic(c), wording(c), data_feed(c, [x for x in p.measures if x in c.panel.columns], 0.10)]
+        return at_once(lambda: concentrated(c), lambda: mix(c), lambda: systemic(c), lambda: wording(c), lambda: data_feed(c, [x for x in p.measures if x in c.panel.columns], 0.10))
 
     def challenge(c: Context) -> dict:
         return challenges(c, c.segments[0], metric, metric, GENERIC_LEAST, 3, 1) if c.segments else {"challenges": [], "survived": False}
