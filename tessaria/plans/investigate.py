@@ -22,6 +22,9 @@ from tessaria.plans.parallel import at_once
 
 MARGIN, NEUTRAL = 0.15, 0.5
 GENERIC_LEAST, GENERIC_LIMITS = 30, (0.35, 0.15, 0.10, 0.35)
+#: What a check of the order feed must move by, and the fields whose nulls it watches.
+FEED_MATERIAL = 0.05
+FEED_FIELDS = ("order_delivered_customer_date", "order_delivered_carrier_date", "order_estimated_delivery_date", "order_value")
 
 
 @dataclass
@@ -143,15 +146,37 @@ def demand(c: Context) -> dict:
     return verdict("demand", "external", spike, (strength(r) if spike else 0.0, NEUTRAL, 0.5 * spike, 0.4 * spike), orders=r)
 
 
-def data_feed(c: Context, values: Sequence[str], material: float, families: str = "measurement") -> dict:
-    """Coverage, nulls and categories of the event's weeks against the baseline's."""
-    parts = c.panel.where(F.col("role").isNotNull()).withColumn("part", F.when(F.col("role") == "event", "recent").otherwise("prior"))
-    shifts = {r["column_name"]: r["shift"] for r in integrity.null_rates(parts, list(values)).collect()} if values else {}
-    drift = {r["column_name"]: r["drift"] for r in integrity.category_drift(parts, c.segments).collect()} if c.segments else {}
-    worst = max([*shifts.values(), *drift.values()], default=0.0)
-    n = sum(v > material for v in shifts.values()) + sum(v > GENERIC_LIMITS[3] for v in drift.values())
-    s = clip(worst / GENERIC_LIMITS[3])
-    return verdict("data_feed", families, n >= 2, (s, NEUTRAL, s, s), null_shifts=shifts, drift=drift)
+def feed_verdict(checks: Sequence[tuple[str, bool, float]], material: float) -> dict:
+    """A measurement artefact where two checks agree; checks: (name, flagged, magnitude)."""
+    worst = clip(max(m for _, _, m in checks) / material)
+    return verdict("data_feed", "measurement", sum(f for _, f, _ in checks) >= 2, (worst, NEUTRAL, worst, worst), checks=[{"name": n, "flagged": f, "magnitude": m} for n, f, m in checks])
+
+
+def order_feed(c: Context) -> dict:
+    """Review coverage, text rate and nulls of delivered orders, and the delivered share: each significant and material."""
+    rows = c.panel.where(F.col("role").isNotNull())
+    done = F.col("delivered")
+    shares = {"review_coverage": (done, F.col("review_score").isNotNull()), "text_rate": (done, F.col("has_text")), "status_mix": (F.lit(True), F.col("order_status") == "delivered"), **{f: (done, F.col(f).isNull()) for f in FEED_FIELDS}}
+    sides = {"e": F.col("role") == "event", "b": F.col("role") == "baseline"}
+    m = rows.agg(*[F.count(F.when(w & base & hit if k == "x" else w & base, 1)).alias(f"{n}_{k}_{s}") for n, (base, hit) in shares.items() for s, w in sides.items() for k in "xn"])
+    for n in shares:
+        m = m.withColumns({f"{n}_{k}": x for k, x in tests.two_proportion(*[F.col(f"{n}_{k}_{s}") for s in "eb" for k in "xn"]).items()})
+    r = m.first().asDict()
+    one = {n: (sure({k: r[f"{n}_{k}"] for k in ("ci_low", "ci_high")}) and abs(r[f"{n}_estimate"]) > FEED_MATERIAL, abs(r[f"{n}_estimate"])) for n in shares}
+    fields = [one.pop(f) for f in FEED_FIELDS]
+    one["missing_fields"] = (any(f for f, _ in fields), max(x for _, x in fields))
+    return feed_verdict([(n, *v) for n, v in one.items()], FEED_MATERIAL)
+
+
+def table_feed(c: Context, segments: Sequence[str], values: Sequence[str]) -> dict:
+    """Rows per week, the worst null shift and the worst change of categories of the event's weeks against the baseline's."""
+    said = {x: F.col(f"`{x}`").cast("string") for x in dict.fromkeys([*segments, *values])}
+    known = [F.when((F.trim(v) != "") & (F.lower(v) != "nan"), v).alias(x) for x, v in said.items()]
+    parts = c.panel.where(F.col("role").isNotNull()).select("week", F.when(F.col("role") == "event", "recent").otherwise("prior").alias("part"), *known)
+    rows = integrity.rows_per_week(parts).first().asDict()
+    nulls = max((r["shift"] or 0.0 for r in integrity.null_rates(parts, list(values)).collect()), default=0.0) if values else 0.0
+    drift = max((r["drift"] for r in integrity.category_drift(parts, list(segments)).collect()), default=0.0) if segments else 0.0
+    return feed_verdict([("row_volume", sure(rows) and rows["shift"] > GENERIC_LIMITS[0], rows["shift"]), ("missing_values", nulls > GENERIC_LIMITS[2], nulls), ("category_drift", drift > GENERIC_LIMITS[3], drift)], GENERIC_LIMITS[3])
 
 
 # --- explanations of any table ---
@@ -310,7 +335,7 @@ def investigate(panel: DataFrame, metric: str = "review_score", states: Sequence
     log("integrity")
 
     def explain(c: Context) -> list[dict]:
-        return at_once(lambda: fulfilment(c), lambda: customer_voice(c), lambda: demand(c), lambda: data_feed(c, ["order_value", "review_score", "on_time", "delivery_days"], 0.05))
+        return at_once(lambda: fulfilment(c), lambda: customer_voice(c), lambda: demand(c), lambda: order_feed(c))
 
     return _run(c, gate, explain, lambda c: challenges(c, "customer_state", "review_score", "on_time", localize.MIN_SEGMENT_N, 4, 3), log)
 
@@ -327,7 +352,7 @@ def investigate_table(df: DataFrame, metric: str | None = None, log: Callable[[s
     c = Context(panel, weekly, metric, p.segments if metric in panel.columns else [], None, "_text" if p.text else None)
 
     def explain(c: Context) -> list[dict]:
-        return at_once(lambda: concentrated(c), lambda: mix(c), lambda: systemic(c), lambda: wording(c), lambda: data_feed(c, [x for x in p.measures if x in c.panel.columns], 0.10))
+        return at_once(lambda: concentrated(c), lambda: mix(c), lambda: systemic(c), lambda: wording(c), lambda: table_feed(c, p.segments, [*p.measures, *([p.text] if p.text else [])]))
 
     def challenge(c: Context) -> dict:
         return challenges(c, c.segments[0], metric, metric, GENERIC_LEAST, 3, 1) if c.segments else {"challenges": [], "survived": False}
