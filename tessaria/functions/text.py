@@ -1,9 +1,13 @@
-"""Text functions that stay in the JVM."""
+"""Text functions: expressions, and an Arrow function for texts beyond the letters of a table."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Latin letters with a mark, and the letters without it.
 MARKED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñç"
@@ -25,9 +29,21 @@ TOPICS = {
 }
 
 
+def bare(text: str) -> str:
+    """Lower case, decomposed for compatibility, without combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+
+
+@F.pandas_udf(T.StringType())
+def _bare(text: pd.Series) -> pd.Series:
+    return text.map(bare, na_action="ignore")
+
+
 def normalised(text: Column) -> Column:
-    """Lower case without the accents of Latin letters, combining ones included."""
-    return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"\p{M}+", "")
+    """`bare` of a text. A text of ASCII and the letters of MARKED alone never leaves the JVM; others go through Arrow."""
+    low = F.lower(text)
+    beyond = low.rlike(rf"[^\x00-\x7f{MARKED}]")
+    return F.when(beyond, _bare(F.when(beyond, text))).otherwise(F.translate(low, MARKED, PLAIN))
 
 
 def topic(text: Column, name: str) -> Column:
