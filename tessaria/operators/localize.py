@@ -120,10 +120,15 @@ def dose_response(moments: DataFrame, dose: str, effect: str, least: int = MIN_S
     return d.withColumn("p_value", F.when(F.col("n") >= 4, t_pvalue(t, (F.col("n") - 2).cast("double"))).otherwise(1.0))
 
 
+def exposed(moments: DataFrame, exposure: str, least: int = MIN_SEGMENT_N) -> DataFrame:
+    """Segments with enough rows in both windows and their change `d` of exposure."""
+    m = moments.where(F.col("segment").isNotNull() & (F.col("rows_e") >= least) & (F.col("rows_b") >= least))
+    return m.withColumn("d", F.col(f"{exposure}_e_mean") - F.col(f"{exposure}_b_mean")).where("d IS NOT NULL")
+
+
 def did_groups(moments: DataFrame, exposure: str, least: int = MIN_SEGMENT_N, divisor: int = 4, k_least: int = 3) -> DataFrame:
     """(segment, grp): the segments with the lowest change of exposure as 'treat', those with the highest as 'control'."""
-    m = moments.where(F.col("segment").isNotNull() & (F.col("rows_e") >= least) & (F.col("rows_b") >= least))
-    m = m.withColumn("d", F.col(f"{exposure}_e_mean") - F.col(f"{exposure}_b_mean")).where("d IS NOT NULL")
+    m = exposed(moments, exposure, least)
     n = F.count(F.lit(1)).over(Window.partitionBy())
     m = m.withColumn("k", F.greatest(F.floor(n / divisor), F.lit(k_least))).withColumn("lo", F.row_number().over(Window.orderBy("d", "segment"))).withColumn("hi", F.row_number().over(Window.orderBy(F.col("d").desc(), "segment")))
     grp = F.when(F.col("lo") <= F.col("k"), "treat").when(F.col("hi") <= F.col("k"), "control")
@@ -145,10 +150,15 @@ def did_estimate(cells: DataFrame) -> DataFrame:
     return d.withColumn("ci_low", F.col("estimate") - tests.Z95 * F.col("se")).withColumn("ci_high", F.col("estimate") + tests.Z95 * F.col("se"))
 
 
+def weekly_gaps(panel: DataFrame, groups: DataFrame, segment: str, outcome: str) -> DataFrame:
+    """(week, t, c): both groups' means in the weeks of the baseline."""
+    rows = panel.where(F.col("role") == "baseline").withColumn("segment", F.col(segment).cast("string")).join(groups, "segment")
+    return rows.groupBy("week").agg(F.avg(F.when(F.col("grp") == "treat", F.col(outcome))).alias("t"), F.avg(F.when(F.col("grp") == "control", F.col(outcome))).alias("c"))
+
+
 def parallel_trend(panel: DataFrame, groups: DataFrame, segment: str, outcome: str, last: int = 12) -> DataFrame:
     """One row: slope of the difference of both groups' weekly means over the last weeks of the baseline."""
-    rows = panel.where(F.col("role") == "baseline").withColumn("segment", F.col(segment).cast("string")).join(groups, "segment")
-    w = rows.groupBy("week").agg(F.avg(F.when(F.col("grp") == "treat", F.col(outcome))).alias("t"), F.avg(F.when(F.col("grp") == "control", F.col(outcome))).alias("c"))
+    w = weekly_gaps(panel, groups, segment, outcome)
     w = w.withColumn("k", F.row_number().over(Window.orderBy(F.col("week").desc()))).where(F.col("k") <= last)
     return w.where("t IS NOT NULL AND c IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.regr_slope(F.col("t") - F.col("c"), -F.col("k")).alias("slope"))
 

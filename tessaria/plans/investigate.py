@@ -11,6 +11,7 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -244,24 +245,68 @@ def wording(c: Context) -> dict:
 # --- challenges and decision ---
 
 
-def challenges(c: Context, segment: str, outcome: str, exposure: str, least: int, divisor: int, k_least: int) -> dict:
-    """Does the movement hold inside segments, and against the segments that were not exposed?"""
-    m = c.moments(segment, *dict.fromkeys([outcome, exposure]))
-    scan = localize.segment_scan(m, outcome, least)
-    s = localize.simpson_fraction(scan).first().asDict()
-    consistent = s["n_segments"] >= 3 and (s["share_down"] >= 0.6 or s["share_down"] <= 0.4)
-    out = [{"name": "inside_segments", "passed": consistent, **s}]
-    groups = localize.did_groups(m, exposure, least, divisor, k_least).persist()
-    rows = c.panel if c.population is None else c.panel.where(c.population)
-    cells = {(r["grp"], "post" if r["role"] == "event" else "pre"): (r["n"], r["mean"], r["var"]) for r in localize.did_cells(rows, groups, segment, outcome).collect()}
-    if len(cells) == 4 and all(v[0] for v in cells.values()):
-        d = tests.difference_in_differences(cells)
-        trend = localize.parallel_trend(rows, groups, segment, outcome).first().asDict()
-        out.append({"name": "against_unexposed", "passed": sure(d), **d, "pre_slope": trend["slope"]})
-    else:
-        out.append({"name": "against_unexposed", "passed": False, "reason": "too few segments"})
-    groups.unpersist()
-    return {"challenges": out, "survived": all(x["passed"] for x in out)}
+def inside_segments(moments: DataFrame, outcome: str, least: int, n_least: int, passes: Callable[[float], bool]) -> dict:
+    """Does the movement hold inside segments?"""
+    s = localize.simpson_fraction(localize.segment_scan(moments, outcome, least)).first().asDict()
+    return {"name": "inside_segments", "passed": bool(s["n_segments"] >= n_least and passes(s["share_down"])), **s}
+
+
+def against_unexposed(c: Context, rows: DataFrame, moments: DataFrame, segment: str, outcome: str, exposure: str, least: int, divisor: int, k_least: int, n_least: int, passes: Callable[[dict], bool]) -> dict:
+    """Does it hold against the segments that were not exposed, and did both groups move alike in the last 12 weeks before?"""
+    out = {"name": "against_unexposed", "passed": False}
+    if localize.exposed(moments, exposure, least).count() < n_least:
+        return out | {"reason": "too few segments"}
+    groups = localize.did_groups(moments, exposure, least, divisor, k_least).persist()
+    try:
+        cells = {(r["grp"], "post" if r["role"] == "event" else "pre"): (r["n"], r["mean"], r["var"]) for r in localize.did_cells(rows, groups, segment, outcome).collect()}
+        if len(cells) < 4 or not all(v[0] for v in cells.values()):
+            return out | {"reason": "a group has no values"}
+        last = sorted(c.triage["baseline_weeks"])[-12:]
+        gaps = localize.weekly_gaps(rows.where(F.col("week").cast("string").isin(last)), groups, segment, outcome).where("t IS NOT NULL AND c IS NOT NULL").orderBy("week").collect()
+    finally:
+        groups.unpersist()
+    pre = [r["t"] - r["c"] for r in gaps]
+    d = tests.difference_in_differences(cells, pre)
+    slope = float(np.polyfit(range(len(pre)), pre, 1)[0]) if len(pre) >= 2 else None
+    return out | {"passed": bool(passes(d)), **d, "pre_slope": slope, "pre_weeks": len(pre)}
+
+
+def order_level(rows: DataFrame) -> dict:
+    """Do late orders of the event score lower than those on time?"""
+    w = rows.where(F.col("role") == "event").agg(*tests.moments(F.col("review_score"), F.col("on_time") == 0, "e"), *tests.moments(F.col("review_score"), F.col("on_time") == 1, "b"))
+    r = tests.with_welch(w).first().asDict()
+    return {"name": "order_level", "passed": bool(sure(r) and r["estimate"] < 0), **r}
+
+
+def outcome_of(out: list[dict]) -> dict:
+    return {"challenges": out, "n_passed": sum(x["passed"] for x in out), "n_total": len(out), "survived": all(x["passed"] for x in out)}
+
+
+def challenge_orders(c: Context) -> dict:
+    """Of delivered orders: three quarters of the states fall, the less punctual states fall more (six states at least),
+    and late orders score lower."""
+    rows, least = c.panel.where("delivered"), localize.MIN_SEGMENT_N
+    m = localize.segment_moments(rows, "customer_state", ["review_score", "on_time"]).persist()
+    try:
+        return outcome_of(at_once(
+            lambda: inside_segments(m, "review_score", least, 1, lambda share: share >= 0.75),
+            lambda: against_unexposed(c, rows, m, "customer_state", "review_score", "on_time", least, 4, 3, 6, lambda d: d["estimate"] < 0 and d["ci_high"] < 0),
+            lambda: order_level(rows),
+        ))
+    finally:
+        m.unpersist()
+
+
+def challenge_table(c: Context) -> dict:
+    """Of any table: segments agree in direction, and the most moved differ from the least moved (four values at least)."""
+    m = c.moments(c.segments[0]).persist()
+    try:
+        return outcome_of([
+            inside_segments(m, c.metric, GENERIC_LEAST, 3, lambda share: share >= 0.6 or share <= 0.4),
+            against_unexposed(c, c.panel, m, c.segments[0], c.metric, c.metric, GENERIC_LEAST, 3, 1, 4, sure),
+        ])
+    finally:
+        m.unpersist()
 
 
 def decide(gate: dict, tri: dict, verdicts: Sequence[dict] = ()) -> dict:
@@ -337,7 +382,7 @@ def investigate(panel: DataFrame, metric: str = "review_score", states: Sequence
     def explain(c: Context) -> list[dict]:
         return at_once(lambda: fulfilment(c), lambda: customer_voice(c), lambda: demand(c), lambda: order_feed(c))
 
-    return _run(c, gate, explain, lambda c: challenges(c, "customer_state", "review_score", "on_time", localize.MIN_SEGMENT_N, 4, 3), log)
+    return _run(c, gate, explain, challenge_orders, log)
 
 
 def investigate_table(df: DataFrame, metric: str | None = None, log: Callable[[str], None] = lambda s: None) -> dict:
@@ -355,6 +400,6 @@ def investigate_table(df: DataFrame, metric: str | None = None, log: Callable[[s
         return at_once(lambda: concentrated(c), lambda: mix(c), lambda: systemic(c), lambda: wording(c), lambda: table_feed(c, p.segments, [*p.measures, *([p.text] if p.text else [])]))
 
     def challenge(c: Context) -> dict:
-        return challenges(c, c.segments[0], metric, metric, GENERIC_LEAST, 3, 1) if c.segments else {"challenges": [], "survived": False}
+        return challenge_table(c) if c.segments else {"challenges": [], "survived": False}
 
     return {"profile": {"rows": p.rows, "roles": {x.name: x.role for x in p.columns}, "metrics": keys}} | _run(c, gate, explain, challenge, log)
