@@ -49,6 +49,8 @@ class Profile:
     quantity: str | None
     flags: list[dict]
     metrics: list[dict]
+    #: Rows that the panel cannot hold: their date is missing, or no format reads it.
+    undated: dict = field(default_factory=dict)
 
 
 def _date(value: Column, fmt: str) -> Column:
@@ -56,13 +58,11 @@ def _date(value: Column, fmt: str) -> Column:
 
 
 def _parsed(value: Column, fmt: str) -> Column:
-    """A date by its format; 'mixed' tries all, 'seconds' and 'millis' are epochs."""
-    if fmt == "mixed":
-        return F.coalesce(*[_date(value, f) for f in DATE_FORMATS])
+    """A date by its format, else by the first other one that reads it; 'mixed' prefers none, 'seconds' and 'millis' are epochs."""
     if fmt in ("seconds", "millis"):
         x = value.try_cast("double")
         return F.timestamp_millis((x * (1000 if fmt == "seconds" else 1)).cast("long"))
-    return _date(value, fmt)
+    return F.coalesce(*[_date(value, f) for f in dict.fromkeys([*([] if fmt == "mixed" else [fmt]), *DATE_FORMATS])])
 
 
 def column_values(df: DataFrame) -> DataFrame:
@@ -94,6 +94,7 @@ def column_stats(values: DataFrame) -> DataFrame:
         mean(F.regexp_count(v, F.lit(r"\s+")) + 1).alias("mean_words"),
         *[share(_date(v, f).isNotNull()).alias(f"date_{i}") for i, f in enumerate(DATE_FORMATS)],
         share(_parsed(v, "mixed").isNotNull()).alias("date_mixed"),
+        F.coalesce(F.sum(F.when(has & _parsed(v, "mixed").isNull(), n)), F.lit(0)).alias("n_undated"),
         F.min(F.when(has, v)).alias("least"),
         F.max(F.when(has, v)).alias("most"),
     )
@@ -163,13 +164,15 @@ def profile(df: DataFrame) -> Profile:
     return Profile(
         rows=cols[0].stats["n_rows"], columns=cols, date=dates[0], segments=[c.name for c in best("segment")][:MAX_SEGMENTS], measures=[c.name for c in measures], text=next((c.name for c in best("text")), None),
         identifier=next((c.name for c in by("identifier")), None), money=money, quantity=quantity, flags=flags, metrics=metrics,
+        undated={"missing": dates[0].stats["n_missing"], "unreadable": 0 if dates[0].date_format in ("seconds", "millis") else dates[0].stats["n_undated"]},
     )
 
 
 def generic_panel(df: DataFrame, p: Profile) -> DataFrame:
     """Rows with a readable date, with `week`, the metric columns, the segments as text, and the text normalised.
 
-    A date is read with the one format its column was found to have, so no row of another reading is lost.
+    A date is read with the format its column was found to have, else with the first other one that reads it; rows that
+    none reads are counted in the profile's `undated`.
     """
     number = lambda c: F.nanvl(F.col(f"`{c}`").try_cast("double"), F.lit(None).cast("double"))
     out = df.withColumn("_date", _parsed(F.col(f"`{p.date.name}`").cast("string"), p.date.date_format)).where(F.col("_date").isNotNull())

@@ -402,4 +402,4 @@ def investigate_table(df: DataFrame, metric: str | None = None, log: Callable[[s
     def challenge(c: Context) -> dict:
         return challenge_table(c) if c.segments else {"challenges": [], "survived": False}
 
-    return {"profile": {"rows": p.rows, "roles": {x.name: x.role for x in p.columns}, "metrics": keys}} | _run(c, gate, explain, challenge, log)
+    return {"profile": {"rows": p.rows, "undated": p.undated, "roles": {x.name: x.role for x in p.columns}, "metrics": keys}} | _run(c, gate, explain, challenge, log)
