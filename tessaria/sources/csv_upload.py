@@ -1,4 +1,4 @@
-"""CSV of unknown encoding and separator. Only a head sample is looked at; the rows are read by Spark in parallel."""
+"""CSV of unknown encoding and separator. The separator is judged by a head sample, the encoding by all bytes; Spark reads both in parallel."""
 
 from __future__ import annotations
 
@@ -32,13 +32,18 @@ def sniff(head: bytes) -> tuple[str, str]:
         return encoding, max(counts, key=counts.get) if max(counts.values()) else ","
 
 
+def all_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether all lines of a file are valid UTF-8: their bytes are not decoded, and no sign of more bytes holds a line end."""
+    return spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() == 0
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, header names trimmed, unnamed columns dropped. Errors: no row, or fewer than two columns."""
     head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4 * SAMPLE).alias("head")).first()
     if head is None:
         raise ValueError("there is no file")
-    encoding, sep = sniff(bytes(head["head"]))
-    charset = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "latin-1": "ISO-8859-1"}[encoding]
+    _, sep = sniff(bytes(head["head"]))
+    charset = "UTF-8" if all_utf8(spark, path) else "ISO-8859-1"
     raw = spark.read.csv(path, sep=sep, encoding=charset, header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False)
     names = [c.lstrip("﻿").strip() for c in raw.columns]
     kept = [i for i, c in enumerate(names) if c and not c.startswith(("Unnamed", "_c"))]
