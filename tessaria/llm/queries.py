@@ -95,6 +95,10 @@ def p6_canonical_reviews(spark: SparkSession, d: str) -> DataFrame:
     return _reviews(spark, d).select("review_id", "order_id", canonical.clean_text(F.col("review_comment_message")).alias("review_comment_message"))
 
 
+def p6_canonical_panel(spark: SparkSession, d: str) -> DataFrame:
+    return _panel_texts(spark, d).select("order_id", canonical.clean_text(F.col("review_text")).alias("review_text"))
+
+
 def p6_equal_look_groups(spark: SparkSession, d: str) -> DataFrame:
     both = _panel_texts(spark, d).toDF("id", "t").unionByName(_reviews(spark, d).select(F.col("order_id").alias("id"), F.col("review_comment_message").alias("t")))
     return canonical.groups_of_equal_look(both, "id", "t")
@@ -145,6 +149,7 @@ QUERIES = {
     "p4_term_scores": p4_term_scores,
     "p6_found": p6_found,
     "p6_canonical_reviews": p6_canonical_reviews,
+    "p6_canonical_panel": p6_canonical_panel,
     "p6_equal_look_groups": p6_equal_look_groups,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
