@@ -92,7 +92,7 @@ def _flagged(state: DataFrame, checks: Checks) -> DataFrame:
 
 
 def profile(state: DataFrame, checks: Checks = UPLOAD) -> DataFrame:
-    """Per feed, load and column: rows, nulls, missing, distinct values as written, range, formats."""
+    """Per feed, load and column: rows, nulls, missing, distinct values as written, range, lengths."""
     s = _flagged(state, checks)
     here = ~F.col("absent")
     return s.groupBy(FEED, LOAD, "column_name").agg(
@@ -118,23 +118,33 @@ def _missing(s: DataFrame, checks: Checks) -> DataFrame:
     return later.where(F.col("m") / F.col("n") - F.col("base_share") > MISSING + EPS).select(*_keys(), F.lit("missing").alias("issue"))
 
 
-def _pattern(s: DataFrame, checks: Checks) -> DataFrame:
+def pattern_share(s: DataFrame, checks: Checks) -> DataFrame:
+    """Share of a later load's values whose format the base lacks."""
     f = s.where(F.col("column_name").isin(*checks.pattern) & ~F.col("absent")).withColumn("form", value_format(F.col("value")))
     f = f.groupBy(*_keys("is_base", "form")).agg(F.sum("n").alias("n"))
     known = f.where("is_base").select(FEED, "column_name", "form", F.lit(True).alias("known")).distinct()
     share = f.where("NOT is_base").join(known, [FEED, "column_name", "form"], "left").groupBy(*_keys()).agg(F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("odd"), F.sum("n").alias("n"))
     share = share.join(f.where("is_base").select(FEED, "column_name").distinct(), [FEED, "column_name"], "left_semi")
-    return share.where(F.col("odd") / F.col("n") > PATTERN + EPS).select(*_keys(), F.lit("pattern").alias("issue"))
+    return share.select(*_keys(), (F.col("odd") / F.col("n")).alias("pattern_share"))
 
 
-def _value_set(s: DataFrame, checks: Checks) -> DataFrame:
+def _pattern(s: DataFrame, checks: Checks) -> DataFrame:
+    return pattern_share(s, checks).where(F.col("pattern_share") > PATTERN + EPS).select(*_keys(), F.lit("pattern").alias("issue"))
+
+
+def value_set_change(s: DataFrame, checks: Checks) -> DataFrame:
+    """Values in only one of a later load and the base, over the base's distinct values."""
     v = s.where(F.col("column_name").isin(*checks.value_set) & ~F.col("absent"))
     base = v.where("is_base").groupBy(FEED, "column_name", "value").agg(F.sum("n").alias("base_n"))
     size = base.groupBy(FEED, "column_name").agg(F.count("value").alias("base_size"))
     loads = s.where(F.col("column_name").isin(*checks.value_set) & ~F.col("is_base")).withColumn("value", F.when(~F.col("absent"), F.col("value"))).select(*_keys("value"))
     both = loads.join(base, [FEED, "column_name", "value"], "left").groupBy(*_keys()).agg(F.count("value").alias("size"), F.count("base_n").alias("shared"))
     odd = both.join(size, [FEED, "column_name"]).withColumn("odd", F.col("size") + F.col("base_size") - 2 * F.col("shared"))
-    return odd.where(F.col("odd") / F.col("base_size") > VALUE_SET + EPS).select(*_keys(), F.lit("value_set").alias("issue"))
+    return odd.select(*_keys(), (F.col("odd") / F.col("base_size")).alias("value_set_change"))
+
+
+def _value_set(s: DataFrame, checks: Checks) -> DataFrame:
+    return value_set_change(s, checks).where(F.col("value_set_change") > VALUE_SET + EPS).select(*_keys(), F.lit("value_set").alias("issue"))
 
 
 def _range(s: DataFrame, checks: Checks) -> DataFrame:
@@ -187,10 +197,23 @@ def numeric_distance(s: DataFrame, columns: Sequence[str]) -> DataFrame:
     return x.groupBy(*_keys()).agg(F.max(F.greatest(F.abs(b_incl - l_incl), F.abs(b_excl - l_excl))).alias("distance"))
 
 
-def _distribution(s: DataFrame, checks: Checks) -> DataFrame:
+def distances(s: DataFrame, checks: Checks) -> DataFrame:
     text = [c for c in checks.distribution if c in checks.text]
-    far = categorical_distance(s, text).unionByName(numeric_distance(s, [c for c in checks.distribution if c in checks.numeric]))
-    return far.where(F.col("distance") > DISTRIBUTION + EPS).select(*_keys(), F.lit("distribution").alias("issue"))
+    return categorical_distance(s, text).unionByName(numeric_distance(s, [c for c in checks.distribution if c in checks.numeric]))
+
+
+def _distribution(s: DataFrame, checks: Checks) -> DataFrame:
+    return distances(s, checks).where(F.col("distance") > DISTRIBUTION + EPS).select(*_keys(), F.lit("distribution").alias("issue"))
+
+
+def change_profile(state: DataFrame, checks: Checks = UPLOAD) -> DataFrame:
+    """The profile with the number of formats and, for later loads, how far formats, values and distribution are from the base."""
+    s = cut(_flagged(state, checks))
+    forms = s.where(~F.col("absent")).groupBy(*_keys()).agg(F.count_distinct(value_format(F.col("value"))).alias("n_formats"))
+    out = profile(s, checks).join(forms, _keys(), "left").withColumn("n_formats", F.coalesce("n_formats", F.lit(0)))
+    for change in (pattern_share(s, checks), value_set_change(s, checks), distances(s, checks)):
+        out = out.join(change, _keys(), "left")
+    return out
 
 
 def against_recorded(figures: DataFrame, recorded: DataFrame, checks: Checks) -> DataFrame:
