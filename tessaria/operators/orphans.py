@@ -1,28 +1,31 @@
 """References to records that do not exist, by bitmap algebra.
 
 Every distinct key is given an integer: keys are hashed to ranges of about RANGE_KEYS keys, and inside a range a key's
-code is its rank. A range's references, parents and removed keys are then bitmaps over these codes (one per reference
-and period), so the orphans of a period are `reference AND NOT parent`, and the bits that survive are decoded by the
-same dictionary. Bitmaps are kept compressed (a sparse one as its sorted 16-bit positions, a dense one as bits).
-
-Scale: rows are pre-aggregated per (key, reference, period) with map-side combine, so a key that holds a third of all
-rows costs as many rows as it has periods. The second exchange is by range; dictionary, bitmaps, algebra and decoding
-all use that one partitioning. A range's size does not grow with the data, their number does.
+code is its place in the range's dictionary. A range's references, parents and removed keys are then compressed bitmaps
+over these codes, one per reference and period. The orphans of a period are `reference AND NOT parent`, split by `AND
+removed`; late ones are `early AND parent`. The algebra runs on containers as they are (64-bit words of a dense one,
+sorted 16-bit positions of a sparse one), and only the bits that survive are decoded, by the same dictionary.
+
+Scale: rows are reduced to one per (key, reference, period) inside the map tasks, ADVANCE rows at a time, so of a key
+that holds a third of all rows few leave a task. One exchange by range follows; dictionary, bitmaps, algebra and
+decoding all use it. A range's size does not grow with the data, their number does.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-RANGE_KEYS = 8192
+RANGE_KEYS, ADVANCE = 1 << 16, 200_000
 STATES = ("deleted", "missing", "late")
+PARENT, REMOVED = -1, -2
+NEVER = np.iinfo(np.int64).max
 
 
 @dataclass(frozen=True)
@@ -55,103 +58,182 @@ def unpack(packed: Column) -> Column:
     return F.when(F.substring(F.hex(packed), 1, 2) == "01", F.lower(F.hex(body))).otherwise(F.decode(body, "utf-8"))
 
 
+class Bitmap:
+    """Distinct codes in containers of 65536: sorted 16-bit positions where few, 64-bit words where many."""
+
+    SPARSE = 4096
+
+    def __init__(self, containers: dict[int, np.ndarray]) -> None:
+        self.containers = {h: c for h, c in containers.items() if len(c)}
+
+    @classmethod
+    def of(cls, codes: np.ndarray) -> Bitmap:
+        codes = np.unique(codes)
+        high, low = codes >> 16, (codes & 0xFFFF).astype(np.uint16)
+        return cls({int(h): cls._packed(low[high == h]) for h in np.unique(high)})
+
+    @classmethod
+    def _packed(cls, low: np.ndarray) -> np.ndarray:
+        if len(low) <= cls.SPARSE:
+            return low
+        bits = np.zeros(1 << 16, np.uint8)
+        bits[low] = 1
+        return np.packbits(bits, bitorder="little").view(np.uint64)
+
+    @classmethod
+    def _shrunk(cls, words: np.ndarray) -> np.ndarray:
+        return words if int(np.bitwise_count(words).sum()) > cls.SPARSE else cls._low(words)
+
+    @staticmethod
+    def _low(c: np.ndarray) -> np.ndarray:
+        return c if c.dtype == np.uint16 else np.flatnonzero(np.unpackbits(c.view(np.uint8), bitorder="little")).astype(np.uint16)
+
+    @staticmethod
+    def _has(c: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Which of the positions a container holds."""
+        if c.dtype == np.uint16:
+            return np.isin(low, c, assume_unique=True)
+        return (c[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+    def _with(self, other: Bitmap, h: int, keep: bool) -> np.ndarray:
+        a, b = self.containers[h], other.containers[h]
+        if a.dtype == np.uint16:
+            return a[self._has(b, a) == keep]
+        if b.dtype == np.uint16:
+            low = self._low(a)
+            return self._packed(low[self._has(b, low) == keep])
+        return self._shrunk(a & b if keep else a & ~b)
+
+    def __and__(self, other: Bitmap) -> Bitmap:
+        return Bitmap({h: self._with(other, h, True) for h in self.containers.keys() & other.containers.keys()})
+
+    def and_not(self, other: Bitmap) -> Bitmap:
+        return Bitmap({h: self._with(other, h, False) if h in other.containers else c for h, c in self.containers.items()})
+
+    def __or__(self, other: Bitmap) -> Bitmap:
+        out = dict(self.containers)
+        for h, c in other.containers.items():
+            mine = out.get(h)
+            out[h] = c if mine is None else mine | c if mine.dtype == c.dtype == np.uint64 else self._packed(np.union1d(self._low(mine), self._low(c)))
+        return Bitmap(out)
+
+    def __len__(self) -> int:
+        return sum(len(c) if c.dtype == np.uint16 else int(np.bitwise_count(c).sum()) for c in self.containers.values())
+
+    def codes(self) -> np.ndarray:
+        """The codes, decoded in order."""
+        return np.concatenate([self._low(self.containers[h]).astype(np.int64) + (h << 16) for h in sorted(self.containers)] or [np.empty(0, np.int64)])
+
+
 def _squeeze(codes: np.ndarray) -> bytes:
-    """Sorted distinct codes of one range as a container: 'a' and 16-bit positions, or 'b' and bits, in blocks of 65536."""
+    """A bitmap as bytes: per container its kind ('a' positions, 'b' bits), number, size and body."""
     out = []
-    for high in np.unique(codes >> 16):
-        low = (codes[codes >> 16 == high] & 0xFFFF).astype("<u2")
-        body = low.tobytes()
-        kind = b"a"
-        if len(low) > 4096:
-            bits = np.zeros(65536, "u1")
-            bits[low] = 1
-            body, kind = np.packbits(bits, bitorder="little").tobytes(), b"b"
-        out.append(kind + int(high).to_bytes(4, "little") + len(body).to_bytes(4, "little") + body)
+    for h, c in sorted(Bitmap.of(codes).containers.items()):
+        body = c.astype("<u2" if c.dtype == np.uint16 else "<u8").tobytes()
+        out.append((b"a" if c.dtype == np.uint16 else b"b") + h.to_bytes(4, "little") + len(body).to_bytes(4, "little") + body)
     return b"".join(out)
 
 
-def _codes(packed: bytes | None) -> np.ndarray:
-    out, i = [], 0
-    packed = packed or b""
+def _codes(packed: bytes) -> np.ndarray:
+    containers, i = {}, 0
     while i < len(packed):
-        kind, high, size = packed[i : i + 1], int.from_bytes(packed[i + 1 : i + 5], "little"), int.from_bytes(packed[i + 5 : i + 9], "little")
-        body = packed[i + 9 : i + 9 + size]
-        low = np.frombuffer(body, "<u2").astype(np.int64) if kind == b"a" else np.flatnonzero(np.unpackbits(np.frombuffer(body, "u1"), bitorder="little"))
-        out.append(low + (high << 16))
+        h, size = int.from_bytes(packed[i + 1 : i + 5], "little"), int.from_bytes(packed[i + 5 : i + 9], "little")
+        containers[h] = np.frombuffer(packed[i + 9 : i + 9 + size], "<u2" if packed[i : i + 1] == b"a" else "<u8")
         i += 9 + size
-    return np.concatenate(out) if out else np.empty(0, np.int64)
-
-
-@F.pandas_udf(T.BinaryType())
-def bitmap_of(codes: pd.Series) -> pd.Series:
-    return pd.Series([_squeeze(np.unique(np.asarray(c, np.int64))) for c in codes])
-
+    return Bitmap(containers).codes()
 
-@F.pandas_udf(T.StructType([T.StructField(s, T.BinaryType()) for s in STATES]))
-def algebra(ref: pd.Series, early: pd.Series, parent: pd.Series, removed: pd.Series) -> pd.DataFrame:
-    rows = []
-    for r, e, p, d in zip(ref, early, parent, removed):
-        r, e, p, d = (_codes(x) for x in (r, e, p, d))
-        gone = np.setdiff1d(r, p, assume_unique=True)
-        rows.append(tuple(_squeeze(x) for x in (np.intersect1d(gone, d, assume_unique=True), np.setdiff1d(gone, d, assume_unique=True), np.intersect1d(e, p, assume_unique=True))))
-    return pd.DataFrame(rows, columns=list(STATES))
 
+def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per (range, k, role, period) of ADVANCE rows each, with the earliest time."""
+    waiting: list[pa.RecordBatch] = []
 
-@F.pandas_udf(T.LongType())
-def cardinality(packed: pd.Series) -> pd.Series:
-    return pd.Series([len(_codes(x)) for x in packed], dtype="int64")
+    def least() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(waiting).group_by(["range", "k", "role", "period"], use_threads=False).aggregate([("at", "min")])
+        yield from t.rename_columns(["range", "k", "role", "period", "at"]).to_batches()
+        waiting.clear()
 
+    for b in batches:
+        waiting.append(b)
+        if sum(x.num_rows for x in waiting) >= ADVANCE:
+            yield from least()
+    if waiting:
+        yield from least()
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def bits(packed: pd.Series) -> pd.Series:
-    return pd.Series([_codes(x) for x in packed])
 
+def _keyed(refs: list[Reference], parents: list[Parent], removed: DataFrame, n_ranges: int) -> DataFrame:
+    """(range, k, role, period, at): every reference (role its number), parent and removed key, reduced inside tasks.
 
-def _encoded(refs: list[Reference], parents: list[Parent], removed: DataFrame, n_ranges: int) -> DataFrame:
-    """(range, code, packed key, who, role, period, early) of every distinct key, reference and period."""
+    k is the parent's number in one byte and the packed key; period is year * 100 + month, 0 without a time.
+    """
     parent_no = {p.name: i for i, p in enumerate(parents)}
     unknown = [r.parent for r in refs if r.parent not in parent_no]
     if unknown:
         raise ValueError(f"no parent table for {unknown}")
-    parts = []
-    for i, r in enumerate(refs):
-        parts.append(r.rows.select(F.lit(parent_no[r.parent]).alias("who"), F.lit(i).alias("role"), r.key.alias("k"), F.date_trunc("month", r.at).alias("period"), F.col(r.at).alias("at")))
-    for p in parents:
-        parts.append(p.rows.select(F.lit(parent_no[p.name]).alias("who"), F.lit(-1).alias("role"), p.key.alias("k"), F.lit(None).cast("timestamp").alias("period"), F.col(p.at).alias("at")))
-    for p in parents:
-        parts.append(removed.where(F.col("table_name") == p.name).select(F.lit(parent_no[p.name]).alias("who"), F.lit(-2).alias("role"), F.col("k"), F.lit(None).cast("timestamp").alias("period"), F.lit(None).cast("timestamp").alias("at")))
+
+    def part(rows: DataFrame, parent: str, role: int, key: Column, period: Column, at: Column) -> DataFrame:
+        k = F.concat(F.lit(bytes([parent_no[parent]])), pack(key))
+        return rows.where(key.isNotNull()).select(k.alias("k"), F.lit(role).alias("role"), period.alias("period"), at.alias("at"))
+
+    none, never = F.lit(0), F.lit(None).cast("long")
+    month = lambda c: F.coalesce(F.year(c) * 100 + F.month(c), none)
+    parts = [part(r.rows, r.parent, i, r.key, month(r.at), F.unix_micros(r.at)) for i, r in enumerate(refs)]
+    parts += [part(p.rows, p.name, PARENT, p.key, none, F.unix_micros(p.at)) for p in parents]
+    parts += [part(removed.where(F.col("table_name") == p.name), p.name, REMOVED, F.col("k"), none, never) for p in parents]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    rows = rows.where(F.col("k").isNotNull()).withColumn("k", pack(F.col("k")))
-    least = rows.groupBy("who", "k", "role", "period").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
-    least = least.withColumn("range", F.pmod(F.xxhash64("who", "k"), F.lit(n_ranges)).cast("int")).repartition("range")
-    in_range = Window.partitionBy("range").orderBy("who", "k")
-    of_key = Window.partitionBy("range", "who", "k")
-    return (
-        least.withColumn("code", (F.dense_rank().over(in_range) - 1).cast("long"))
-        .withColumn("born", F.min(F.when(F.col("role") == -1, F.col("at"))).over(of_key))
-        .withColumn("early", F.coalesce((F.col("role") >= 0) & (F.col("at") < F.col("born")), F.lit(False)))
-        .select("range", "code", "who", "k", "role", "period", "early", "n")
-    )
+    rows = rows.select(F.pmod(F.xxhash64("k"), F.lit(n_ranges)).cast("int").alias("range"), "*")
+    return rows.mapInArrow(_reduced, rows.schema)
 
 
 def ranges_for(refs: list[Reference], parents: list[Parent]) -> int:
-    rows = sum(x.rows.count() for x in [*refs, *parents])
-    return max(1, math.ceil(rows / RANGE_KEYS))
+    rows = None
+    for x in [*refs, *parents]:
+        one = x.rows.select(F.lit(1))
+        rows = one if rows is None else rows.unionAll(one)
+    return max(1, math.ceil(rows.count() / RANGE_KEYS))
+
+
+def _algebra(table: pa.Table) -> tuple[pa.Array, list[tuple[int, int, dict[str, Bitmap]]]]:
+    """A range's dictionary, and per reference and period its bitmaps by state."""
+    encoded = table["k"].combine_chunks().dictionary_encode()
+    code, role, period = encoded.indices.to_numpy(), table["role"].to_numpy(), table["period"].to_numpy()
+    at = table["at"].fill_null(NEVER).to_numpy()
+    born = np.full(len(encoded.dictionary), NEVER)
+    is_parent = role == PARENT
+    np.minimum.at(born, code[is_parent], at[is_parent])
+    early = (at < born[code]) & (born[code] != NEVER)
+    parent, removed = Bitmap.of(code[is_parent]), Bitmap.of(code[role == REMOVED])
+    out = []
+    for r, p in sorted(set(zip(role[role >= 0].tolist(), period[role >= 0].tolist()))):
+        here = (role == r) & (period == p)
+        gone = Bitmap.of(code[here]).and_not(parent)
+        out.append((r, p, {"deleted": gone & removed, "missing": gone.and_not(removed), "late": Bitmap.of(code[here & early]) & parent}))
+    return encoded.dictionary, out
+
+
+_KEYS = pa.schema([("role", pa.int32()), ("state", pa.string()), ("k", pa.binary())])
+_COUNTS = pa.schema([("role", pa.int32()), ("period", pa.int32()), ("state", pa.string()), ("n", pa.int64())])
+
+
+def _decoded(table: pa.Table) -> pa.Table:
+    """The keys of the bits that survive in any period."""
+    words, found = _algebra(table)
+    whole: dict[tuple[int, str], Bitmap] = {}
+    for r, _, states in found:
+        for s, b in states.items():
+            whole[r, s] = whole[r, s] | b if (r, s) in whole else b
+    parts = [pa.table([pa.array([r] * len(b), pa.int32()), pa.array([s] * len(b), pa.string()), words.take(pa.array(b.codes()))], schema=_KEYS) for (r, s), b in whole.items()]
+    return pa.concat_tables(parts) if parts else _KEYS.empty_table()
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    rows = [(r, p, s, len(b)) for r, p, states in _algebra(table)[1] for s, b in states.items() if len(b)]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), _COUNTS.types)], schema=_COUNTS) if rows else _COUNTS.empty_table()
 
 
-def orphan_bitmaps(encoded: DataFrame, by_period: bool) -> DataFrame:
-    """Per range, reference (and period): the bitmaps `deleted`, `missing` and `late`."""
-    at = ["period"] if by_period else []
-    sets = encoded.groupBy("range", "who", "role", *at).agg(
-        F.collect_set("code").alias("all"), F.collect_set(F.when(F.col("early"), F.col("code"))).alias("soon")
-    )
-    sets = sets.select("range", "who", "role", *at, bitmap_of("all").alias("all"), bitmap_of("soon").alias("soon"))
-    whole = Window.partitionBy("range", "who")
-    sets = sets.withColumn("parent", F.max(F.when(F.col("role") == -1, F.col("all"))).over(whole)).withColumn("gone", F.max(F.when(F.col("role") == -2, F.col("all"))).over(whole))
-    found = sets.where(F.col("role") >= 0).withColumn("b", algebra("all", "soon", "parent", "gone"))
-    return found.select("range", "role", *at, "b.*")
+def _by_range(refs: list[Reference], parents: list[Parent], removed: DataFrame, n_ranges: int | None, of_range: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    return _keyed(refs, parents, removed, n_ranges or ranges_for(refs, parents)).groupBy("range").applyInArrow(of_range, schema)
 
 
 def _names(df: DataFrame, refs: list[Reference]) -> DataFrame:
@@ -168,19 +250,14 @@ def orphan_keys(refs: list[Reference], parents: list[Parent], removed: DataFrame
     no cases, a child row without a time is never late, repeated rows count once, empty tables give no rows, and
     columns besides those named are ignored.
     """
-    encoded = _encoded(refs, parents, removed, n_ranges or ranges_for(refs, parents))
-    found = orphan_bitmaps(encoded, by_period=False)
-    states = F.array(*[F.struct(F.lit(s).alias("state"), bits(s).alias("codes")) for s in STATES])
-    found = found.select("range", "role", F.explode(states).alias("s")).select("range", "role", "s.state", F.explode("s.codes").alias("code"))
-    words = encoded.select(F.col("range").alias("_r"), F.col("code").alias("_c"), "k").distinct()
-    found = found.join(words, (F.col("range") == F.col("_r")) & (F.col("code") == F.col("_c"))).withColumn("ref_value", unpack(F.col("k")))
-    return _names(found, refs).select("child_table", "ref_column", "ref_value", "state")
+    found = _by_range(refs, parents, removed, n_ranges, _decoded, "role int, state string, k binary")
+    return _names(found.withColumn("ref_value", unpack(F.substring("k", 2, 2**31 - 2))), refs).select("child_table", "ref_column", "ref_value", "state")
 
 
 def orphan_counts(refs: list[Reference], parents: list[Parent], removed: DataFrame, n_ranges: int | None = None) -> DataFrame:
-    """(child_table, ref_column, period, state, n_keys): distinct keys per month in which a child row was stored."""
-    encoded = _encoded(refs, parents, removed, n_ranges or ranges_for(refs, parents))
-    found = orphan_bitmaps(encoded, by_period=True)
-    states = F.array(*[F.struct(F.lit(s).alias("state"), cardinality(s).alias("n")) for s in STATES])
-    found = found.select("role", "period", F.explode(states).alias("s")).groupBy("role", "period", "s.state").agg(F.sum("s.n").alias("n_keys"))
-    return _names(found.where(F.col("n_keys") > 0), refs).select("child_table", "ref_column", F.date_format("period", "yyyy-MM").alias("period"), "state", "n_keys")
+    """(child_table, ref_column, period, state, n_keys): distinct keys per month in which a child row was stored; the
+    period of rows without a time is null."""
+    found = _by_range(refs, parents, removed, n_ranges, _counted, "role int, period int, state string, n long")
+    found = found.groupBy("role", "period", "state").agg(F.sum("n").alias("n_keys"))
+    month = F.when(F.col("period") > 0, F.format_string("%04d-%02d", F.floor(F.col("period") / 100).cast("int"), F.col("period") % 100))
+    return _names(found, refs).select("child_table", "ref_column", month.alias("period"), "state", "n_keys")
