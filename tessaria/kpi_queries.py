@@ -2,24 +2,26 @@
 
 Doubles are rounded to six digits on both sides. The event window of queries that need one is fixed (FIRST..LAST, two
 weeks around it belong to neither window); `event_window` and the others of its family find windows themselves, in the
-weekly mean order value with a planted effect (EFFECT inside the window).
+weekly mean of METRIC as it is.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaria.functions import fdr, series, tests
 from tessaria.functions.labels import STATES, label
-from tessaria.functions.text import MARKED, PLAIN, STOP, TOPICS, normalised, words, words_and_pairs
+from tessaria.functions.text import STOP, TOPICS, normalised, words, words_and_pairs
 from tessaria.operators import integrity, localize
 from tessaria.operators import panel as P
 from tessaria.sources.tables import table
 
-FIRST, LAST, EFFECT = "2018-01-15", "2018-03-26", 0.55
+FIRST, LAST, METRIC = "2018-01-15", "2018-03-26", "delivery_days"
 SEGMENT = "customer_state"
 
 
@@ -48,9 +50,7 @@ def r6(df: DataFrame) -> DataFrame:
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
-    w = P.weekly(_panel(spark, d))
-    inside = F.col("week").between(F.lit(FIRST).cast("date"), F.lit(LAST).cast("date"))
-    return series.indexed(w.withColumn("planted", F.when(inside, F.col("order_value") * EFFECT).otherwise(F.col("order_value"))), "planted")
+    return series.indexed(P.weekly(_panel(spark, d)), METRIC)
 
 
 def _z(spark: SparkSession, d: str) -> DataFrame:
@@ -302,7 +302,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # --- SQL ---
 
 _NUM = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
-_NORM = f"regexp_replace(translate(lower(nfc_normalize({{0}})), '{MARKED}', '{PLAIN}'), '\\p{{{{M}}}}+', '', 'g')"
+
+
+@lru_cache
+def _decompositions() -> str:
+    """A SQL map from each character that NFKD or the loss of its marks changes to what is left, by rule from the
+    Unicode data; Latin first, because the map is searched in order. Hangul syllables are left out: 11,172 of them."""
+    pairs = []
+    for i in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1F300), *range(0x2F800, 0x2FA20), *range(0x1FBF0, 0x1FBFA)):
+        left = "".join(x for x in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(x))
+        if left != chr(i):
+            pairs.append((chr(i), left.replace("'", "''")))
+    said = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    return f"MAP([{said(c for c, _ in pairs)}], [{said(x for _, x in pairs)}])"
+
+
+def _normalised(column: str) -> str:
+    """Lower case, NFKD, without combining marks: character by character, where a text has others than ASCII."""
+    each = f"lambda c: CASE WHEN c < chr(128) THEN c ELSE coalesce({_decompositions()}[c], c) END"
+    return f"CASE WHEN regexp_matches({column}, '[^\\x00-\\x7f]') THEN array_to_string(list_transform(regexp_extract_all(lower({column}), '(?s).'), {each}), '') ELSE lower({column}) END"
+
+
+#: Where a query's SQL needs the normalised review text; the others leave it out.
+NORM = "/*norm*/NULL::VARCHAR"
 _TOPIC = ", ".join(f"regexp_matches(norm, '{p}')::INT::DOUBLE AS topic_{t}" for t, p in TOPICS.items())
 _DAYS = "(epoch_us({0}) - epoch_us({1})) / 86400e6"
 ITEMS = f"""
@@ -325,7 +347,7 @@ panel0 AS (SELECT o.*, c.customer_state, c.customer_city, r.review_score, coales
     {_DAYS.format("order_delivered_customer_date", "order_purchase_timestamp")} AS delivery_days, {_DAYS.format("order_delivered_customer_date", "order_estimated_delivery_date")} AS days_late,
     {_DAYS.format("order_delivered_carrier_date", "order_purchase_timestamp")} AS days_to_carrier
   FROM orders1 o LEFT JOIN customers1 c USING (customer_id) LEFT JOIN reviews2 r USING (order_id) LEFT JOIN items2 i USING (order_id)),
-panel1 AS (SELECT *, length(review_text) > 0 AS has_text, {_NORM.format("review_text")} AS norm FROM panel0),
+panel1 AS (SELECT *, length(review_text) > 0 AS has_text, {NORM} AS norm FROM panel0),
 panel AS (SELECT *, {_TOPIC} FROM panel1)""".replace("panel AS (", "orders_panel AS (").replace("{{", "{").replace("}}", "}")
 WEEKLY_COLUMNS = """count(*) AS orders_placed, count(*) FILTER (delivered) AS orders, sum(order_value) FILTER (delivered) AS revenue,
   avg(order_value) FILTER (delivered) AS order_value, avg(on_time) FILTER (delivered) AS on_time, avg(delivery_days) FILTER (delivered) AS delivery_days, avg(days_late) FILTER (delivered) AS days_late,
@@ -333,7 +355,7 @@ WEEKLY_COLUMNS = """count(*) AS orders_placed, count(*) FILTER (delivered) AS or
   count(review_score) FILTER (delivered) AS n_reviews, avg(cancellation_rate) AS cancellation_rate"""
 WEEKLY = f"{PANEL}, weekly AS (SELECT week, {WEEKLY_COLUMNS} FROM orders_panel GROUP BY week)"
 SERIES = f"""{WEEKLY},
-series AS (SELECT row_number() OVER (ORDER BY week) - 1 AS i, week, CASE WHEN week BETWEEN DATE '{FIRST}' AND DATE '{LAST}' THEN order_value * {EFFECT} ELSE order_value END AS value FROM weekly),
+series AS (SELECT row_number() OVER (ORDER BY week) - 1 AS i, week, {METRIC} AS value FROM weekly),
 med AS (SELECT median(value) AS center FROM series),
 base AS (SELECT count(value) AS n, any_value(center) AS center, CASE WHEN greatest(1.4826 * median(abs(value - center)), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349) > 0
    THEN greatest(1.4826 * median(abs(value - center)), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.349) ELSE coalesce(stddev_samp(value), 0) END AS scale FROM series, med),
@@ -382,7 +404,7 @@ parts AS (SELECT p.*, CASE WHEN i > greatest(n - 8, 6) THEN 'recent' ELSE 'prior
 _STOPS = ", ".join("'" + s.replace("'", "''") + "'" for s in STOP)
 _WORDS = f"list_filter(regexp_extract_all({{0}}, '[a-z][a-z''\\-]{{{{2,}}}}'), lambda w: NOT list_contains([{_STOPS}], w))".replace("{{{{", "{{").replace("}}}}", "}}")
 _PAIRS = "list_transform(range(1, len({0})), lambda k: {0}[k] || ' ' || {0}[k + 1])"
-TEXTS = f"texts AS (SELECT {_NORM.format('customer_feedback')} AS norm FROM upload_records WHERE customer_feedback IS NOT NULL), ws AS (SELECT {_WORDS.format('norm')} AS w FROM texts)".replace("{{", "{").replace("}}", "}")
+TEXTS = f"texts AS (SELECT {_normalised('customer_feedback')} AS norm FROM upload_records WHERE customer_feedback IS NOT NULL), ws AS (SELECT {_WORDS.format('norm')} AS w FROM texts)".replace("{{", "{").replace("}}", "}")
 _P2 = lambda xe, ne, xb, nb: f"{xe} / {ne} - {xb} / {nb} AS estimate, ({xe} / {ne} - {xb} / {nb}) / sqrt(({xe} + {xb}) / ({ne} + {nb}) * (1 - ({xe} + {xb}) / ({ne} + {nb})) * (1 / {ne} + 1 / {nb})) AS z"
 
 _LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATES.items())
@@ -541,7 +563,7 @@ SQL = {
         FROM (SELECT * FROM v) GROUP BY 1 HAVING count(*) FILTER (p) > 0""",
         "drift",
     ),
-    "normalized_text": f"SELECT doc_id, {_NORM.format('text')} AS norm FROM documents WHERE NOT regexp_matches({_NORM.format('text')}, '[^\\x00-\\x7f]')".replace("{{", "{").replace("}}", "}"),
+    "normalized_text": f"SELECT doc_id, {_normalised('text')} AS norm FROM documents",
     "topic_flags": f"WITH {PANEL} SELECT order_id, {', '.join(f'topic_{t}' for t in TOPICS)} FROM orders_panel WHERE has_text",
     "term_doc_frequency": f"WITH {TEXTS} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM ws) GROUP BY 1",
     "bigram_doc_frequency": f"WITH {TEXTS} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_PAIRS.format('w')})) AS term FROM ws) GROUP BY 1",
@@ -556,3 +578,5 @@ SQL = {
     ),
     "freshness": " UNION ALL ".join(f"SELECT '{n}' AS source, count(*) AS n_rows, strftime(max(loaded_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS newest FROM {n}" for n in ("olist_orders_dataset", "olist_customers_dataset", "olist_order_items_dataset", "olist_order_reviews_dataset")),
 }
+for _name in ("weekly_topic_rates", "topic_counts", "topic_flags", "topic_lift", "text_segment_alignment", "term_lift"):
+    SQL[_name] = SQL[_name].replace(NORM, _normalised("review_text"))
