@@ -35,13 +35,13 @@ CHANGES = ("n_formats", "pattern_share", "value_set_change", "distance")
 
 def p2_change(spark: SparkSession, d: str) -> DataFrame:
     """What p2_profile lacks: formats, and the change of formats, values and distribution against the base loads."""
-    figures = quality.change_profile(quality.value_state(table(spark, d, "upload_records")))
+    figures = quality.change_profile(table(spark, d, "upload_records"))
     return figures.select(F.col("feed_id").cast("long").alias("feed_id"), F.col("load_no").cast("long").alias("load_no"), "column_name", "n_formats", *[F.round(c, 6).alias(c) for c in CHANGES[1:]])
 
 
 def p2_change_limits(spark: SparkSession, d: str) -> DataFrame:
     """Control limits of the metrics that p2_control_limits lacks."""
-    figures = quality.change_profile(quality.value_state(table(spark, d, "upload_records")))
+    figures = quality.change_profile(table(spark, d, "upload_records"))
     out = quality.control_limits(cut(figures), ["min_number", *CHANGES])
     return out.select(F.col("feed_id").cast("long").alias("feed_id"), F.col("load_no").cast("long").alias("load_no"), "column_name", "metric", F.round("value", 4).alias("value"), F.round("center", 4).alias("center"), F.round("spread", 4).alias("spread"), "out_of_control")
 

@@ -1,14 +1,16 @@
-"""Column-level data quality of repeated loads, from one shared aggregate scan.
-
-The scan turns every row of every column into a mergeable state, the value frequency (feed, load, column, value ->
-rows). States of separate files, partitions or days are merged by adding their counts, so a new load costs only its
-own scan. All figures and all checks are declared over that state: null and missing shares, distinct counts, ranges,
-formats, value sets and distributions against a base of early loads, the comparison with a recorded profile, and
-control limits of each figure over the loads before it.
-
-Scale: the state is built with map-side partial counts; a hot feed or value leaves a map task as one row. Cumulative
-shares of a numeric column are prefix sums in two levels (inside value buckets cut at the column's own approximate
-quantiles, then over bucket totals), so no task holds a whole hot column in order.
+"""Column-level data quality of repeated loads: declared checks compiled into one shared aggregate scan.
+
+The scan turns each cell of a load into at most two hashed entries, its value and (where asked) its format, and counts
+them: (feed, load, column, kind, 128-bit hash, number) -> rows. No text is in this state. States of files, partitions or
+days merge by adding counts, so a new load costs only its own scan. Everything else is compiled from the checks: figures
+of each load and column are one aggregate of the state; what has to be held against the base is one exchange of the
+compared entries, into buckets of a column's values, in which base counts, set differences, share differences and local
+cumulative differences are taken at once. A check is a measure over these figures, a limit and the columns it covers;
+`issues` evaluates all of them in one projection.
+
+Scale: entries are counted on the map side, so a hot feed or value leaves a map task as one row. Buckets are cut at the
+column's own approximate quantiles (numbers) or by hash (text), so no task holds a whole hot column; cumulative shares
+over buckets follow from the buckets' totals, a table of feeds x loads x columns x BUCKETS rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessaria.plans.materialize import cut
+from tessaria.plans.materialize import cut, small_side
 
 #: Texts that stand for "no value", compared without case and outer spaces.
 NO_VALUE = (
@@ -28,36 +30,59 @@ NO_VALUE = (
     "desconhecido", "indefinido", "ignorado", "não informado", "nao informado", "não disponível", "nao disponivel", "sem informação", "sem informacao", "sem valor", "sem dados",
     "desconocido", "no informado", "no disponible", "sin dato", "sin datos", "sin valor", "vacío", "vacio",
 )
-FEED, LOAD = "feed_id", "load_no"
-MISSING, PATTERN, VALUE_SET, RANGE, DISTRIBUTION, NULL_SHARE = 0.10, 0.05, 0.30, 0.05, 0.25, 0.005
-EPS = 1e-9
-BUCKETS = 64
+FEED, LOAD, NAME = "feed_id", "load_no", "column_name"
+KEYS = (FEED, LOAD, NAME)
+VALUE, FORMAT = 0, 1
+EPS, BUCKETS, MAX_BROADCAST_FIGURES = 1e-9, 64, 50_000
+BASE, LATER, ANY = "base", "later", "any"
+
+
+@dataclass(frozen=True)
+class Check:
+    """An issue: `measure` (an expression over figures) exceeds `limit` in one of `columns`, in the loads it is meant for."""
+
+    issue: str
+    columns: Sequence[str]
+    measure: str
+    limit: float
+    loads: str = LATER
 
 
 @dataclass(frozen=True)
 class Checks:
-    """Which columns each check covers; base_loads are the first loads of a feed that later ones are held against."""
+    """The columns of a table, the loads that are the base of a feed, what is declared of them, and the metrics that have
+    to stay within the control limits of the loads before."""
 
     text: Sequence[str]
     numeric: Sequence[str]
-    pattern: Sequence[str] = ()
-    value_set: Sequence[str] = ()
-    range: Sequence[str] = ()
-    distribution: Sequence[str] = ()
+    declared: Sequence[Check] = ()
+    formats: Sequence[str] = ()
+    control: Sequence[str] = ()
     base_loads: int = 3
 
     @property
     def columns(self) -> list[str]:
         return [*self.text, *self.numeric]
 
+    def covers(self, *measures: str) -> list[str]:
+        """Columns of the checks that use one of the measures."""
+        return [c for c in self.columns if any(c in d.columns for d in self.declared for m in measures if m in d.measure)]
+
 
 UPLOAD = Checks(
     text=("order_id", "order_date", "region", "category", "customer_feedback"),
     numeric=("amount", "quantity"),
-    pattern=("order_id", "order_date"),
-    value_set=("region", "category"),
-    range=("amount", "quantity"),
-    distribution=("region", "category", "amount", "quantity"),
+    formats=("order_id", "order_date"),
+    declared=(
+        Check("missing", ("order_id", "order_date", "region", "category", "amount", "quantity", "customer_feedback"), "n_missing / n_rows - base_missing / base_rows", 0.10),
+        Check("pattern", ("order_id", "order_date"), "pattern_share", 0.05),
+        Check("value_set", ("region", "category"), "value_set_change", 0.30),
+        Check("range", ("amount", "quantity"), "outside_share", 0.05),
+        Check("distribution", ("region", "category", "amount", "quantity"), "distance", 0.25),
+        Check("null_rate", ("order_id", "order_date", "region", "category", "amount", "quantity", "customer_feedback"), "abs(recorded_null_rate - n_null / n_rows)", 0.005, ANY),
+        Check("n_unique", ("order_id", "order_date", "region", "category", "amount", "quantity", "customer_feedback"), "abs(recorded_unique - n_unique)", 0, ANY),
+        Check("role", ("order_id", "order_date", "region", "category", "amount", "quantity", "customer_feedback"), "int(recorded_role <> first_role)", 0),
+    ),
 )
 
 
@@ -66,166 +91,174 @@ def value_format(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "A"), r"\p{Nd}", "9")
 
 
-def value_state(df: DataFrame, checks: Checks = UPLOAD) -> DataFrame:
-    """(feed_id, load_no, column_name, value, number, n): the mergeable state. A null or NaN value is null here."""
-    cells = []
-    for c in checks.text:
-        cells.append(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"), F.lit(None).cast("double").alias("number")))
-    for c in checks.numeric:
-        x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
-        cells.append(F.struct(F.lit(c).alias("column_name"), F.when(x.isNotNull(), F.col(c).cast("string")).alias("value"), x.alias("number")))
-    rows = df.select(FEED, LOAD, F.explode(F.array(*cells)).alias("c")).select(FEED, LOAD, "c.*")
-    return rows.groupBy(FEED, LOAD, "column_name", "value", "number").agg(F.count(F.lit(1)).alias("n"))
+#: White space around a value.
+OUTER = " \t\n\x0b\f\r\u00a0"
+LONGEST_NO_VALUE = max(map(len, NO_VALUE))
 
 
-def merge_states(*states: DataFrame) -> DataFrame:
-    """The state of all their rows."""
-    whole = states[0]
-    for s in states[1:]:
-        whole = whole.unionByName(s)
-    return whole.groupBy(FEED, LOAD, "column_name", "value", "number").agg(F.sum("n").alias("n"))
+def stands_for_nothing(value: Column) -> Column:
+    bare = F.btrim(value, F.lit(OUTER))
+    return value.isNull() | F.when(F.length(bare) <= LONGEST_NO_VALUE, F.lower(bare).isin(*NO_VALUE)).otherwise(False)
 
 
-def _flagged(state: DataFrame, checks: Checks) -> DataFrame:
-    shown = F.lower(F.trim(F.regexp_replace("value", r"^[\s ]+|[\s ]+$", "")))
-    return state.withColumn("absent", F.col("value").isNull() | shown.isin(*NO_VALUE)).withColumn("is_base", F.col(LOAD) <= checks.base_loads)
-
-
-def profile(state: DataFrame, checks: Checks = UPLOAD) -> DataFrame:
-    """Per feed, load and column: rows, nulls, missing, distinct values as written, range, lengths."""
-    s = _flagged(state, checks)
-    here = ~F.col("absent")
-    return s.groupBy(FEED, LOAD, "column_name").agg(
-        F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
-        F.coalesce(F.sum(F.when(F.col("absent"), F.col("n"))), F.lit(0)).alias("n_missing"),
-        F.count("value").alias("n_unique"),
-        F.min("number").alias("min_number"),
-        F.max("number").alias("max_number"),
-        F.min(F.when(here, F.length("value"))).alias("min_length"),
-        F.max(F.when(here, F.length("value"))).alias("max_length"),
-    )
+_ENTRY = ("kind", "h1", "h2", "number", "absent", "length")
 
 
-def _keys(*more: str) -> list[str]:
-    return [FEED, LOAD, "column_name", *more]
-
+def value_state(df: DataFrame, checks: Checks = UPLOAD) -> DataFrame:
+    """(feed_id, load_no, column_name, kind, h1, h2, number, absent, length, n): the mergeable state.
 
-def _missing(s: DataFrame, checks: Checks) -> DataFrame:
-    n = s.groupBy(*_keys("is_base")).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("absent"), F.col("n"))), F.lit(0)).alias("m"))
-    base = n.where("is_base").groupBy(FEED, "column_name").agg((F.sum("m") / F.sum("n")).alias("base_share"))
-    later = n.where("NOT is_base").join(base, [FEED, "column_name"])
-    return later.where(F.col("m") / F.col("n") - F.col("base_share") > MISSING + EPS).select(*_keys(), F.lit("missing").alias("issue"))
+    kind is VALUE or FORMAT; h1 and h2 are a value's hash as written, null for a null or NaN one.
+    """
+    none = F.lit(None).cast("double")
+    numbers = {c: F.nanvl(F.col(c).cast("double"), none) for c in checks.numeric}
+    # each step is a projection of its own, so that no value is computed twice
+    read = df.select(FEED, LOAD, *[F.col(c).cast("string").alias(f"v_{c}") for c in checks.text], *[x.alias(f"x_{c}") for c, x in numbers.items()], *[F.when(x.isNotNull(), F.col(c).cast("string")).alias(f"v_{c}") for c, x in numbers.items()])
+    read = read.select("*", *[(F.col(f"x_{c}").isNull() if c in numbers else stands_for_nothing(F.col(f"v_{c}"))).alias(f"gone_{c}") for c in checks.columns])
+    read = read.select("*", *[F.when(~F.col(f"gone_{c}"), value_format(F.col(f"v_{c}"))).alias(f"f_{c}") for c in checks.formats])
 
+    def entry(c: str, kind: int, text: Column, number: Column, absent: Column) -> Column:
+        h = [F.when(text.isNotNull(), F.xxhash64(*seed, text)) for seed in ((), (F.lit(1),))]
+        return F.struct(F.lit(c).alias(NAME), F.lit(kind).alias("kind"), h[0].alias("h1"), h[1].alias("h2"), number.alias("number"), absent.alias("absent"), F.length(text).alias("length"))
 
-def pattern_share(s: DataFrame, checks: Checks) -> DataFrame:
-    """Share of a later load's values whose format the base lacks."""
-    f = s.where(F.col("column_name").isin(*checks.pattern) & ~F.col("absent")).withColumn("form", value_format(F.col("value")))
-    f = f.groupBy(*_keys("is_base", "form")).agg(F.sum("n").alias("n"))
-    known = f.where("is_base").select(FEED, "column_name", "form", F.lit(True).alias("known")).distinct()
-    share = f.where("NOT is_base").join(known, [FEED, "column_name", "form"], "left").groupBy(*_keys()).agg(F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("odd"), F.sum("n").alias("n"))
-    share = share.join(f.where("is_base").select(FEED, "column_name").distinct(), [FEED, "column_name"], "left_semi")
-    return share.select(*_keys(), (F.col("odd") / F.col("n")).alias("pattern_share"))
+    entries = [entry(c, VALUE, F.col(f"v_{c}"), F.col(f"x_{c}") if c in numbers else none, F.col(f"gone_{c}")) for c in checks.columns]
+    entries += [F.when(F.col(f"f_{c}").isNotNull(), entry(c, FORMAT, F.col(f"f_{c}"), none, F.lit(False))) for c in checks.formats]
+    rows = read.select(FEED, LOAD, F.explode(F.array(*entries)).alias("e")).where("e IS NOT NULL").select(FEED, LOAD, "e.*")
+    return rows.groupBy(*KEYS, *_ENTRY).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _pattern(s: DataFrame, checks: Checks) -> DataFrame:
-    return pattern_share(s, checks).where(F.col("pattern_share") > PATTERN + EPS).select(*_keys(), F.lit("pattern").alias("issue"))
+def merge_states(*states: DataFrame) -> DataFrame:
+    """The state of all their rows."""
+    whole = states[0]
+    for s in states[1:]:
+        whole = whole.unionByName(s)
+    return whole.groupBy(*KEYS, *_ENTRY).agg(F.sum("n").alias("n"))
 
 
-def value_set_change(s: DataFrame, checks: Checks) -> DataFrame:
-    """Values in only one of a later load and the base, over the base's distinct values."""
-    v = s.where(F.col("column_name").isin(*checks.value_set) & ~F.col("absent"))
-    base = v.where("is_base").groupBy(FEED, "column_name", "value").agg(F.sum("n").alias("base_n"))
-    size = base.groupBy(FEED, "column_name").agg(F.count("value").alias("base_size"))
-    loads = s.where(F.col("column_name").isin(*checks.value_set) & ~F.col("is_base")).withColumn("value", F.when(~F.col("absent"), F.col("value"))).select(*_keys("value"))
-    both = loads.join(base, [FEED, "column_name", "value"], "left").groupBy(*_keys()).agg(F.count("value").alias("size"), F.count("base_n").alias("shared"))
-    odd = both.join(size, [FEED, "column_name"]).withColumn("odd", F.col("size") + F.col("base_size") - 2 * F.col("shared"))
-    return odd.select(*_keys(), (F.col("odd") / F.col("base_size")).alias("value_set_change"))
+def _flagged(state: DataFrame, checks: Checks) -> DataFrame:
+    return state.withColumn("is_base", F.col(LOAD) <= checks.base_loads)
 
 
-def _value_set(s: DataFrame, checks: Checks) -> DataFrame:
-    return value_set_change(s, checks).where(F.col("value_set_change") > VALUE_SET + EPS).select(*_keys(), F.lit("value_set").alias("issue"))
+def _n(when: Column) -> Column:
+    return F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
 
 
-def _range(s: DataFrame, checks: Checks) -> DataFrame:
-    v = s.where(F.col("column_name").isin(*checks.range) & F.col("number").isNotNull())
-    base = v.where("is_base").groupBy(FEED, "column_name").agg(F.min("number").alias("low"), F.max("number").alias("high"))
-    out = F.when((F.col("number") < F.col("low")) | (F.col("number") > F.col("high")), F.col("n")).otherwise(0)
-    share = v.where("NOT is_base").join(base, [FEED, "column_name"]).groupBy(*_keys()).agg(F.sum(out).alias("odd"), F.sum("n").alias("n"))
-    return share.where(F.col("odd") / F.col("n") > RANGE + EPS).select(*_keys(), F.lit("range").alias("issue"))
+def profile(state: DataFrame, checks: Checks = UPLOAD, cuts: bool = False) -> DataFrame:
+    """Per feed, load and column: rows, nulls, missing, distinct values as written, range, lengths, formats."""
+    value, shown = F.col("kind") == VALUE, ~F.col("absent")
+    is_format = F.col("kind") == FORMAT
+    more = [F.percentile_approx("number", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("cuts")] if cuts else []
+    return state.groupBy(*KEYS).agg(
+        _n(value).alias("n_rows"),
+        _n(value & F.col("h1").isNull()).alias("n_null"),
+        _n(value & F.col("absent")).alias("n_missing"),
+        F.count(F.when(value, F.col("h1"))).alias("n_unique"),
+        F.min("number").alias("min_number"),
+        F.max("number").alias("max_number"),
+        F.min(F.when(value & shown, F.col("length"))).alias("min_length"),
+        F.max(F.when(value & shown, F.col("length"))).alias("max_length"),
+        _n(value & shown).alias("n_values"),
+        F.count(F.when(is_format, 1)).alias("n_formats"),
+        *more,
+    )
 
 
-def categorical_distance(s: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Half the sum of the absolute differences of value shares, load against base."""
-    v = s.where(F.col("column_name").isin(*columns) & ~F.col("absent"))
-    base = v.where("is_base").groupBy(FEED, "column_name", "value").agg(F.sum("n").alias("bn"))
-    base_n = base.groupBy(FEED, "column_name").agg(F.sum("bn").alias("base_total"))
-    later = v.where("NOT is_base").groupBy(*_keys("value")).agg(F.sum("n").alias("n"))
-    total = later.groupBy(*_keys()).agg(F.sum("n").alias("total"))
-    share = later.join(base, [FEED, "column_name", "value"], "left").join(base_n, [FEED, "column_name"]).join(total, _keys())
-    p, q = F.col("n") / F.col("total"), F.coalesce(F.col("bn"), F.lit(0)) / F.col("base_total")
-    sums = share.groupBy(*_keys()).agg(F.sum(F.abs(p - q)).alias("seen"), F.sum(q).alias("covered"))
-    return sums.select(*_keys(), ((F.col("seen") + 1 - F.col("covered")) / 2).alias("distance"))
+def with_base(figures: DataFrame, checks: Checks) -> DataFrame:
+    """The figures with those of the feed's base: rows, missing ones, values, range, and where buckets are cut."""
+    base, of = F.col(LOAD) <= checks.base_loads, Window.partitionBy(FEED, NAME)
+    sums = {f"base_{c}": F.sum(F.when(base, F.col(f"n_{c}"))).over(of) for c in ("rows", "missing", "values")}
+    low, high = F.min(F.when(base, F.col("min_number"))).over(of), F.max(F.when(base, F.col("max_number"))).over(of)
+    return figures.withColumns({**sums, "low": low, "high": high, "cuts": F.max_by("cuts", F.when(F.col("cuts").isNotNull(), F.col("n_values"))).over(of)})
 
 
-def numeric_distance(s: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The largest difference of the cumulative shares, load against base.
+def compared(state: DataFrame, figures: DataFrame, checks: Checks, text: Sequence[str], numeric: Sequence[str]) -> DataFrame:
+    """The figures with those against the base: pattern_share, value_set_change, outside_share and distance.
 
-    At each of the load's values both cumulative shares are compared just before and at the value; between two of them
-    the load's share is constant and the base's monotone, so the largest difference lies at one of these points.
+    distance is half the sum of the absolute differences of value shares for text; for numbers it is the largest
+    difference of the cumulative shares. Between two of the load's values the load's share is constant and the base's is
+    monotone, so that difference lies just before or at one of the load's values. Inside a bucket both cumulative counts
+    start at zero; what lies in the buckets below moves all differences of a bucket alike.
     """
-    v = s.where(F.col("column_name").isin(*columns) & F.col("number").isNotNull())
-    v = v.groupBy(*_keys("is_base", "number")).agg(F.sum("n").alias("n"))
-    cuts = v.groupBy(FEED, "column_name").agg(F.percentile_approx("number", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("cuts"))
-    v = v.join(cuts, [FEED, "column_name"]).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("number")))).drop("cuts")
-    base_n, load_n = F.when(F.col("is_base"), F.col("n")).otherwise(0), F.when(~F.col("is_base"), F.col("n")).otherwise(0)
-    inside = Window.partitionBy(FEED, "column_name", "bucket").orderBy("number").rangeBetween(Window.unboundedPreceding, 0)
-    own = Window.partitionBy(*_keys("bucket")).orderBy("number").rangeBetween(Window.unboundedPreceding, 0)
-    at = Window.partitionBy(FEED, "column_name", "bucket", "number")
-    v = v.withColumn("b_to", F.sum(base_n).over(inside)).withColumn("b_at", F.sum(base_n).over(at)).withColumn("l_to", F.sum(load_n).over(own))
-    zero = F.lit(0)
-    b_tot = v.groupBy(FEED, "column_name", "bucket").agg(F.sum(base_n).alias("t"))
-    b_all = Window.partitionBy(FEED, "column_name")
-    b_tot = b_tot.withColumn("b_off", F.coalesce(F.sum("t").over(b_all.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), zero)).withColumn("b_total", F.sum("t").over(b_all)).drop("t")
-    l_tot = v.where("NOT is_base").groupBy(*_keys("bucket")).agg(F.sum("n").alias("t"))
-    l_all = Window.partitionBy(*_keys())
-    l_tot = l_tot.withColumn("l_off", F.coalesce(F.sum("t").over(l_all.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), zero)).withColumn("l_total", F.sum("t").over(l_all)).drop("t")
-    x = v.where("NOT is_base").join(b_tot, [FEED, "column_name", "bucket"]).join(l_tot, _keys("bucket")).where("b_total > 0")
-    b_incl, l_incl = (F.col("b_to") + F.col("b_off")) / F.col("b_total"), (F.col("l_to") + F.col("l_off")) / F.col("l_total")
-    b_excl = (F.col("b_to") - F.col("b_at") + F.col("b_off")) / F.col("b_total")
-    l_excl = (F.col("l_to") - F.col("n") + F.col("l_off")) / F.col("l_total")
-    return x.groupBy(*_keys()).agg(F.max(F.greatest(F.abs(b_incl - l_incl), F.abs(b_excl - l_excl))).alias("distance"))
-
-
-def distances(s: DataFrame, checks: Checks) -> DataFrame:
-    text = [c for c in checks.distribution if c in checks.text]
-    return categorical_distance(s, text).unionByName(numeric_distance(s, [c for c in checks.distribution if c in checks.numeric]))
-
-
-def _distribution(s: DataFrame, checks: Checks) -> DataFrame:
-    return distances(s, checks).where(F.col("distance") > DISTRIBUTION + EPS).select(*_keys(), F.lit("distribution").alias("issue"))
-
-
-def change_profile(state: DataFrame, checks: Checks = UPLOAD) -> DataFrame:
-    """The profile with the number of formats and, for later loads, how far formats, values and distribution are from the base."""
-    s = cut(_flagged(state, checks))
-    forms = s.where(~F.col("absent")).groupBy(*_keys()).agg(F.count_distinct(value_format(F.col("value"))).alias("n_formats"))
-    out = profile(s, checks).join(forms, _keys(), "left").withColumn("n_formats", F.coalesce("n_formats", F.lit(0)))
-    for change in (pattern_share(s, checks), value_set_change(s, checks), distances(s, checks)):
-        out = out.join(change, _keys(), "left")
-    return out
-
-
-def against_recorded(figures: DataFrame, recorded: DataFrame, checks: Checks) -> DataFrame:
-    """null_rate and n_unique of any load, role of the later ones, against what was recorded for each load."""
-    r = recorded.where(F.col("name").isNotNull()).withColumnRenamed("name", "column_name").select(*_keys(), "role", "n_unique", "null_rate").distinct()
-    f = figures.select(*_keys(), F.col("n_unique").alias("true_unique"), (F.col("n_null") / F.col("n_rows")).alias("true_rate"))
-    both = r.join(f, _keys())
-    rate = both.where(F.abs(F.nanvl("null_rate", F.lit(None).cast("double")) - F.col("true_rate")) > NULL_SHARE + EPS).select(*_keys(), F.lit("null_rate").alias("issue"))
-    unique = both.where(F.col("n_unique") != F.col("true_unique")).select(*_keys(), F.lit("n_unique").alias("issue"))
-    first = r.where(F.col(LOAD) == 1).groupBy(FEED, "column_name").agg(F.min("role").alias("first_role"))
-    role = r.where(F.col(LOAD) > checks.base_loads).join(first, [FEED, "column_name"]).where(F.col("role") != F.col("first_role")).select(*_keys(), F.lit("role").alias("issue"))
-    return rate.unionByName(unique).unionByName(role)
+    shown = state.where(~F.col("absent") & ((F.col("kind") == FORMAT) | F.col(NAME).isin(*text, *numeric)))
+    known = figures.select(*KEYS, "n_values", "base_values", "low", "high", "cuts")
+    v = shown.join(small_side(known, MAX_BROADCAST_FIGURES), list(KEYS))
+    below = F.size(F.filter("cuts", lambda c: c < F.col("number")))
+    v = v.withColumn("bucket", F.when(F.col("number").isNull(), F.pmod("h1", F.lit(BUCKETS)).cast("int")).otherwise(below)).drop("cuts")
+    in_bucket = (FEED, NAME, "kind", "bucket")
+    base, own = F.when(F.col(LOAD) <= checks.base_loads, F.col("n")).otherwise(0), F.col("n")
+    same = Window.partitionBy(*in_bucket, "h1", "h2")
+    up_to = lambda *keys: Window.partitionBy(*keys).orderBy("number").rangeBetween(Window.unboundedPreceding, 0)
+    v = v.repartition(*in_bucket)
+    v = v.withColumns({"base_n": F.sum(base).over(same), "first": F.row_number().over(same.orderBy(LOAD)) == 1, "b_to": F.sum(base).over(up_to(*in_bucket)), "l_to": F.sum(own).over(up_to(*in_bucket, LOAD))})
+    p, q = F.col("n") / F.col("n_values"), F.try_divide("base_n", "base_values")
+    incl = F.try_divide("b_to", "base_values") - F.col("l_to") / F.col("n_values")
+    excl = incl - q + p
+    outside = (F.col("number") < F.col("low")) | (F.col("number") > F.col("high"))
+    t = v.groupBy(*in_bucket, LOAD).agg(
+        F.sum("n").alias("n"), F.first("n_values").alias("n_values"), F.first("base_values").alias("base_values"), _n(F.col("base_n") == 0).alias("odd"), F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("base_n") > 0, 1)).alias("shared"),
+        F.count(F.when(F.col("first") & (F.col("base_n") > 0), 1)).alias("base_size"), F.sum(F.abs(p - q)).alias("seen"), F.sum(q).alias("covered"), _n(outside).alias("outside"), F.max(F.greatest(incl, excl)).alias("most"), F.min(F.least(incl, excl)).alias("least"),
+    )
+    lower = lambda *keys: Window.partitionBy(FEED, NAME, "kind", *keys).orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
+    b_off = F.coalesce(F.sum(F.when(F.col(LOAD) <= checks.base_loads, F.col("n"))).over(lower()), F.lit(0))
+    l_off = F.coalesce(F.sum("n").over(lower(LOAD)), F.lit(0))
+    t = t.withColumn("off", F.try_divide(b_off, F.col("base_values")) - l_off / F.col("n_values"))
+    form, value = F.col("kind") == FORMAT, F.col("kind") == VALUE
+    t = t.groupBy(*KEYS).agg(
+        F.sum(F.when(form, F.col("odd"))).alias("odd"), F.sum(F.when(form, F.col("n"))).alias("formatted"), F.sum(F.when(form, F.col("base_size"))).alias("base_forms"),
+        *[F.sum(F.when(value, F.col(c))).alias(c) for c in ("size", "shared", "base_size", "seen", "covered", "outside")],
+        F.max(F.when(value, F.greatest(F.col("most") + F.col("off"), -F.col("least") - F.col("off")))).alias("steps"),
+    )
+    out = figures.drop("cuts").join(t, list(KEYS), "left")
+    of = Window.partitionBy(FEED, NAME)
+    later, is_text, is_number = F.col(LOAD) > checks.base_loads, F.col(NAME).isin(*text), F.col(NAME).isin(*numeric)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    base_size, base_forms = F.sum("base_size").over(of), F.sum("base_forms").over(of)
+    change = F.try_divide(zero("size") + base_size - 2 * zero("shared"), base_size)
+    return out.withColumns(
+        {
+            "pattern_share": F.when(later & (base_forms > 0), F.try_divide("odd", "formatted")),
+            "value_set_change": F.when(later & is_text, change),
+            "outside_share": F.when(later & is_number & F.col("low").isNotNull(), F.try_divide("outside", "n_values")),
+            "distance": F.when(later & (F.col("base_values") > 0), F.when(is_text, (F.col("seen") + 1 - F.col("covered")) / 2).when(is_number, F.col("steps"))),
+        }
+    ).drop("odd", "formatted", "base_forms", "size", "shared", "base_size", "seen", "covered", "outside", "steps")
+
+
+def numeric_distance(s: DataFrame, columns: Sequence[str], checks: Checks = UPLOAD) -> DataFrame:
+    """(feed_id, load_no, column_name, distance) of numeric columns of later loads, from the state alone."""
+    figures = cut(with_base(profile(s, checks, cuts=True), checks))
+    return compared(s, figures, checks, [], columns).where("distance IS NOT NULL").select(*KEYS, "distance")
+
+
+def change_profile(df: DataFrame, checks: Checks = UPLOAD) -> DataFrame:
+    """The profile with the number of formats of every column and, for later loads, how far the formats, values and
+    distribution of the columns whose checks ask for it are from the base."""
+    every = Checks(checks.text, checks.numeric, checks.declared, checks.columns, checks.control, checks.base_loads)
+    out = _against_base(cut(value_state(df, every)), every)
+    covered = lambda measure: F.when(F.col(NAME).isin(*checks.covers(measure)), F.col(measure)).alias(measure)
+    mine = ("pattern_share", "value_set_change", "outside_share", "distance")
+    return out.select(*[c for c in out.columns if c not in mine], *map(covered, mine))
+
+
+def _against_base(state: DataFrame, checks: Checks) -> DataFrame:
+    figures = cut(with_base(profile(state, checks, cuts=True), checks))
+    both = checks.covers("value_set_change", "outside_share", "distance")
+    return compared(state, figures, checks, [c for c in both if c in checks.text], [c for c in both if c in checks.numeric])
+
+
+def with_recorded(figures: DataFrame, recorded: DataFrame) -> DataFrame:
+    """The figures beside what was recorded for each load and column, and the role recorded for the first load."""
+    r = recorded.where(F.col("name").isNotNull()).select(
+        FEED, LOAD, F.col("name").alias(NAME), F.col("role").alias("recorded_role"), F.col("n_unique").alias("recorded_unique"), F.nanvl(F.col("null_rate").cast("double"), F.lit(None).cast("double")).alias("recorded_null_rate")
+    )
+    first = F.min(F.when(F.col(LOAD) == 1, F.col("recorded_role"))).over(Window.partitionBy(FEED, NAME))
+    return figures.join(r.distinct().withColumn("first_role", first), list(KEYS), "full_outer")
+
+
+def evaluated(figures: DataFrame, checks: Checks) -> DataFrame:
+    """(feed_id, load_no, column_name, issue) of all declared checks that fail, distinct."""
+    later = F.col(LOAD) > checks.base_loads
+    failed = [F.when((F.expr(c.measure) > c.limit + EPS) & F.col(NAME).isin(*c.columns) & (later if c.loads == LATER else F.lit(True)), F.lit(c.issue)) for c in checks.declared]
+    return figures.select(*KEYS, F.explode(F.array_compact(F.array(*failed))).alias("issue")).distinct()
 
 
 def issues(df: DataFrame, recorded: DataFrame | None = None, checks: Checks = UPLOAD) -> DataFrame:
@@ -233,13 +266,17 @@ def issues(df: DataFrame, recorded: DataFrame | None = None, checks: Checks = UP
 
     Nulls, NaN, blanks and texts standing for "no value" are missing and enter no other check. A feed without base
     loads, or whose base has no value in a column, gives no row of the checks that need one; an empty table gives none.
-    Repeated rows count as often as they were delivered. Columns besides the named ones are ignored.
+    Repeated rows count as often as they were delivered. Columns besides the named ones are ignored. A metric under
+    control that leaves its limits is the issue `control_<metric>`.
     """
-    s = cut(_flagged(value_state(df, checks), checks))
-    found = _missing(s, checks).unionByName(_pattern(s, checks)).unionByName(_value_set(s, checks)).unionByName(_range(s, checks)).unionByName(_distribution(s, checks))
-    if recorded is not None:
-        found = found.unionByName(against_recorded(profile(s, checks), recorded, checks))
-    return found.distinct()
+    figures = _against_base(cut(value_state(df, checks)), checks)
+    if recorded is None:
+        recorded = df.sparkSession.createDataFrame([], f"{FEED} int, {LOAD} int, name string, role string, n_unique long, null_rate double")
+    found = evaluated(with_recorded(figures, recorded), checks)
+    if checks.control:
+        out = control_limits(figures, checks.control).where("out_of_control")
+        found = found.unionByName(out.select(*KEYS, F.concat(F.lit("control_"), "metric").alias("issue")))
+    return found
 
 
 def control_limits(figures: DataFrame, metrics: Sequence[str], sigmas: float = 3.0, least: int = 3) -> DataFrame:
@@ -249,8 +286,8 @@ def control_limits(figures: DataFrame, metrics: Sequence[str], sigmas: float = 3
     is out of control if at least `least` precede it and it lies more than `sigmas` deviations from the center.
     """
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
-    long = figures.select(*_keys(), F.explode(cells).alias("c")).select(*_keys(), "c.*")
-    w = Window.partitionBy(FEED, "column_name", "metric").orderBy(LOAD).rowsBetween(Window.unboundedPreceding, -1)
+    long = figures.select(*KEYS, F.explode(cells).alias("c")).select(*KEYS, "c.*")
+    w = Window.partitionBy(FEED, NAME, "metric").orderBy(LOAD).rowsBetween(Window.unboundedPreceding, -1)
     long = long.withColumn("center", F.avg("value").over(w)).withColumn("spread", F.stddev_samp("value").over(w)).withColumn("before", F.count("value").over(w))
     out = (F.col("before") >= least) & (F.abs(F.col("value") - F.col("center")) > sigmas * F.col("spread") + EPS)
     return long.withColumn("out_of_control", F.coalesce(out, F.lit(False))).drop("before")
