@@ -105,7 +105,8 @@ def p7_state_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    known = state_rollup(spark, d).where(F.col("customer_state").isNotNull()).select("customer_state", "n_customers")
+    """Of the joined roll-up, written once (a row a state): it is read for the total and for the states."""
+    known = cut(state_rollup(spark, d)).where(F.col("customer_state").isNotNull())
     all_of = known.agg(F.sum("n_customers").alias("all_customers"))
     return known.join(F.broadcast(all_of)).where(F.col("n_customers") > SHARE * F.col("all_customers")).select("customer_state")  # one row of totals
 
