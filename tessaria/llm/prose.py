@@ -1,21 +1,26 @@
 """Per-document text statistics, and fixed-threshold rules that tell prose from lists, tables and junk.
 
-Statistics are computed over whole texts in Arrow batches, one narrow scan without any exchange. The rules compare them
-with thresholds that are constants of this module (those published for web corpora where one fits: bullet lines, words
-without letters, mean word length, symbols per word, repeated lines, common words, short lines; field lines for
-tables), and every rule that a document fails is recorded by name. A document's kind follows from the failed rules.
+Statistics are vectorised: whole Arrow columns of texts are cut into lines, tokens and words at once, counted by compiled
+regular expressions and summed per document; a word is judged once per batch, however often it occurs. It is one narrow
+scan without any exchange. Rules compare the figures with thresholds that are constants of this module, and every rule
+that a document fails is recorded by name. `published` are the thresholds of published web corpus filters (MassiveText's
+quality rules, C4's line rule); they are recorded, but alone they do not tell a short note from junk, so `kinds`, whose
+thresholds set lists, tables and junk apart, decide the kind: that of the first one that fails.
 
 Null text has zero statistics and fails no rule, as does text without any sign. Length, case, language and line layout
-alone fail no rule.
+alone decide no kind.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,88 +35,253 @@ COMMON = frozenset(
     when which who will with would you
     """.split()
 )
-TERMINAL = ".!?…:;\"”’»)"
-BULLET = re.compile(r"^(?:[-*•·–—+>▪◦‣]|\[[ xX]?\]|\(?\d{1,3}[.)]|\(?[a-zA-Z]{1,2}\))\s+")
-WORD, SIGN = re.compile(r"[^\W\d_]+"), re.compile(r"[^\W_]")
-SHORT_LINE, RUN = 7, 6
-SPLIT = {"\t": re.compile(r"\t"), ";": re.compile(r";"), "|": re.compile(r"\|"), ",": re.compile(r" , |,(?=\S)"), "  ": re.compile(r" {2,}")}
+#: What ends a sentence, vowels, and signs that a line of a list starts with.
+TERMINAL, VOWELS = ".!?…:;\"”’»)", "aeiouyà-æè-ïò-öù-ýāēīōū"
+SPACE = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+BULLET = rf"^(?:[-*•·–—+>▪◦‣]|\[[ xX]?\]|\(?[0-9]{{1,3}}[.)]|\(?[a-zA-Z]{{1,2}}\))[{SPACE}]+"
+SIGN = r"\p{L}\p{N}"
+SYMBOL = rf"[^{SIGN}{SPACE}.,;:!?'\"()\-–—“”‘’%/$ªº]"
+SAID = rf"[^{SPACE}]*[{SIGN}][^{SPACE}]*"
+ELLIPSIS = r"(?:\.\.\.|…)$"
+SHORT_LINE, RUN, SLICE_BYTES = 7, 6, 4 << 20
 
-COUNTS = ("n_chars", "n_words", "n_lines")
+COUNTS = ("n_chars", "n_words", "n_lines", "n_common")
 FIGURES = (
     "mean_word_length", "symbol_ratio", "letter_share", "terminal_line_share", "bullet_line_share", "short_line_word_share", "words_per_line",
     "common_word_share", "repeated_line_share", "distinct_word_share", "top_bigram_share", "repeated_run_share", "vowel_word_share",
-    "symbol_word_share", "field_line_share", "fields_per_line", "words_per_field",
+    "symbol_word_share", "field_line_share", "fields_per_line", "words_per_field", "ellipsis_line_share", "alphabetic_word_share", "hash_ratio",
 )
 STATS = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField(c, T.DoubleType()) for c in FIGURES])
-SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-–—“”‘’%/$ªº]|_")
-BARE = re.compile(r"(?<!\S)(?:[^\w\s]|_)+(?!\S)")
-VOWELS = re.compile("[aeiouyà-æè-ïò-öù-ýāēīōū]")
+_ARROW = pa.struct([pa.field(c, pa.int64()) for c in COUNTS] + [pa.field(c, pa.float64()) for c in FIGURES])
 
 
-@lru_cache(maxsize=200_000)
-def has_vowel(word: str) -> bool:
-    return VOWELS.search(word) is not None
+def _count(texts: pa.Array, pattern: str) -> np.ndarray:
+    return pc.count_substring_regex(texts, pattern).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def fields(lines: list[str]) -> tuple[float, float, float]:
+def _true(flags: pa.Array) -> np.ndarray:
+    return flags.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.divide(part, whole, out=np.zeros(len(whole)), where=whole > 0)
+
+
+LETTER_, SIGN_, SPACE_, ALPHA_, VOWEL_ = 1, 2, 4, 8, 16
+TABLE = 0x20000
+
+
+@lru_cache
+def _table() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point its classes and its small letter; from TABLE on all count as letters."""
+    flags, low = np.zeros(TABLE + 1, np.uint8), np.arange(TABLE + 1, dtype=np.uint32)
+    vowels = re.compile(f"[{VOWELS}]")
+    for i in range(TABLE):
+        c = chr(i)
+        kind, small = unicodedata.category(c), c.lower()
+        if len(small) == 1 and ord(small) < TABLE:
+            low[i] = ord(small)
+        alpha, space = kind[0] == "L", kind[0] == "Z" or c in "\t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85"
+        flags[i] = LETTER_ * (alpha or kind in ("Nl", "No")) + SIGN_ * (alpha or kind[0] == "N") + SPACE_ * space + ALPHA_ * alpha + VOWEL_ * bool(vowels.match(small))
+    flags[TABLE] = LETTER_ + SIGN_ + ALPHA_
+    return flags, low
+
+
+class _Runs:
+    """Longest runs of characters of a kind (words, tokens) in texts laid out one after the other, none across two."""
+
+    def __init__(self, inside: np.ndarray, bounds: np.ndarray) -> None:
+        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+        self.start = np.flatnonzero(edge == 1)
+        self.length = np.flatnonzero(edge == -1) - self.start
+        self.count = np.diff(np.searchsorted(self.start, bounds))
+        self.at = np.flatnonzero(inside)
+        self.offset = np.cumsum(self.length) - self.length
+
+    def any(self, flags: np.ndarray) -> np.ndarray:
+        """The flags that any character of each run has."""
+        return np.bitwise_or.reduceat(flags[self.at], self.offset) if len(self.start) else np.zeros(0, flags.dtype)
+
+    def hashes(self, codes: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the runs' characters."""
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        power = np.cumprod(np.full(int(self.length.max()), 0x9E3779B97F4A7C15, np.uint64))
+        h = np.add.reduceat((codes[self.at].astype(np.uint64) + np.uint64(1)) * power[self.at - np.repeat(self.start, self.length)], self.offset)
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, each ended by a line break, and where each text begins (and the last one ends)."""
+    codes = np.frombuffer("".join([t + "\n" for t in texts.to_pylist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.minimum(codes, TABLE), np.append(0, np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False) + 1))
+
+
+def _repeats(owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes (of 48 bits) of each owner, and how often its commonest one occurs; fewer than 65536 owners."""
+    keys = np.sort(owner.astype(np.uint64) << np.uint64(48) | hashes >> np.uint64(16))
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
+    who, times = (keys[first] >> np.uint64(48)).astype(int), np.diff(np.append(first, len(keys)))
+    most = np.zeros(n, np.int64)
+    np.maximum.at(most, who, times)
+    return np.bincount(who, None, n), most
+
+
+@lru_cache
+def _common() -> np.ndarray:
+    text = " ".join(sorted(COMMON))
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.unique(_Runs(codes != 32, np.array([0, len(codes)])).hashes(codes))
+
+
+class _Groups:
+    """Sums over the parts (lines, words) of each of `n` documents."""
+
+    def __init__(self, owner: np.ndarray, n: int) -> None:
+        self.owner, self.n = owner, n
+
+    def sum(self, x: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(self.owner, None if x is None else x.astype(float), self.n)
+
+    def most(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The commonest code of each document (of equals the first) and how often it occurs; -1 and 0 without any."""
+        code, times = np.full(self.n, -1), np.zeros(self.n, np.int64)
+        if not len(codes):
+            return code, times
+        order = np.lexsort((codes, self.owner))  # stable: the first of equals comes first
+        o, c = self.owner[order], codes[order]
+        start = np.flatnonzero(np.append(True, (o[1:] != o[:-1]) | (c[1:] != c[:-1])))
+        k = np.diff(np.append(start, len(o)))
+        best = np.lexsort((order[start], -k, o[start]))
+        docs, at = np.unique(o[start][best], return_index=True)
+        code[docs], times[docs] = c[start][best][at], k[best][at]
+        return code, times
+
+
+def _fields(lines: pa.Array, of: _Groups) -> list[np.ndarray]:
     """Share of lines that one separator cuts into the same number of fields, that number, and words per field."""
-    best = (0.0, 0.0, 0.0)
-    text = "\n".join(lines)
-    for sign, pattern in SPLIT.items():
-        if sign not in text:
-            continue
-        cuts = [len(pattern.findall(x)) for x in lines]
-        usual = Counter(c for c in cuts if c).most_common(1)
-        if usual:
-            k, n = usual[0]
-            # lines that lack some fields, or hold more, still are rows of the same table
-            near = [x for x, c in zip(lines, cuts) if c == k or k > 1 and (k + 1) // 2 <= c <= k + 2]
-            best = max(best, (len(near) / len(lines), k + 1.0, sum(1 for x in near for w in pattern.sub(" ", x).split() if SIGN.search(w)) / ((k + 1) * len(near))))
-    return best
+    lines = pc.if_else(pc.match_substring(lines, "\t"), lines, pc.utf8_trim(lines, " ;,|\r"))
+    comma = _count(lines, ",") - _count(lines, rf",[{SPACE}]") - _true(pc.match_substring_regex(lines, ",$")) + pc.count_substring(lines, " , ").to_numpy(zero_copy_only=False)
+    n_lines = of.sum()
+    best = np.zeros((3, of.n))
+    for sign, cuts in (("\t", None), (";", None), ("|", None), (",", comma), ("  ", _count(lines, " {2,}"))):
+        cuts = pc.count_substring(lines, sign).to_numpy(zero_copy_only=False).astype(np.int64) if cuts is None else cuts
+        some = cuts > 0
+        k, times = _Groups(of.owner[some], of.n).most(cuts[some])
+        mine = k[of.owner]
+        # lines that lack some fields, or hold more, still are rows of the same table
+        near = (times[of.owner] > 0) & ((cuts == mine) | (mine > 1) & ((mine + 1) // 2 <= cuts) & (cuts <= mine + 2))
+        words = np.zeros(len(cuts))
+        words[near] = _count(pc.replace_substring(lines.filter(pa.array(near)), sign, " "), SAID)
+        rows = of.sum(near)
+        one = np.array([_share(rows, n_lines), np.where(times > 0, k + 1.0, 0.0), _share(of.sum(words), (k + 1) * rows)])
+        better = (times > 0) & ((one[0] > best[0]) | (one[0] == best[0]) & ((one[1] > best[1]) | (one[1] == best[1]) & (one[2] > best[2])))
+        best[:, better] = one[:, better]
+    return list(best)
+
+
+def _statistics(texts: pa.Array) -> pa.StructArray:
+    n = len(texts)
+    flags, small = _table()
+    chars = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+    codes, bounds = _laid_out(texts)
+    kinds_ = flags[codes]
+    token = _Runs(kinds_ & SPACE_ == 0, bounds)
+    told = token.any(kinds_)
+    of_token = _Groups(np.repeat(np.arange(n), token.count), n)
+    tokens, shown_chars = token.count, of_token.sum(token.length)
+    split = pc.split_pattern(texts, "\n")
+    lines, owner = pc.utf8_trim_whitespace(pc.list_flatten(split)), pc.list_parent_indices(split).to_numpy()
+    shown = pc.utf8_length(lines).to_numpy(zero_copy_only=False) > 0
+    lines, of = lines.filter(pa.array(shown)), _Groups(owner[shown], n)
+    n_lines = of.sum()
+    bare = pc.replace_substring_regex(lines, BULLET, "")
+    line_codes, line_bounds = _laid_out(bare)
+    sizes = _Runs(flags[line_codes] & SPACE_ == 0, line_bounds).count
+    word = _Runs(kinds_ & LETTER_ != 0, bounds)
+    h, said = word.hashes(small[codes]), word.any(kinds_)
+    spoken = _Groups(np.repeat(np.arange(n), word.count), n)
+    n_words, letters, common = word.count, spoken.sum(word.length), spoken.sum(_common()[np.minimum(np.searchsorted(_common(), h), len(_common()) - 1)] == h)
+    n_distinct, _ = _repeats(spoken.owner, h, n)
+    beside = spoken.owner[1:] == spoken.owner[:-1]
+    _, most_pairs = _repeats(spoken.owner[1:][beside], (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[beside], n)
+    runs = np.zeros(max(0, len(h) - RUN + 1), np.uint64)
+    for j in range(RUN if len(runs) else 0):
+        runs = runs * np.uint64(0x94D049BB133111EB) + h[j : j + len(runs)]
+    whole = spoken.owner[: len(runs)] == spoken.owner[RUN - 1 :] if len(runs) else np.zeros(0, bool)
+    n_runs = np.bincount(spoken.owner[: len(runs)][whole], None, n)
+    distinct_runs, _ = _repeats(spoken.owner[: len(runs)][whole], runs[whole], n)
+    line_numbers = lines.dictionary_encode().indices.to_numpy().astype(np.uint64) << np.uint64(16)
+    distinct_lines, _ = _repeats(of.owner, line_numbers, n)
+    has_lines = n_lines > 0
+    zero = np.zeros(n)
+    columns = [
+        chars, n_words * has_lines, n_lines, common * has_lines,
+        _share(letters, n_words),
+        _share(_count(texts, SYMBOL), tokens),
+        _share(letters, shown_chars),
+        _share(of.sum(_true(pc.match_substring_regex(lines, f"[{TERMINAL}]$"))), n_lines),
+        _share(of.sum(_true(pc.not_equal(bare, lines))), n_lines),
+        _share(of.sum(np.where(sizes <= SHORT_LINE, sizes, 0)), of.sum(sizes)),
+        _share(of.sum(sizes), n_lines),
+        _share(common, n_words),
+        np.where(has_lines, 1 - _share(distinct_lines, n_lines), zero),
+        _share(n_distinct, n_words),
+        np.where(n_words > 1, _share(most_pairs, n_words - 1), zero),
+        np.where(n_words > RUN, 1 - _share(distinct_runs, n_runs), zero),
+        _share(spoken.sum(said & VOWEL_ != 0), n_words),
+        _share(of_token.sum(told & SIGN_ == 0), tokens),
+        *_fields(bare, of),
+        _share(of.sum(_true(pc.match_substring_regex(lines, ELLIPSIS))), n_lines),
+        _share(of_token.sum(told & ALPHA_ != 0), tokens),
+        _share(_count(texts, r"#|…|\.\.\."), n_words),
+    ]
+    return pa.StructArray.from_arrays([pa.array(np.asarray(x, np.int64 if i < len(COUNTS) else np.float64)) for i, x in enumerate(columns)], fields=list(_ARROW))
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Neighbouring texts of some SLICE_BYTES together, each counted as 256 bytes at least; a longer one is a slice of its own."""
+    at = np.cumsum(np.maximum(pc.binary_length(texts).to_numpy(zero_copy_only=False), 256)) // SLICE_BYTES
+    ends = [*np.flatnonzero(np.diff(at)) + 1, len(texts)]
+    start = 0
+    for e in ends:
+        yield texts.slice(start, e - start)
+        start = e
+
+
+def statistics_batch(texts: pa.Array) -> pa.Array:
+    texts = pc.fill_null(texts, "")
+    parts = [_statistics(s) for s in _slices(texts)] if len(texts) else []
+    return pa.concat_arrays(parts) if parts else pa.array([], _ARROW)
+
+
+statistics_of = F.arrow_udf(statistics_batch, STATS)
 
 
 def statistics(text: str | None) -> tuple:
-    text = text or ""
-    lines = [x for x in text.split("\n") if x.strip()]
-    if not lines:
-        return (len(text), 0, 0) + (0.0,) * len(FIGURES)
-    low = text.lower()
-    words, tokens = WORD.findall(low), text.split()
-    n, shown = len(words), sum(map(len, tokens))
-    bare = [BULLET.sub("", x.strip()) for x in lines]
-    sizes = [len(x.split()) for x in bare]
-    short = sum(s for s in sizes if s <= SHORT_LINE)
-    letters = sum(map(len, words))
-    pairs = Counter(zip(words, words[1:]))
-    runs = list(zip(*(words[i:] for i in range(RUN)))) if n > RUN else []
-    return (
-        len(text), n, len(lines),
-        letters / n if n else 0.0,
-        len(SYMBOL.findall(text)) / len(tokens),
-        letters / shown,
-        sum(1 for x in lines if x.rstrip()[-1] in TERMINAL) / len(lines),
-        sum(1 for x, b in zip(lines, bare) if b != x.strip()) / len(lines),
-        short / max(1, sum(sizes)),
-        sum(sizes) / len(lines),
-        sum(1 for w in words if w in COMMON) / n if n else 0.0,
-        1 - len(set(map(str.strip, lines))) / len(lines),
-        len(set(words)) / n if n else 0.0,
-        max(pairs.values()) / (n - 1) if n > 1 else 0.0,
-        1 - len(set(runs)) / len(runs) if runs else 0.0,
-        sum(map(has_vowel, words)) / n if n else 0.0,
-        len(BARE.findall(text)) / len(tokens),
-        *fields([b.strip(" ;,|\r") if "\t" not in b else b for b in bare]),
-    )
-
-
-@F.pandas_udf(STATS)
-def statistics_of(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([statistics(t) for t in texts], columns=STATS.names)
-
-
-
-
-def rules() -> list[tuple[str, str, Column]]:
+    """The statistics of one text."""
+    return tuple(statistics_batch(pa.array([text], pa.string()))[0].as_py().values())
+
+
+def published() -> list[tuple[str, Column]]:
+    """(rule, what fails it) of published filters."""
+    c = F.col
+    some = c("n_words") > 0
+    return [
+        ("words_50_to_100000", some & ~c("n_words").between(50, 100_000)),
+        ("mean_word_length_3_to_10", some & ~c("mean_word_length").between(3, 10)),
+        ("hashes_and_ellipses_0.1", c("hash_ratio") > 0.1),
+        ("bullet_lines_0.9", c("bullet_line_share") > 0.9),
+        ("ellipsis_lines_0.3", c("ellipsis_line_share") > 0.3),
+        ("alphabetic_words_0.8", (c("n_lines") > 0) & (c("alphabetic_word_share") < 0.8)),
+        ("two_common_words", some & (c("n_common") < 2)),
+        ("repeated_lines_0.3", c("repeated_line_share") > 0.3),
+        ("line_ends_0.1", (c("n_lines") > 0) & (c("terminal_line_share") < 0.1)),
+        ("distinct_words_0.1", some & (c("distinct_word_share") < 0.1)),
+    ]
+
+
+def kinds() -> list[tuple[str, str, Column]]:
     """(kind, rule, what fails it), in the order in which a kind is decided."""
     c = F.col
     many = c("n_words") >= 12
@@ -133,8 +303,10 @@ def rules() -> list[tuple[str, str, Column]]:
 
 
 def judged(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the statistics, `reasons` (names of all failed rules in order) and `kind` (of the first; else prose)."""
+    """docs with the statistics, `reasons` (names of the failed rules that decide a kind, in order), `kind` (of the first;
+    else prose) and `published` (names of the failed published rules)."""
     out = docs.withColumn("_s", statistics_of(F.col(text))).select(*[x for x in docs.columns if x not in STATS.names], "_s.*")
-    failed = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(kind).alias("kind"), F.lit(rule).alias("rule"))) for kind, rule, bad in rules()]))
-    out = out.withColumn("_f", failed)
-    return out.withColumn("reasons", F.transform("_f", lambda x: x["rule"])).withColumn("kind", F.coalesce(F.try_element_at("_f", F.lit(1))["kind"], F.lit("prose"))).drop("_f")
+    decide = kinds()
+    failed = lambda rules: F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in rules]))
+    kind = F.coalesce(*[F.when(bad, F.lit(k)) for k, _, bad in decide], F.lit("prose"))
+    return out.withColumns({"reasons": failed([(rule, bad) for _, rule, bad in decide]), "kind": kind, "published": failed(published())})
