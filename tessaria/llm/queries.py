@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaria.llm import canonical, distinctive, leakage, mixing, percentiles, pii, prose
+from tessaria.plans.materialize import cut
 from tessaria.sources.tables import norm_id, norm_state, table
 
 REVIEWS = "olist_order_reviews_dataset"
@@ -13,35 +14,40 @@ REVIEWS = "olist_order_reviews_dataset"
 
 PS = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 WIDTH = 0.001  # days: a percentile's middle is wrong by 43 seconds at most
+STEP = 4096  # cells of WIDTH that a cell of the joinable state spans: about four days
 
 
-def _delivery_state(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of delivery_days per state and week; an order's repeated rows count once."""
-    rows = table(spark, d, "panel").select(norm_id("order_id").alias("order_id"), norm_state("customer_state").alias("customer_state"), F.date_format("week", "yyyy-MM-dd").alias("week"), percentiles.finite(F.col("delivery_days")).alias("v"))
+def _delivery_rows(spark: SparkSession, d: str) -> DataFrame:
+    """(customer_state, week, cell) of delivery_days; an order's repeated rows count once. Only a hash of the id is
+    shuffled: rows that share it besides state, week and value are repeats."""
+    rows = table(spark, d, "panel").select(norm_state("customer_state").alias("customer_state"), F.to_date("week").alias("week"), percentiles.finite(F.col("delivery_days")).alias("v"), F.xxhash64(norm_id("order_id")).alias("id"))
     rows = rows.where(F.col("v").isNotNull()).distinct()
-    return percentiles.cell_state(rows, ["customer_state", "week"], "v", WIDTH)
+    return cut(rows.select("customer_state", F.date_format("week", "yyyy-MM-dd").alias("week"), percentiles.cell_of(F.col("v"), WIDTH).alias("cell")))
 
 
-def _rounded(df: DataFrame, *groups: str) -> DataFrame:
-    return df.select(*groups, "p", "n", "rank", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round((F.col("low") + F.col("high")) / 2, 6).alias("value"), F.lit(WIDTH / 2).alias("max_error"))
+def _delivery_percentiles(rows: DataFrame, weekly: DataFrame, groups: list[str]) -> DataFrame:
+    """By the states of weeks, joined, and passes over the rows."""
+    out = percentiles.percentiles(percentiles.merge(weekly, groups), groups, PS, WIDTH, rows=rows, step=STEP)
+    return out.select(*groups, "p", "n", "rank", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round((F.col("low") + F.col("high")) / 2, 6).alias("value"), F.lit(WIDTH / 2).alias("max_error"))
 
 
 def p1_percentiles_by_state_week(spark: SparkSession, d: str) -> DataFrame:
-    groups = ["customer_state", "week"]
-    return _rounded(percentiles.percentiles(_delivery_state(spark, d), groups, PS, WIDTH), *groups)
+    rows = _delivery_rows(spark, d)
+    return _delivery_percentiles(rows, percentiles.coarse(rows, ["customer_state", "week"], STEP), ["customer_state", "week"])
 
 
 def p1_percentiles_by_state(spark: SparkSession, d: str) -> DataFrame:
     """Whole span per state, from the joined states of the weeks."""
-    joined = percentiles.merge(_delivery_state(spark, d), ["customer_state"])
-    return _rounded(percentiles.percentiles(joined, ["customer_state"], PS, WIDTH), "customer_state")
+    rows = _delivery_rows(spark, d)
+    return _delivery_percentiles(rows, percentiles.coarse(rows, ["customer_state", "week"], STEP), ["customer_state"])
 
 
 def p1_percentiles_by_quarter(spark: SparkSession, d: str) -> DataFrame:
     """All states per quarter of the week, from the same weekly states."""
     q = F.concat(F.substring("week", 1, 4), F.lit("Q"), F.quarter(F.col("week").cast("date")).cast("string"))
-    joined = percentiles.merge(_delivery_state(spark, d).withColumn("quarter", q), ["quarter"])
-    return _rounded(percentiles.percentiles(joined, ["quarter"], PS, WIDTH), "quarter")
+    rows = _delivery_rows(spark, d)
+    weekly = percentiles.coarse(rows, ["customer_state", "week"], STEP)
+    return _delivery_percentiles(rows.withColumn("quarter", q), weekly.withColumn("quarter", q), ["quarter"])
 
 
 def _reviews(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +137,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     out = prose.judged(table(spark, d, "documents").select("doc_id", "text"))
-    return out.select("doc_id", *prose.COUNTS, *[F.round(c, 6).alias(c) for c in prose.FIGURES], F.array_join("reasons", ",").alias("reasons"), "kind")
+    return out.select("doc_id", *prose.COUNTS, *[F.round(c, 6).alias(c) for c in prose.FIGURES], F.array_join("reasons", ",").alias("reasons"), "kind", F.array_join("published", ",").alias("published"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from tessaria.llm import distinctive, leakage, mixing, percentiles
 
 
@@ -28,6 +30,23 @@ def test_percentiles_are_within_the_bound_and_merge(spark):
             assert r.n == len(xs) and r.low <= true + 1e-12 and true < r.high + 1e-12
 
 
+def test_percentiles_of_coarse_states_and_rows_are_the_true_ones(spark):
+    """The stated bound holds against the values themselves, for states joined over weeks and two files."""
+    rng = random.Random(7)
+    data = [(g, w, rng.lognormvariate(2, 1.2) - 3) for g in ("SP", "SP", "SP", None, "RJ") for w in "abc" for _ in range(300)] + [("RJ", "a", 5.0)] * 50
+    width, step, ps = 0.001, 8192, (0.01, 0.5, 0.9, 1.0)
+    files = [spark.createDataFrame(data[i::2], "g string, week string, v double").withColumn("cell", percentiles.cell_of(F.col("v"), width)) for i in (0, 1)]
+    state = percentiles.coarse(files[0], ["g", "week"], step).unionByName(percentiles.coarse(files[1], ["g", "week"], step))
+    assert state.count() < 600 < len(data) / 4
+    rows = files[0].unionByName(files[1])
+    for keys in (["g"], ["g", "week"]):
+        out = percentiles.percentiles(percentiles.merge(state, keys), keys, ps, width, fanout=8, rows=rows, step=step).collect()
+        for r in out:
+            xs = sorted(v for g, w, v in data if all({"g": g, "week": w}[k] == r[k] for k in keys))
+            true = xs[max(1, math.ceil(r.p * len(xs))) - 1]
+            assert abs((r.low + r.high) / 2 - true) <= width / 2 + 1e-9 and r.n == len(xs)
+
+
 def test_percentiles_without_values(spark):
     df = spark.createDataFrame([("a", None), ("a", float("nan")), ("b", float("inf"))], "g string, v double")
     s = percentiles.cell_state(df, ["g"], "v", 0.1)
