@@ -6,9 +6,12 @@ seed's, the match is verified word by word and extended as far as it goes. Tilin
 match whose words are still unmarked in both texts, so passages that were reordered or cut into parts each count, and
 reports coverage, tiles and the longest one for each document and item.
 
-Scale: documents are read once, each by one task, and nothing but the result is shuffled. The items are sent to all
-tasks in blocks of at most `block_words` words each, a bound that holds whatever the number of items: more items mean
-more passes over the documents, never a bigger broadcast. Work per document is proportional to its words and matches.
+Scale: a document is cut into words once, by one task, and only documents that share a seed with an item go on, each with
+the items it shares it with. While the items hold at most `block_words` words together, all their seeds (16 bytes each)
+are broadcast. Beyond, seeds are joined by a shuffle instead, for any number of items: of every `least` - SELECT + 1
+neighbouring runs of SELECT words the one of the least fingerprint is taken on both sides, so a shared passage shares one
+of them, and some third of the words is shuffled. Items never pass through the driver, and no work but the tiling of
+matched pairs depends on their number.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessaria.llm.canonical import clean
+from tessaria.plans.materialize import cut, small_side
 
 LEAST = 12
 BLOCK_WORDS = 2_000_000
+SELECT, MAX_BROADCAST_TEXT, MAX_BROADCAST_PAIRS = 8, 64 << 20, 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD, _MARK = re.compile(r"[^\W_]+"), re.compile("[\u0300-\u036f]")
 
@@ -80,35 +85,23 @@ def fingerprints(codes: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-class Items:
-    """One block of items: their words and the index of their seeds."""
+def selected(codes: np.ndarray, least: int) -> np.ndarray:
+    """Seeds of which any two texts that share `least` words in a row share one: the least of neighbouring fingerprints."""
+    size = min(SELECT, least)
+    f = fingerprints(codes, size)
+    n = len(f) - (least - size)
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    return np.unique(np.min([f[j : j + n] for j in range(least - size + 1)], axis=0))
 
-    def __init__(self, rows: list[tuple[int, str]], least: int) -> None:
-        codes = WordCodes()
-        self.least = least
-        self.ids = [i for i, _ in rows]
-        self.words = [words(t) for _, t in rows]
-        marks, owner, place = [], [], []
-        for k, ws in enumerate(self.words):
-            f = fingerprints(codes.of(ws), least)
-            marks.append(f)
-            owner.append(np.full(len(f), k))
-            place.append(np.arange(len(f)))
-        marks, owner, place = (np.concatenate(x) if x else np.empty(0) for x in (marks, owner, place))
-        order = np.argsort(marks, kind="stable")
-        self.marks, self.owner, self.place = marks[order].astype(np.uint64), owner[order].astype(int), place[order].astype(int)
-
-    def seeds(self, codes: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """By item: (place in the document, place in the item) of equal fingerprints."""
-        f = fingerprints(codes, self.least)
-        if not len(f) or not len(self.marks):
-            return {}
-        left, right = np.searchsorted(self.marks, f, "left"), np.searchsorted(self.marks, f, "right")
-        out: dict[int, list[tuple[int, int]]] = {}
-        for d in np.flatnonzero(right > left):
-            for k in range(left[d], right[d]):
-                out.setdefault(int(self.owner[k]), []).append((int(d), int(self.place[k])))
-        return out
+
+def seeds_of(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(place in the document, place in the item) of equal fingerprints; arguments are codes of words."""
+    f, g = fingerprints(doc, least), fingerprints(item, least)
+    order = np.argsort(g, kind="stable")
+    g = g[order]
+    left, right = np.searchsorted(g, f, "left"), np.searchsorted(g, f, "right")
+    return [(int(d), int(order[k])) for d in np.flatnonzero(right > left) for k in range(left[d], right[d])]
 
 
 def tile(doc: list[str], item: list[str], seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
@@ -150,41 +143,64 @@ _LEAKS = T.StructType(
 )
 
 
-def _scan(shared) -> Callable:
+_SEEDS = T.StructType([T.StructField("id", T.LongType()), T.StructField("seed", T.LongType())])
+_MATCHED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("item_id", T.LongType())])
+
+
+def _seeds(of: Callable[[np.ndarray], np.ndarray]) -> Callable:
+    """(id, seed) of every text of (id, text)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, items = WordCodes(), shared.value
+        codes = WordCodes()
+        for batch in batches:
+            found = [of(codes.of(written_words(t))).astype(np.int64) for t in batch.iloc[:, 1]]
+            yield pd.DataFrame({"id": np.repeat(batch.iloc[:, 0].to_numpy(), [len(x) for x in found]), "seed": np.concatenate(found) if found else []})
+
+    return run
+
+
+def _matched(shared, least: int) -> Callable:
+    """Documents with each item they share a seed with; shared: seeds in order, and the item of each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = WordCodes()
+        seeds, items = shared.value
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                written = written_words(text)
-                hits = items.seeds(codes.of(written))
-                ws = [_bare(w) for w in written] if hits else []
-                for k, seeds in hits.items():
-                    tiles = tile(ws, items.words[k], seeds, items.least)
-                    if tiles:
-                        rows.append((doc_id, items.ids[k], len(tiles), tiles[0][2], sum(t[2] for t in tiles), len(items.words[k])))
-            yield pd.DataFrame(rows, columns=_LEAKS.names)
+                f = fingerprints(codes.of(written_words(text)), least).astype(np.int64)
+                left, right = np.searchsorted(seeds, f, "left"), np.searchsorted(seeds, f, "right")
+                if (hit := right > left).any():
+                    rows += [(doc_id, text, i) for i in np.unique(np.concatenate([items[a:b] for a, b in zip(left[hit], right[hit])])).tolist()]
+            yield pd.DataFrame(rows, columns=_MATCHED.names)
 
     return run
 
 
-def _blocks(evals: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
-    """Blocks of items, read one after the other; a single longer item is a block of its own."""
-    block, size = [], 0
-    for r in evals.toLocalIterator():
-        n = r["text"].count(" ") + 1
-        if block and size + n > block_words:
-            yield block
-            block, size = [], 0
-        block.append((r["item_id"], r["text"]))
-        size += n
-    if block:
-        yield block
+def _tiled(least: int) -> Callable:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = WordCodes()
+        for batch in batches:
+            rows, last, known = [], None, {}
+            for doc_id, text, item_id, passage in zip(batch["doc_id"], batch["text"], batch["item_id"], batch["passage"]):
+                if last is None or last[0] != text:
+                    ws = words(text)
+                    last = (text, ws, codes.of(ws))
+                if passage not in known:
+                    ws = words(passage)
+                    known[passage] = (ws, codes.of(ws))
+                item, item_codes = known[passage]
+                tiles = tile(last[1], item, seeds_of(last[2], item_codes, least), least)
+                if tiles:
+                    rows.append((doc_id, item_id, len(tiles), tiles[0][2], sum(t[2] for t in tiles), len(item)))
+            yield pd.DataFrame(rows, columns=_LEAKS.names)
+
+    return run
 
 
-def leaks(docs: DataFrame, evals: DataFrame, least: int = LEAST, block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, evals: DataFrame, least: int = LEAST, block_words: int = BLOCK_WORDS, min_coverage: float = 0.0) -> DataFrame:
     """(doc_id, item_id, n_tiles, longest, matched_words, item_words, coverage) of every document that holds `least`
-    consecutive words of an item.
+    consecutive words of an item, where the tiles cover at least the share `min_coverage` of the item's words.
 
     docs: doc_id, text; evals: item_id, text; other columns are ignored. Null and empty texts and null ids give no
     rows; items shorter than `least` words cannot leak; repeated documents or items are reported under each of their
@@ -192,9 +208,18 @@ def leaks(docs: DataFrame, evals: DataFrame, least: int = LEAST, block_words: in
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & (F.col("text") != ""))
-    evals = evals.select("item_id", "text").where(F.col("item_id").isNotNull() & (F.col("text") != "")).distinct()
-    found = spark.createDataFrame([], _LEAKS)
-    for block in _blocks(evals, block_words):
-        found = found.unionByName(docs.mapInPandas(_scan(spark.sparkContext.broadcast(Items(block, least))), _LEAKS))
-    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched_words", "longest", "n_tiles", "item_words")).alias("b")).select("doc_id", "item_id", "b.*")
-    return best.withColumn("coverage", F.col("matched_words") / F.col("item_words"))
+    evals = evals.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("passage")).where(F.col("item_id").isNotNull() & (F.col("passage") != "")).distinct()
+    index = cut(evals.mapInPandas(_seeds(lambda c: fingerprints(c, least)), _SEEDS))
+    if index.limit(block_words + 1).count() <= block_words:
+        known = index.orderBy("seed").toPandas()  # at most block_words rows of two numbers
+        shared = spark.sparkContext.broadcast((known["seed"].to_numpy(np.int64), known["id"].to_numpy(np.int64)))
+        found = docs.mapInPandas(_matched(shared, least), _MATCHED)
+    else:
+        pick = _seeds(lambda c: selected(c, least))
+        ours, theirs = docs.mapInPandas(pick, _SEEDS).toDF("doc_id", "seed"), evals.mapInPandas(pick, _SEEDS).toDF("item_id", "seed")
+        pairs = cut(ours.join(theirs, "seed").select("doc_id", "item_id").distinct())
+        found = docs.join(small_side(pairs, MAX_BROADCAST_PAIRS), "doc_id")
+    small = (evals.agg(F.sum(F.octet_length("passage"))).first()[0] or 0) <= MAX_BROADCAST_TEXT
+    tiled = found.join(F.broadcast(evals) if small else evals, "item_id").mapInPandas(_tiled(least), _LEAKS)
+    best = tiled.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched_words", "longest", "n_tiles", "item_words")).alias("b")).select("doc_id", "item_id", "b.*")
+    return best.withColumn("coverage", F.col("matched_words") / F.col("item_words")).where(F.col("coverage") >= min_coverage)
