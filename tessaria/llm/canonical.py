@@ -2,30 +2,36 @@
 
 `skeleton` decides what looks the same: decompose canonically, replace every character by its prototype, decompose
 again. A prototype is nothing for an invisible character, a plain space for any other white space, the compatibility
-form for a change of width or font only (rule over the Unicode decomposition tags), and the Latin twin of a look-alike
-letter of another alphabet (table). Superscripts and ordinals, emoji, typographic quotes, letter case and accents are
-kept: a reader sees them. Runs of white space count as one space, outer ones as none.
+form for a change of width or font only (rule over the Unicode decomposition tags), and the ASCII twin of a look-alike.
+Twins come from Unicode's own table of confusables, as it is shipped with Spark (in its ICU library): a character's twin
+is the ASCII one with the same Unicode prototype, of its own case where there are several. Superscripts and ordinals,
+emoji, typographic quotes, letter case and accents are kept: a reader sees them, and so are ASCII look-alikes (0 and O,
+1 and l), because a typo is to show. Runs of white space count as one space, outer ones as none.
 
 `clean` is the form texts are brought to: the skeleton composed again, but line breaks and the invisible joiners and
-selectors inside emoji are kept. Both leave a text of plain Latin letters as it is, which a JVM regular expression
-detects, so such rows never pay for Python. Null stays null, an empty or invisible text becomes empty.
+selectors inside emoji are kept, and so are words of other alphabets. A look-alike letter becomes Latin in a word that has
+Latin letters too, and in a word of look-alikes alone if the text has no other letter of such an alphabet. Both leave a
+text of plain Latin letters as it is, which a JVM regular expression detects, so such rows never pay for Python. Null
+stays null, an empty or invisible text becomes empty.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import struct
 import unicodedata
+import zipfile
+from collections.abc import Callable
 from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
+import pyspark
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Letters of other alphabets and their Latin twins, position by position.
-CYRILLIC = ("АВЕКМНОРСТУХЅІЈԚԜҮаеорсухѕіјһԁԛԝӏ", "ABEKMHOPCTYXSIJQWYaeopcyxsijhdqwl")
-GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγινορυϲϳ", "ABEZHIKMNOPTYXayivopucj")
-OTHER = ("ɡɑı‐‑−", "gai---")
 #: Invisible characters besides those of category Cf.
 INVISIBLE = "͏ᅟᅠ឴឵ㅤﾠ"
 SAME_GLYPH_TAGS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
@@ -33,21 +39,60 @@ SAME_GLYPH_TAGS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<m
 NOT_PLAIN = "[^\x20-\x7e\u00a1-\u00ac\u00ae-\u0130\u0134-\u013e\u0141-\u0148\u014a-\u017e\u2013\u2014\u2018\u2019\u201c\u201d\u2022\u2026\u20ac\u2600-\u27bf\U0001f300-\U0001faff]|  "
 
 
-def _twins() -> dict[str, str]:
-    out = {}
-    for source, target in (CYRILLIC, GREEK, OTHER):
-        out |= dict(zip(source, target))
-    return out
+_NOT_PLAIN = re.compile(NOT_PLAIN)
 
 
-TWINS = _twins()
+def confusables() -> dict[str, str]:
+    """Unicode's confusables (UTS 39), each character's prototype, from the ICU data file of the Spark distribution.
+
+    The file: a header of its own length, then big-endian offsets and sizes of keys (code point in 24 bits, length of the
+    prototype less one in 8), of values (the prototype, or its place in the strings if longer) and of UTF-16 strings.
+    """
+    homes = [Path(pyspark.__file__).parent, *([Path(os.environ["SPARK_HOME"])] if "SPARK_HOME" in os.environ else [])]
+    jar = next((j for h in homes for j in sorted(h.glob("jars/icu4j-*.jar"))), None)
+    if jar is None:
+        raise FileNotFoundError(f"no ICU library in {[str(h / 'jars') for h in homes]}")
+    with zipfile.ZipFile(jar) as z:
+        raw = z.read("com/ibm/icu/impl/data/icudata/confusables.cfu")
+    data = raw[struct.unpack(">H", raw[:2])[0] :]
+    key_at, n_keys, value_at, n_values, text_at, n_text = struct.unpack(">6i", data[12:36])
+    keys, values = struct.unpack(f">{n_keys}I", data[key_at : key_at + 4 * n_keys]), struct.unpack(f">{n_values}H", data[value_at : value_at + 2 * n_values])
+    text = data[text_at : text_at + 2 * n_text]
+    return {chr(k & 0xFFFFFF): chr(v) if k >> 24 == 0 else text[2 * v : 2 * (v + (k >> 24) + 1)].decode("utf-16-be") for k, v in zip(keys, values)}
+
+
+@lru_cache
+def twins() -> dict[str, str]:
+    """The ASCII twin of every letter or mark that has one and is no ordinary writing of its own. Digits of other scripts
+    stay: many look like another digit than they are."""
+    shape = confusables()
+    ascii_of: dict[str, list[str]] = {}
+    for a in map(chr, range(0x21, 0x7F)):
+        ascii_of.setdefault(shape.get(a, a), []).append(a)
+    out = {}
+    for c, s in shape.items():
+        kind = unicodedata.category(c)
+        letter = kind[0] == "L"
+        if s not in ascii_of or not _NOT_PLAIN.match(c) or not letter and kind[0] != "P" and kind != "Sm" or kind in ("Pi", "Pf") or "QUOTATION" in unicodedata.name(c, "") or own_form(c).isascii():
+            continue
+        wanted = str.isupper if kind in ("Lu", "Lt") else str.islower if letter else str.isprintable
+        twin = min(ascii_of[s], key=lambda a: (not wanted(a), not a.isalpha(), a))
+        if twin not in "'\"`" and (letter or not twin.isalnum()):
+            out[c] = twin
+    return out
 
 
 @lru_cache(maxsize=70_000)
 def prototype(c: str) -> str:
     """What one decomposed character is replaced by."""
-    if c in TWINS:
-        return TWINS[c]
+    if (twin := twins().get(c)) is not None:
+        return twin
+    return own_form(c)
+
+
+@lru_cache(maxsize=70_000)
+def own_form(c: str) -> str:
+    """The prototype of a character that keeps its alphabet."""
     kind = unicodedata.category(c)
     if kind == "Cf" or c in INVISIBLE or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF:
         return ""
@@ -57,17 +102,32 @@ def prototype(c: str) -> str:
         return ""
     tag, _, rest = unicodedata.decomposition(c).partition(" ")
     if tag in SAME_GLYPH_TAGS or tag == "<compat>" and kind in ("Ll", "Lu", "Lt", "Nl"):
-        return "".join(prototype(chr(int(x, 16))) for x in rest.split())
+        return "".join(own_form(chr(int(x, 16))) for x in rest.split())
     return c
 
 
+class _Table(dict):
+    """A mapping of code points for str.translate, filled as they are met."""
+
+    def __init__(self, of: Callable[[str], str]) -> None:
+        self.of = of
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = self.of(chr(code))
+        return out
+
+
+_PROTOTYPE, _OWN = _Table(prototype), _Table(own_form)
+_TWIN = _Table(lambda c: twins().get(c, c))
+_MARK = _Table(lambda c: c if c.isalpha() else twins().get(c, c))
+
+
 def skeleton(text: str) -> str:
     """Equal for two texts exactly if they look the same."""
-    twin = "".join(map(prototype, unicodedata.normalize("NFD", text)))
+    twin = unicodedata.normalize("NFD", text).translate(_PROTOTYPE)
     return " ".join(unicodedata.normalize("NFD", twin).split())
 
 
-_NOT_PLAIN = re.compile(NOT_PLAIN)
 _JOINED = re.compile("(?<=[\u2600-\u27bf\u2b00-\u2bff\U0001f000-\U0001faff])[\u200d\ufe0f]+")
 
 
@@ -92,19 +152,39 @@ def clean(text: str) -> str:
     """The one form that a text is brought to; line breaks and the inside of emoji are kept."""
     if (known := _plain_latin(text)) is not None:
         return known
+    kept = own_words(text)
     lines = []
     for line in re.split("\r\n|[\n\r  \x85\x0b\x0c]", text):
         out, i = [], 0
         for m in _JOINED.finditer(line):
-            out += [skeleton_keep(line[i : m.start()]), m.group()]
+            out += [skeleton_keep(line[i : m.start()], kept), m.group()]
             i = m.end()
-        out.append(skeleton_keep(line[i:]))
+        out.append(skeleton_keep(line[i:], kept))
         lines.append(" ".join("".join(out).split(" ")).strip(" "))
     return unicodedata.normalize("NFC", re.sub("  +", " ", "\n".join(lines)))
 
 
-def skeleton_keep(text: str) -> str:
-    return unicodedata.normalize("NFD", "".join(map(prototype, unicodedata.normalize("NFD", text))))
+_WORD = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+")
+
+
+@lru_cache(maxsize=70_000)
+def _latin(c: str) -> bool:
+    return unicodedata.normalize("NFKD", c)[0].isascii() or unicodedata.name(c, "").startswith("LATIN")
+
+
+def own_words(text: str) -> bool:
+    """Whether words of other alphabets stay: some letter of the text is of one and has no Latin twin."""
+    return any(c.isalnum() and not _latin(c) and c not in twins() for c in set(unicodedata.normalize("NFD", text)) if not c.isascii())
+
+
+def skeleton_keep(text: str, own: bool) -> str:
+    """The skeleton of a piece of a text, white space and (if own) words without any Latin letter as they are."""
+    text = unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_OWN))
+    if own:
+        text = _WORD.sub(lambda m: m.group().translate(_TWIN) if any(map(_latin, m.group())) else m.group(), text.translate(_MARK))
+    else:
+        text = text.translate(_TWIN)
+    return unicodedata.normalize("NFD", text)
 
 
 def _udf(f):

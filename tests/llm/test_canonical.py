@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessaria.llm import canonical as c
 
-ALPHABET = st.text("aZ9 çÇéªº.“❤️👍🏽👨‍👩‍👧́​ 　οаＡﬁⅰ\n\t", max_size=40)
+ALPHABET = st.text("aZ9 çÇшжéªº.“❤️👍🏽👨‍👩‍👧́​ 　οаＡﬁⅰ\n\t", max_size=40)
 
 
 def test_what_looks_alike():
@@ -20,6 +20,18 @@ def test_what_a_reader_sees_differs():
         assert c.skeleton(a) != c.skeleton(b), (a, b)
 
 
+def test_look_alikes_of_the_unicode_table():
+    for a, b in zip("օѵᎪᴏոꓮ⁄․ǃг", "ovAonA/.!r"):
+        assert c.twins()[a] == b
+    assert len(c.confusables()) > 5000 and all(not x.isascii() and y.isascii() for x, y in c.twins().items())
+
+
+def test_words_of_other_alphabets_stay():
+    for t in ("Скоро приду, мама", "Αθήνα είναι", "Привет, о produto é bom", "১২ ٥"):
+        assert c.clean(t) == t
+    assert c.clean("prоduto сhegou") == "produto chegou" and c.clean("о produto") == "o produto"
+
+
 @settings(max_examples=300, deadline=None)
 @given(ALPHABET)
 def test_clean_is_stable_and_keeps_the_look(t):
