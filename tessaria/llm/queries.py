@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,6 +143,13 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", *prose.COUNTS, *[F.round(c, 6).alias(c) for c in prose.FIGURES], F.array_join("reasons", ",").alias("reasons"), "kind", F.array_join("published", ",").alias("published"))
 
 
+def p10_plain_figures(spark: SparkSession, d: str) -> DataFrame:
+    """The figures of p10_statistics that SQL can say."""
+    out = prose.judged(table(spark, d, "documents").select("doc_id", "text"))
+    figures = ("mean_word_length", "symbol_ratio", "letter_share", "terminal_line_share", "ellipsis_line_share", "alphabetic_word_share", "common_word_share", "distinct_word_share", "repeated_line_share", "hash_ratio", "symbol_word_share")
+    return out.select("doc_id", *prose.COUNTS, *[F.round(c, 6).alias(c) for c in figures])
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return prose.judged(table(spark, d, "documents").select("doc_id", "text")).where(F.col("kind") != "prose").select("doc_id", "kind")
 
@@ -164,6 +174,7 @@ QUERIES = {
     "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
+    "p10_plain_figures": p10_plain_figures,
 }
 
 
@@ -184,3 +195,81 @@ SQL = {
     "p1_percentiles_by_state": _percentile_sql("customer_state", "customer_state"),
     "p1_percentiles_by_quarter": _percentile_sql("concat(week[1:4], 'Q', quarter(week::DATE)) AS quarter", "quarter"),
 }
+
+
+@lru_cache
+def _prototypes() -> str:
+    """A SQL map of each composed character that the canonical form changes (context apart) to what it becomes."""
+    pairs = []
+    for i in (*range(0x80, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0xE0000, 0xE01F0)):
+        c = chr(i)
+        to = unicodedata.normalize("NFC", "".join(map(canonical.prototype, unicodedata.normalize("NFD", c))))
+        if to != unicodedata.normalize("NFC", c):
+            pairs.append((c, to.replace("'", "''")))
+    said = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    return f"MAP([{said(c for c, _ in pairs)}], [{said(x for _, x in pairs)}])"
+
+
+def _canonical(column: str) -> str:
+    each = f"lambda c: CASE WHEN c < chr(128) THEN c ELSE coalesce({_prototypes()}[c], c) END"
+    text = f"nfc_normalize({column})"
+    return f"CASE WHEN regexp_matches({column}, '[^\\x00-\\x7f]') THEN nfc_normalize(array_to_string(list_transform(regexp_extract_all({text}, '(?s).'), {each}), '')) ELSE {column} END"
+
+
+_LETTERS, _WORDS = r"[\p{L}\p{Nl}\p{No}]+", r"[\p{L}\p{N}]+"
+_S, _W, _L = f"[{prose.SPACE}]", f"[^{prose.SPACE}]", r"\p{L}"
+
+
+def _terms_sql(tail: str) -> str:
+    return f"""
+WITH t AS (SELECT DISTINCT nullif(lower(trim(order_id)), '') AS id, review_text FROM panel WHERE review_text <> '' AND trim(order_id) <> ''),
+w AS (SELECT id, review_text, unnest(regexp_extract_all(lower({_canonical("review_text")}), '{_LETTERS}')) AS term FROM t),
+f AS (SELECT id, term, max(n) AS tf FROM (SELECT id, review_text, term, count(*) AS n FROM w WHERE length(term) >= {distinctive.LEAST_LETTERS} GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM f GROUP BY 1), n AS (SELECT count(DISTINCT id) AS n FROM t),
+p AS (SELECT id AS order_id, term, tf, df, cf, -log2(df / n) + log2(1 - exp(-cf / n)) AS ridf FROM f JOIN s USING (term), n) {tail}"""
+
+
+def _looks_sql() -> str:
+    look = lambda c: f"trim(regexp_replace({_canonical(c)}, '\\s+', ' ', 'g'))"
+    return f"""
+WITH r AS (SELECT nullif(lower(trim(order_id)), '') AS order_id, nullif(lower(trim(review_id)), '') AS review_id, review_comment_message AS u, {look("review_comment_message")} AS look FROM {REVIEWS} WHERE review_comment_message IS NOT NULL),
+shown AS (SELECT * FROM r WHERE look <> '' AND order_id IS NOT NULL),
+one AS (SELECT order_id FROM shown GROUP BY 1 HAVING count(DISTINCT review_id) = 1),
+p AS (SELECT nullif(lower(trim(order_id)), '') AS order_id, review_text AS t, {look("review_text")} AS look FROM panel WHERE review_text IS NOT NULL)
+SELECT DISTINCT order_id FROM p JOIN shown USING (order_id, look) JOIN one USING (order_id) WHERE t <> u"""
+
+
+def _leaks_sql() -> str:
+    ws = lambda c: f"regexp_extract_all(strip_accents(lower({_canonical(c)})), '{_WORDS}')"
+    runs = f"unnest(list_transform(range(1, len(w) - {leakage.LEAST - 2}), lambda i: array_to_string(w[i:i + {leakage.LEAST - 1}], ' ')))"
+    return f"""
+WITH d AS (SELECT doc_id, {ws("text")} AS w FROM documents), e AS (SELECT item_id, {ws("text")} AS w FROM eval_items),
+ds AS (SELECT DISTINCT doc_id, {runs} AS run FROM d), es AS (SELECT DISTINCT item_id, {runs} AS run FROM e)
+SELECT DISTINCT doc_id, item_id FROM ds JOIN es USING (run)"""
+
+
+def _figures_sql() -> str:
+    common = ", ".join(f"'{w}'" for w in sorted(prose.COMMON))
+    ends = prose.TERMINAL.replace("'", "''")
+    share = lambda a, b, name: f"round(CASE WHEN {b} > 0 THEN ({a})::DOUBLE / ({b}) ELSE 0 END, 6) AS {name}"
+    return f"""
+WITH a AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT doc_id, t, list_filter(regexp_extract_all(lower(t), '{_LETTERS}'), lambda w: length(w) > 0) AS w, regexp_extract_all(t, '{_W}+') AS k,
+      list_filter(list_transform(string_split(t, chr(10)), lambda l: regexp_replace(regexp_replace(l, '^{_S}+', ''), '{_S}+$', '')), lambda l: length(l) > 0) AS l FROM a),
+c AS (SELECT *, len(w) AS nw, len(k) AS nk, len(l) AS nl, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS letters, coalesce(list_sum(list_transform(k, lambda x: length(x))), 0) AS shown,
+      len(list_filter(w, lambda x: list_contains([{common}], x))) AS nc FROM b)
+SELECT doc_id, length(t)::BIGINT AS n_chars, (CASE WHEN nl > 0 THEN nw ELSE 0 END)::BIGINT AS n_words, nl::BIGINT AS n_lines, (CASE WHEN nl > 0 THEN nc ELSE 0 END)::BIGINT AS n_common,
+  {share("letters", "nw", "mean_word_length")}, {share("len(regexp_extract_all(t, '" + prose.SYMBOL.replace("'", "''") + "'))", "nk", "symbol_ratio")}, {share("letters", "shown", "letter_share")},
+  {share(f"len(list_filter(l, lambda x: regexp_matches(x, '[{ends}]$')))", "nl", "terminal_line_share")}, {share(f"len(list_filter(l, lambda x: regexp_matches(x, '{prose.ELLIPSIS}')))", "nl", "ellipsis_line_share")},
+  {share("len(list_filter(k, lambda x: regexp_matches(x, '" + _L + "')))", "nk", "alphabetic_word_share")}, {share("nc", "nw", "common_word_share")}, {share("len(list_distinct(w))", "nw", "distinct_word_share")},
+  {share("nl - len(list_distinct(l))", "nl", "repeated_line_share")}, {share("len(regexp_extract_all(t, '#|…|[.][.][.]'))", "nw", "hash_ratio")}, {share(f"len(list_filter(k, lambda x: NOT regexp_matches(x, '[{prose.SIGN}]')))", "nk", "symbol_word_share")}
+FROM c"""
+
+
+SQL |= {
+    "p4_found": _terms_sql("SELECT order_id, term FROM p WHERE tf >= 2 AND df BETWEEN 2 AND 8"),
+    "p4_term_scores": _terms_sql("SELECT order_id, term, tf, df, cf, round(ridf, 6) AS ridf, round(tf * ridf, 6) AS score FROM p"),
+    "p6_found": _looks_sql(),
+    "p8_found": _leaks_sql(),
+    "p10_plain_figures": _figures_sql(),
+}
