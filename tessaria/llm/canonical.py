@@ -172,9 +172,14 @@ def _latin(c: str) -> bool:
     return unicodedata.normalize("NFKD", c)[0].isascii() or unicodedata.name(c, "").startswith("LATIN")
 
 
+def foreign(c: str) -> bool:
+    """A letter or digit of another alphabet without a Latin twin."""
+    return c.isalnum() and not _latin(c) and c not in twins()
+
+
 def own_words(text: str) -> bool:
     """Whether words of other alphabets stay: some letter of the text is of one and has no Latin twin."""
-    return any(c.isalnum() and not _latin(c) and c not in twins() for c in set(unicodedata.normalize("NFD", text)) if not c.isascii())
+    return any(map(foreign, (c for c in set(unicodedata.normalize("NFD", text)) if not c.isascii())))
 
 
 def skeleton_keep(text: str, own: bool) -> str:

@@ -20,57 +20,88 @@ import heapq
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessaria.llm.canonical import clean
+from tessaria.llm.canonical import clean, foreign, prototype
+from tessaria.llm.layout import TABLE, Runs, laid_out
 from tessaria.plans.materialize import cut, small_side
 
 LEAST = 12
 BLOCK_WORDS = 2_000_000
+SLICE_CHARS = 2_000_000
 SELECT, MAX_BROADCAST_TEXT, MAX_BROADCAST_PAIRS = 8, 64 << 20, 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_WORD, _MARK = re.compile(r"[^\W_]+"), re.compile("[\u0300-\u036f]")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def _bare(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
 
-def written_words(text: str) -> list[str]:
-    """Longest runs of letters or digits of the canonical text in lower case, accents kept (composed)."""
-    text = clean(text).lower()
-    return _WORD.findall(_bare(text) if _MARK.search(text) else text)
-
-
 def words(text: str) -> list[str]:
-    """The same without accents: what is compared."""
-    return [w if w.isascii() else _bare(w) for w in written_words(text)]
-
-
-class WordCodes:
-    """64-bit codes of words without accents, the same on every machine; a bounded cache of written words."""
+    """What is compared: longest runs of letters or digits of the canonical text, in lower case, without accents."""
+    return _WORD.findall(_bare(clean(text).lower()))
+
+
+IN, DROP, CONTEXT = 1, 2, 4
+
+
+@lru_cache
+def _folding() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: whether it belongs to words, leaves no trace, or needs its text to be judged; what it folds to."""
+    kinds, to = np.zeros(TABLE + 1, np.uint8), np.arange(TABLE + 1, dtype=np.uint32)
+    for i in range(TABLE):
+        c = chr(i)
+        bare = _bare("".join(map(prototype, unicodedata.normalize("NFD", c))).lower())
+        if c.isalnum() and foreign(c) or len(bare) > 1:
+            kinds[i] = CONTEXT
+        elif not bare:
+            kinds[i] = DROP
+        else:
+            to[i] = min(ord(bare), TABLE)
+            kinds[i] = IN if _WORD.match(bare) else 0
+    kinds[TABLE] = CONTEXT
+    return kinds, to
+
+
+def word_codes(texts: list[str]) -> list[np.ndarray]:
+    """64-bit codes of the words of each text, the same on every machine; all texts are cut and folded at once."""
+    kinds, to = _folding()
+    out: list[np.ndarray] = []
+    for part in _slices(texts):
+        codes, bounds = laid_out(part)
+        kind = kinds[codes]
+        if (odd := np.unique(np.searchsorted(bounds, np.flatnonzero(kind == CONTEXT), "right") - 1)).size:
+            part = list(part)
+            for i in odd:  # texts with ligatures or other alphabets: their words as `words` has them
+                part[i] = " ".join(words(part[i]))
+            codes, bounds = laid_out(part)
+            kind = np.where(kinds[codes] == CONTEXT, IN, kinds[codes])
+        if (gone := kind == DROP).any():
+            bounds = bounds - np.append(0, np.cumsum(gone))[bounds]
+            codes, kind = codes[~gone], kind[~gone]
+        runs = Runs(kind == IN, bounds)
+        out += np.split(runs.hashes(to[codes]), np.cumsum(runs.count)[:-1])
+    return out
 
-    def __init__(self, most: int = 500_000) -> None:
-        self.known: dict[str, int] = {}
-        self.most = most
 
-    def of(self, ws: list[str]) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        out = []
-        for w in ws:
-            c = known.get(w)
-            if c is None:
-                c = known[w] = xxhash.xxh64_intdigest(_bare(w))
-            out.append(c)
-        return np.array(out, np.uint64)
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """Neighbouring texts of SLICE_CHARS together; a longer one is a slice of its own."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > SLICE_CHARS:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
 
 
 def fingerprints(codes: np.ndarray, least: int) -> np.ndarray:
@@ -151,9 +182,8 @@ def _seeds(of: Callable[[np.ndarray], np.ndarray]) -> Callable:
     """(id, seed) of every text of (id, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = WordCodes()
         for batch in batches:
-            found = [of(codes.of(written_words(t))).astype(np.int64) for t in batch.iloc[:, 1]]
+            found = [of(c).astype(np.int64) for c in word_codes(batch.iloc[:, 1].tolist())]
             yield pd.DataFrame({"id": np.repeat(batch.iloc[:, 0].to_numpy(), [len(x) for x in found]), "seed": np.concatenate(found) if found else []})
 
     return run
@@ -163,32 +193,33 @@ def _matched(shared, least: int) -> Callable:
     """Documents with each item they share a seed with; shared: seeds in order, and the item of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = WordCodes()
         seeds, items = shared.value
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                f = fingerprints(codes.of(written_words(text)), least).astype(np.int64)
-                left, right = np.searchsorted(seeds, f, "left"), np.searchsorted(seeds, f, "right")
-                if (hit := right > left).any():
-                    rows += [(doc_id, text, i) for i in np.unique(np.concatenate([items[a:b] for a, b in zip(left[hit], right[hit])])).tolist()]
-            yield pd.DataFrame(rows, columns=_MATCHED.names)
+            texts = batch["text"].tolist()
+            codes = word_codes(texts)
+            ends = np.cumsum([len(c) for c in codes])
+            f = fingerprints(np.concatenate([*codes, np.empty(0, np.uint64)]), least).astype(np.int64)
+            left, right = np.searchsorted(seeds, f, "left"), np.searchsorted(seeds, f, "right")
+            hits = np.flatnonzero(right > left)
+            docs = np.searchsorted(ends, hits, "right")
+            inside = hits + least <= ends[docs] if len(hits) else np.zeros(0, bool)
+            pairs = {(d, i) for h, d in zip(hits[inside].tolist(), docs[inside].tolist()) for i in items[left[h] : right[h]].tolist()}
+            yield pd.DataFrame([(batch["doc_id"].iloc[d], texts[d], i) for d, i in sorted(pairs)], columns=_MATCHED.names)
 
     return run
 
 
 def _tiled(least: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = WordCodes()
         for batch in batches:
             rows, last, known = [], None, {}
             for doc_id, text, item_id, passage in zip(batch["doc_id"], batch["text"], batch["item_id"], batch["passage"]):
                 if last is None or last[0] != text:
                     ws = words(text)
-                    last = (text, ws, codes.of(ws))
+                    last = (text, ws, word_codes([" ".join(ws)])[0])
                 if passage not in known:
                     ws = words(passage)
-                    known[passage] = (ws, codes.of(ws))
+                    known[passage] = (ws, word_codes([" ".join(ws)])[0])
                 item, item_codes = known[passage]
                 tiles = tile(last[1], item, seeds_of(last[2], item_codes, least), least)
                 if tiles:

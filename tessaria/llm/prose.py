@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessaria.llm.layout import TABLE, Runs, laid_out
+
 #: Common words of the languages at hand.
 COMMON = frozenset(
     """
@@ -68,7 +70,6 @@ def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
 
 
 LETTER_, SIGN_, SPACE_, ALPHA_, VOWEL_ = 1, 2, 4, 8, 16
-TABLE = 0x20000
 
 
 @lru_cache
@@ -87,36 +88,6 @@ def _table() -> tuple[np.ndarray, np.ndarray]:
     return flags, low
 
 
-class _Runs:
-    """Longest runs of characters of a kind (words, tokens) in texts laid out one after the other, none across two."""
-
-    def __init__(self, inside: np.ndarray, bounds: np.ndarray) -> None:
-        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-        self.start = np.flatnonzero(edge == 1)
-        self.length = np.flatnonzero(edge == -1) - self.start
-        self.count = np.diff(np.searchsorted(self.start, bounds))
-        self.at = np.flatnonzero(inside)
-        self.offset = np.cumsum(self.length) - self.length
-
-    def any(self, flags: np.ndarray) -> np.ndarray:
-        """The flags that any character of each run has."""
-        return np.bitwise_or.reduceat(flags[self.at], self.offset) if len(self.start) else np.zeros(0, flags.dtype)
-
-    def hashes(self, codes: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the runs' characters."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        power = np.cumprod(np.full(int(self.length.max()), 0x9E3779B97F4A7C15, np.uint64))
-        h = np.add.reduceat((codes[self.at].astype(np.uint64) + np.uint64(1)) * power[self.at - np.repeat(self.start, self.length)], self.offset)
-        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The code points of all texts, each ended by a line break, and where each text begins (and the last one ends)."""
-    codes = np.frombuffer("".join([t + "\n" for t in texts.to_pylist()]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.minimum(codes, TABLE), np.append(0, np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False) + 1))
-
-
 def _repeats(owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes (of 48 bits) of each owner, and how often its commonest one occurs; fewer than 65536 owners."""
     keys = np.sort(owner.astype(np.uint64) << np.uint64(48) | hashes >> np.uint64(16))
@@ -131,7 +102,7 @@ def _repeats(owner: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
 def _common() -> np.ndarray:
     text = " ".join(sorted(COMMON))
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return np.unique(_Runs(codes != 32, np.array([0, len(codes)])).hashes(codes))
+    return np.unique(Runs(codes != 32, np.array([0, len(codes)])).hashes(codes))
 
 
 class _Groups:
@@ -184,9 +155,9 @@ def _statistics(texts: pa.Array) -> pa.StructArray:
     n = len(texts)
     flags, small = _table()
     chars = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
-    codes, bounds = _laid_out(texts)
+    codes, bounds = laid_out(texts.to_pylist())
     kinds_ = flags[codes]
-    token = _Runs(kinds_ & SPACE_ == 0, bounds)
+    token = Runs(kinds_ & SPACE_ == 0, bounds)
     told = token.any(kinds_)
     of_token = _Groups(np.repeat(np.arange(n), token.count), n)
     tokens, shown_chars = token.count, of_token.sum(token.length)
@@ -196,9 +167,9 @@ def _statistics(texts: pa.Array) -> pa.StructArray:
     lines, of = lines.filter(pa.array(shown)), _Groups(owner[shown], n)
     n_lines = of.sum()
     bare = pc.replace_substring_regex(lines, BULLET, "")
-    line_codes, line_bounds = _laid_out(bare)
-    sizes = _Runs(flags[line_codes] & SPACE_ == 0, line_bounds).count
-    word = _Runs(kinds_ & LETTER_ != 0, bounds)
+    line_codes, line_bounds = laid_out(bare.to_pylist())
+    sizes = Runs(flags[line_codes] & SPACE_ == 0, line_bounds).count
+    word = Runs(kinds_ & LETTER_ != 0, bounds)
     h, said = word.hashes(small[codes]), word.any(kinds_)
     spoken = _Groups(np.repeat(np.arange(n), word.count), n)
     n_words, letters, common = word.count, spoken.sum(word.length), spoken.sum(_common()[np.minimum(np.searchsorted(_common(), h), len(_common()) - 1)] == h)
