@@ -2,15 +2,17 @@
 
 Information-theoretic sanitisation in two passes over all texts.
 
-Pass 1 counts co-occurrence. Items whose form alone is certain (an email address, a phone number with its area code, an
-identity number with all its marks, a street with its number) are the protected entities. For every term the corpus
-tells how strongly it reveals one: for a word in front of a number, the share of numbers behind it that are certain
-phone or identity numbers; for a word of running text, how much more often than by chance it is a part of an email
-address's owner or stands next to such a part. A term whose disclosure exceeds the thresholds is protected.
-
-Pass 2 removes: certain items, numbers of an uncertain form behind a revealing word, and runs of revealing words that
-form a given name with a surname. A number behind a word that is known to announce something else (an order, an
-invoice, a product) is kept whatever its form, as are given names alone and names of shops.
+Pass 1 counts co-occurrence. The protected entities are known at first by a few words that announce one (PRIOR), by forms
+that are written for one kind only (PRIOR_SHAPES), by the owners of email addresses and by people who introduce
+themselves. For every term the corpus tells how strongly it reveals an entity: for the shape of a number, the share of
+its numbers that an announcing word names; for a word in front of a number, the share of numbers behind it whose shape
+reveals a kind; for a word of running text, how much more often than by chance it is a part of an owner's name or stands
+next to such a part. A term whose disclosure exceeds the thresholds is protected. An address of a mailbox and a street
+with its number are entities by definition, whatever stands around them.
+
+Pass 2 generalises every protected item to its type: numbers of a revealing shape or behind a revealing word, and runs of
+revealing words that form a given name with a surname. A number behind a word that is known to announce something else
+(an order, an invoice, a product) is kept whatever its form, as are given names alone and names of shops.
 
 Texts are read in their canonical form (look-alike letters, odd spaces, invisible characters), and placeholders are
 put at the matching place of the text as it was written: the rest of it does not change.
@@ -38,15 +40,19 @@ from tessaria.plans.materialize import cut
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 MAX_BROADCAST_TERMS = 500_000
-#: Thresholds. Bits above chance and share of a word's uses, for names; share of certain numbers behind a word, and the
-#: support and share under which a word is known to announce something else, for numbers.
+#: Thresholds. Bits above chance and share of a word's uses, for names; share of numbers of a revealing
+#: shape behind a word, the support and share under which a word is known to announce something else, and the share of
+#: announced numbers of a shape.
 NAME_BITS, NAME_SHARE, NAME_SUPPORT = 4.0, 0.02, 2
-CUE_SHARE, CUE_SUPPORT, OTHER_SUPPORT, OTHER_SHARE = 0.15, 3, 12, 0.04
+CUE_SHARE, CUE_SUPPORT, OTHER_SUPPORT, OTHER_SHARE, SHAPE_SHARE = 0.15, 3, 12, 0.04, 0.5
 #: Words that announce a number, each counted as CUE_SUPPORT certain observations before the corpus is read.
 PRIOR = {
     "phone": ("tel", "telefone", "fone", "cel", "celular", "zap", "whats", "whatsapp", "liguem", "ligue", "phone", "mobile", "móvil"),
     "id_number": ("cpf", "c.p.f", "rg", "r.g", "identidade", "documento", "dni", "ssn"),
 }
+#: Shapes of numbers (see shape_of) that are written for one kind, counted alike, and how people introduce themselves.
+PRIOR_SHAPES = {"phone": ("+12", "+13", "(10", "(11", "(12"), "id_number": ("999.999.999-99", "999.999.999/99", "99.999.999-9", "99.999.999-x")}
+INTRODUCED = re.compile(r"(?:meu nome e|me chamo|chamo-me|mi nombre es|me llamo|my name is)\s+(?=[a-z])")
 SHORT_CUES = frozenset(w for ws in PRIOR.values() for w in ws if len(w) < 3)
 #: Kinds of streets, titles inside street names, what follows a count, name particles, kinds of shops.
 STREET = r"rua|r\.|avenida|av\.?|travessa|trav\.|tv\.|alameda|al\.|rodovia|rod\.|estrada|estr\.|praca|pca\.|largo|viela|beco|ladeira|calle|street"
@@ -63,12 +69,12 @@ ADDRESS = re.compile(
     rf"(?:km\s*)?\d{{1,6}}(?![\d/.,-]?\d)(?!\s*(?:{COUNTED})\b)(?:\s*,?\s*(?:apto?|apartamento|casa|bloco|sala|sitio|lote|km)\.?\s*\d+)*(?:\s*,?\s*cep:?\s*\d{{5}}-?\d{{3}})?"
     r"|(?<![\w.])(?:quadra|qd\.?)\s*\d+\w?\s*,?\s*(?:lote|lt\.?)\s*\d+"
 )
-#: Forms of numbers; certain ones name their kind, '?' is decided by the words in front.
+#: Forms that numbers of interest are written in.
 NUMBER = re.compile(
     r"(?<![\w@.,/-])(?:"
-    r"(?P<id_number>\d{3}\.\d{3}\.\d{3}\s?[-/]\s?\d{2}|\d{2}\.\d{3}\.\d{3}-[\dx])"
-    r"|(?P<phone>\+\s?55\s?\(?\d{2}\)?[\s.-]?(?:9[\s.]?)?\d{4}[\s.-]?\d{4}|\(0?\d{2}\)\s?(?:9[\s.]?)?\d{4}[\s.-]?\d{4})"
-    r"|(?P<open>\d{3} \d{3} \d{3} \d{2}|\d{3}\.\d{3}\.\d{3}|\d{2}[\s.]\d{4,5}[\s.-]\d{4}|0\d{2} \d{8,9}|\d{4,5}[-\s.]\d{4}|\d{8,14}|\d{7,8}[-]?[\dx])"
+    r"\d{3}\.\d{3}\.\d{3}\s?[-/]\s?\d{2}|\d{2}\.\d{3}\.\d{3}-[\dx]"
+    r"|\+\s?55\s?\(?\d{2}\)?[\s.-]?(?:9[\s.]?)?\d{4}[\s.-]?\d{4}|\(0?\d{2}\)\s?(?:9[\s.]?)?\d{4}[\s.-]?\d{4}"
+    r"|\d{3} \d{3} \d{3} \d{2}|\d{3}\.\d{3}\.\d{3}|\d{2}[\s.]\d{4,5}[\s.-]\d{4}|0\d{2} \d{8,9}|\d{4,5}[-\s.]\d{4}|\d{8,14}|\d{7,8}[-]?[\dx]"
     r")(?![\w]|[-/.]\d)"
 )
 CEP = re.compile(r"\d{5}-\d{3}(?!\d)")
@@ -102,6 +108,9 @@ def folded(text: str) -> str:
     return low.translate(_FOLD) if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text).translate(_FOLD)
 
 
+ANNOUNCED = {folded(w): k for k, ws in PRIOR.items() for w in ws}
+
+
 def words_before(f: str, start: int) -> list[str]:
     """The two nearest words with a meaning between the number before and a place, the nearest first, with distances."""
     near = f[max(0, start - 40) : start]
@@ -110,8 +119,15 @@ def words_before(f: str, start: int) -> list[str]:
     return [f"{w}@{d}" for d, w in enumerate(reversed(found[-2:]), 1)]
 
 
-def certain_items(f: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str | None]], list[str]]:
-    """Emails and addresses; the numbers outside them, with their kind where the form is certain; the emails' owners."""
+def shape_of(number: str) -> str:
+    """'+' or '(' and how many digits, of a number that begins so; else each digit as 9, without spaces around - and /."""
+    if number[0] in "+(":
+        return f"{number[0]}{len(DIGIT.findall(number))}"
+    return re.sub(r"\s?([-/])\s?", r"\1", DIGIT.sub("9", number))
+
+
+def certain_items(f: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], list[str]]:
+    """Emails and addresses; the numbers outside them, with their shape; the emails' owners."""
     spans, owners, numbers = [], [], []
     if "@" in f or "arroba" in f or "at" in f and ("(at" in f or "[at" in f):
         for m in EMAIL.finditer(f):
@@ -123,7 +139,7 @@ def certain_items(f: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, i
                 spans.append((m.start(), m.end(), "address"))
         for m in NUMBER.finditer(f):
             if not any(a < m.end() and m.start() < b for a, b, _ in spans) and not CEP.match(f, m.start()):
-                numbers.append((m.start(), m.end(), None if m.lastgroup == "open" else m.lastgroup))
+                numbers.append((m.start(), m.end(), shape_of(m.group())))
     return spans, numbers, owners
 
 
@@ -138,6 +154,19 @@ def owner_parts(owner: str) -> tuple[str, str] | None:
     return (parts[0], parts[-1]) if len(parts) > 1 and all(p.isalpha() and len(p) > 2 for p in (parts[0], parts[-1])) else None
 
 
+def introduced(c: str, f: str, at: int) -> tuple[str, str] | None:
+    """The first and last word of the name that begins at a place, where it is written with capitals."""
+    last, parts = at, []
+    for m in NAME_WORD.finditer(f, at):
+        capital = c[m.start()].isupper()
+        if f[last : m.start()].strip(" ") or not capital and m.group() not in PARTICLES:
+            break
+        if capital and m.end() - m.start() > 2:
+            parts.append(m.group())
+        last = m.end()
+    return (parts[0], parts[-1]) if len(parts) > 1 else None
+
+
 def observe(text: str, counts: Counter) -> None:
     """Adds what one text tells: words, neighbours written as names, owners of addresses, words in front of numbers."""
     c, _ = readable(text)
@@ -146,9 +175,16 @@ def observe(text: str, counts: Counter) -> None:
     for o in owners:
         if p := owner_parts(o):
             counts["owner", p[0], p[1]] += 1
-    for a, _, kind in numbers:
-        for w in words_before(f, a):
-            counts["cue", w, kind or "?"] += 1
+    for a, _, shape in numbers:
+        near = words_before(f, a)
+        for w in near:
+            counts["cue", w, shape] += 1
+            if w.partition("@")[0] in ANNOUNCED:  # what stands before it does not announce the number
+                break
+        counts["shape", shape, next((k for w in near if (k := ANNOUNCED.get(w.partition("@")[0]))), "?")] += 1
+    for m in INTRODUCED.finditer(f):
+        if p := introduced(c, f, m.end()):
+            counts["owner", p[0], p[1]] += 1
     rest = blank(f, spans) if spans else f
     found = [(m.start(), m.end()) for m in NAME_WORD.finditer(rest)]
     counts.update(("word", rest[a:b], "") for a, b in found)
@@ -190,12 +226,12 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
 
 
 def protected_terms(counts: DataFrame) -> DataFrame:
-    """(term, role, strength): given and family names with their bits, and words in front of numbers by kind.
+    """(term, role, strength): given and family names with their bits, words in front of numbers and ('#') shapes by kind.
 
     A name part's evidence is how often it owns an email address or stands beside one that does, in a pair written as a
-    name. Its disclosure is log2 of that share of its uses over the share among all words. A word in front of numbers
-    reveals a kind by the share of certain numbers of the kind among all it precedes; role 'other' are words that
-    precede many numbers of which next to none are certain.
+    name. Its disclosure is log2 of that share of its uses over the share among all words. A shape reveals a kind by the
+    share of its numbers that are announced as such; a word in front of numbers by the share of numbers of shapes that
+    reveal the kind among all it precedes; role 'other' are words that precede many numbers of which next to none do.
     """
     spark = counts.sparkSession
     owner = counts.where(F.col("what") == "owner")
@@ -216,17 +252,23 @@ def protected_terms(counts: DataFrame) -> DataFrame:
         ok = (F.col("n") >= NAME_SUPPORT) & (share >= NAME_SHARE) & ((bits >= NAME_BITS) | (share >= 0.5)) & ~F.col("t").isin(*PARTICLES, *SHOPS)
         return seen.where(ok).select(F.col("t").alias("term"), F.lit(role).alias("role"), bits.alias("strength"), "n")
 
-    prior = [("cue", f"{folded(w)}@{d}", k, 1) for k, ws in PRIOR.items() for w in ws for d in (1, 2) for _ in range(CUE_SUPPORT)]
-    cue = counts.where(F.col("what") == "cue").unionByName(spark.createDataFrame(prior, _COUNTS))
     n = lambda k: F.coalesce(F.sum(F.when(F.col("b") == k, F.col("n"))), F.lit(0))
+    best, total_n = F.greatest("p", "i"), F.col("all_n")
+    mine = F.when(F.col("p") >= F.col("i"), "phone").otherwise("id_number")
+    known = spark.createDataFrame([("shape", x, k, CUE_SUPPORT) for k, xs in PRIOR_SHAPES.items() for x in xs], _COUNTS)
+    shape = counts.where(F.col("what") == "shape").unionByName(known).groupBy(F.col("a").alias("shape")).agg(n("phone").alias("p"), n("id_number").alias("i"), F.sum("n").alias("all_n"))
+    shape = shape.where((best >= CUE_SUPPORT) & (best / total_n >= SHAPE_SHARE)).select("shape", mine.alias("kind"), (best / total_n).alias("strength"))
+    prior = spark.createDataFrame([("cue", f"{folded(w)}@{d}", k, CUE_SUPPORT) for k, ws in PRIOR.items() for w in ws for d in (1, 2)], _COUNTS)
+    seen = counts.where(F.col("what") == "cue").join(shape, F.col("b") == F.col("shape"), "left").select("what", "a", F.coalesce("kind", F.lit("?")).alias("b"), "n")
+    cue = seen.unionByName(prior)
     cue = cue.groupBy(F.col("a").alias("term")).agg(n("phone").alias("p"), n("id_number").alias("i"), F.sum("n").alias("all_n"))
-    best = F.greatest("p", "i")
-    kind = F.when((best >= CUE_SUPPORT) & (best / F.col("all_n") >= CUE_SHARE), F.when(F.col("p") >= F.col("i"), "phone").otherwise("id_number")).when((F.col("all_n") >= OTHER_SUPPORT) & (best / F.col("all_n") < OTHER_SHARE), "other")
+    kind = F.when((best >= CUE_SUPPORT) & (best / F.col("all_n") >= CUE_SHARE), mine).when((F.col("all_n") >= OTHER_SUPPORT) & (best / F.col("all_n") < OTHER_SHARE), "other")
     cues = cue.select("term", kind.alias("role"), (best / F.col("all_n")).alias("strength")).where(F.col("role").isNotNull())
     names = revealed(first, beside_family, "given").unionByName(revealed(family, beside_first, "family"))
     # a term with evidence for both parts of a name has the role with more of it
     names = names.groupBy("term").agg(F.max(F.struct("n", "role", "strength")).alias("s")).select("term", "s.role", "s.strength")
-    return names.unionByName(cues)
+    shapes = shape.select(F.concat(F.lit("#"), "shape").alias("term"), F.col("kind").alias("role"), "strength")
+    return names.unionByName(cues).unionByName(shapes)
 
 
 class Terms:
@@ -242,8 +284,9 @@ class Terms:
             else:
                 self.cue[term] = role
 
-    def number_kind(self, f: str, start: int, kind: str | None) -> str | None:
-        """The kind of a number by the nearest word that tells one; a certain form gives way only to 'other'."""
+    def number_kind(self, f: str, start: int, shape: str) -> str | None:
+        """The kind of a number by its shape, else by the nearest word that tells one; a shape gives way only to 'other'."""
+        kind = self.cue.get(f"#{shape}")
         for w in words_before(f, start):
             role = self.cue.get(w)
             if role == "other":
@@ -286,7 +329,7 @@ def find(text: str, terms: Terms) -> list[tuple[int, int, str]]:
     c, at = readable(text)
     f = folded(c)
     spans, numbers, _ = certain_items(f)
-    spans += [(a, b, k) for a, b, kind in numbers if (k := terms.number_kind(f, a, kind))]
+    spans += [(a, b, k) for a, b, shape in numbers if (k := terms.number_kind(f, a, shape))]
     spans += terms.names(blank(f, spans) if spans else f)
     spans.sort()
     return [(at[a], at[b - 1] + 1 if at[b] > at[b - 1] else at[b], k) for a, b, k in spans] if at else spans
@@ -315,7 +358,7 @@ def _own_terms(text: str) -> list[str]:
     """All terms by which a text may be judged: its words, and the words in front of its numbers."""
     f = folded(readable(text)[0])
     _, numbers, _ = certain_items(f)
-    return list({*NAME_WORD.findall(f), *(w for a, _, _ in numbers for w in words_before(f, a))})
+    return list({*NAME_WORD.findall(f), *(w for a, _, _ in numbers for w in words_before(f, a)), *(f"#{x}" for _, _, x in numbers)})
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -83,3 +83,18 @@ def test_empty_corpus(spark):
     t = pii.learn(empty)
     assert {r.role for r in t.collect()} == {"phone", "id_number"}  # what is known before any text
     assert pii.sanitised(empty.withColumn("clash", empty.t), "t", t).count() == 0
+
+
+def test_names_of_people_who_introduce_themselves_need_no_email(spark):
+    terms = pii.learn(spark.createDataFrame([("Meu nome é Rafaela Brisqueta.",)] * 200 + [("a loja de sempre entregou tudo no prazo",)] * 200, "t string"))
+    assert kinds(terms, "rafaela brisqueta reclamou") == ["name"] and kinds(terms, "Rafaela reclamou") == []
+
+
+def test_a_shape_is_revealed_by_the_words_in_front_of_it(spark):
+    """No form is certain: an unknown one is learned from announcing words, a typical one gives way to contrary evidence."""
+    told = [(f"meu celular 3{i % 9} 9{i:04d} 1{i:03d}",) for i in range(40)]
+    terms = pii.learn(spark.createDataFrame([*told, ("nada",)], "t string"))
+    assert kinds(terms, "chamem 31 98888 1234 hoje") == ["phone"]
+    goods = [(f"etiqueta 12.345.6{i:02d}-1 do produto",) for i in range(60)]
+    terms = pii.learn(spark.createDataFrame(goods, "t string"))
+    assert kinds(terms, "etiqueta 98.765.432-1 aqui") == [] and kinds(terms, "rg 98.765.432-1") == ["id_number"]
