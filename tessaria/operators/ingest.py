@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessaria.functions.text import normalised
 from tessaria.plans.materialize import cut
 
+#: Formats of dates and the share of a column's values that one has to read.
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "dd MMM yyyy", "MMM dd, yyyy", "yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]")
 ENOUGH_DATES = 0.80
 #: What column names hint at, and texts that are the positive value of a flag.
@@ -22,7 +23,6 @@ MONEY = re.compile("amount|revenue|sales|price|value|total|cost|spend|gmv|turnov
 QUANTITY = re.compile("qty|quantity|units|count|items|volume", re.I)
 IDENTIFIER = re.compile(r"\bid\b|_id|uuid|guid|code|ref|number|sku", re.I)
 POSITIVE = ("1", "true", "yes", "y", "cancelled", "canceled", "late", "failed", "churned", "returned")
-MAX_SEGMENTS = 6
 
 
 @dataclass(frozen=True)
@@ -133,8 +133,8 @@ def classify(s: dict) -> ColumnProfile:
     return ColumnProfile(name, role, round(confidence, 3), unique, round(s["n_missing"] / max(n, 1), 4), fmt if role == "date" else "", s)
 
 
-def profile(df: DataFrame) -> Profile:
-    """Roles, metrics and flags of a table. One scan; an error where no column holds dates or there are no rows."""
+def profile(df: DataFrame, max_segments: int | None = None) -> Profile:
+    """Roles, metrics and flags of a table; the surest max_segments segment columns, or all. One scan; an error where no column holds dates or there are no rows."""
     values = cut(column_values(df))
     rows = {r["column_name"]: r.asDict() for r in column_stats(values).collect()}  # one row per column
     if not rows:
@@ -162,7 +162,7 @@ def profile(df: DataFrame) -> Profile:
     metrics += [{"key": "records", "kind": "count", "source": None}] + ([{"key": "total_value", "kind": "sum", "source": money}] if money else [])
     best = lambda role: sorted(by(role), key=lambda c: -c.confidence)
     return Profile(
-        rows=cols[0].stats["n_rows"], columns=cols, date=dates[0], segments=[c.name for c in best("segment")][:MAX_SEGMENTS], measures=[c.name for c in measures], text=next((c.name for c in best("text")), None),
+        rows=cols[0].stats["n_rows"], columns=cols, date=dates[0], segments=[c.name for c in best("segment")][:max_segments], measures=[c.name for c in measures], text=next((c.name for c in best("text")), None),
         identifier=next((c.name for c in by("identifier")), None), money=money, quantity=quantity, flags=flags, metrics=metrics,
         undated={"missing": dates[0].stats["n_missing"], "unreadable": 0 if dates[0].date_format in ("seconds", "millis") else dates[0].stats["n_undated"]},
     )

@@ -15,6 +15,7 @@ from tessaria.functions.text import TOPICS, normalised, topic
 from tessaria.operators.eager import latest
 from tessaria.sources.tables import norm_id, norm_state, table
 
+#: The weeks that queries analyse unless told otherwise.
 START, END = "2017-01-02", "2018-08-20"
 MEANS = ("order_value", "on_time", "delivery_days", "days_late", "days_to_carrier", "review_score", "n_items")
 TIMES = ("order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date")
@@ -45,11 +46,15 @@ def days_between(a: str, b: str) -> Column:
     return (F.unix_micros(a) - F.unix_micros(b)) / F.lit(86400e6)
 
 
-def order_panel(spark: SparkSession, d: str, topics: bool = True) -> DataFrame:
-    """One row per order with its outcomes, segments and text flags, in the analysed weeks."""
+def order_panel(spark: SparkSession, d: str, topics: bool = True, first: str | None = START, last: str | None = END) -> DataFrame:
+    """One row per order with its outcomes, segments and text flags, in the weeks from first to last (None: no bound)."""
     orders = table(spark, d, "olist_orders_dataset").select(norm_id("order_id").alias("order_id"), norm_id("customer_id").alias("customer_id"), "order_status", *TIMES, "loaded_at")
     week = F.date_trunc("week", "order_purchase_timestamp").cast("date")
-    orders = orders.where(F.col("order_id").isNotNull() & week.between(F.lit(START).cast("date"), F.lit(END).cast("date")))
+    orders = orders.where(F.col("order_id").isNotNull() & week.isNotNull())
+    if first:
+        orders = orders.where(week >= F.lit(first).cast("date"))
+    if last:
+        orders = orders.where(week <= F.lit(last).cast("date"))
     orders = latest(orders, ["order_id"], "loaded_at", ["customer_id", "order_status", *TIMES])
     customers = table(spark, d, "olist_customers_dataset").select(norm_id("customer_id").alias("customer_id"), norm_state("customer_state").alias("customer_state"), F.lower(F.trim("customer_city")).alias("customer_city"), "loaded_at")
     customers = latest(customers.where(F.col("customer_id").isNotNull()), ["customer_id"], "loaded_at", ["customer_state", "customer_city"])
