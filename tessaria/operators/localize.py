@@ -36,6 +36,11 @@ def _plain(moments: DataFrame, metric: str) -> DataFrame:
     return moments.select("segment", "rows_e", "rows_b", *[F.col(f"{metric}_{w}_{s}").alias(f"{w}_{s}") for w in "eb" for s in ("n", "mean", "var")])
 
 
+def _beside(m: DataFrame, **totals: Column) -> DataFrame:
+    """Every row with aggregates of all rows: one row of totals is sent to the segments, which stay where they are."""
+    return m.crossJoin(F.broadcast(m.agg(*[c.alias(name) for name, c in totals.items()])))
+
+
 def mix_vs_rate(moments: DataFrame, metric: str) -> DataFrame:
     """One row: the change of the overall mean as mix (shares moved), rate (values moved) and their interaction.
 
@@ -45,11 +50,9 @@ def mix_vs_rate(moments: DataFrame, metric: str) -> DataFrame:
     m = _plain(moments, metric)
     total = m.agg(F.try_divide(F.sum(F.col("e_n") * F.col("e_mean")), F.sum("e_n")).alias("mean_e"), F.try_divide(F.sum(F.col("b_n") * F.col("b_mean")), F.sum("b_n")).alias("mean_b"))
     known = m.where(F.col("segment").isNotNull())
-    whole = Window.partitionBy()
-    w_e, w_b = F.coalesce(F.try_divide("e_n", F.sum("e_n").over(whole)), F.lit(0.0)), F.coalesce(F.try_divide("b_n", F.sum("b_n").over(whole)), F.lit(0.0))
-    s = known.withColumn("w_e", w_e).withColumn("w_b", w_b)
-    overall = F.sum(F.col("b_n") * F.col("b_mean")).over(whole) / F.sum("b_n").over(whole)
-    s = s.withColumn("m_b", F.coalesce("b_mean", overall)).withColumn("m_e", F.coalesce("e_mean", "m_b"))
+    s = _beside(known, all_e=F.sum("e_n"), all_b=F.sum("b_n"), sum_b=F.sum(F.col("b_n") * F.col("b_mean")))
+    s = s.withColumn("w_e", F.coalesce(F.try_divide("e_n", "all_e"), F.lit(0.0))).withColumn("w_b", F.coalesce(F.try_divide("b_n", "all_b"), F.lit(0.0)))
+    s = s.withColumn("m_b", F.coalesce("b_mean", F.try_divide("sum_b", "all_b"))).withColumn("m_e", F.coalesce("e_mean", "m_b"))
     parts = s.agg(
         F.sum((F.col("w_e") - F.col("w_b")) * F.col("m_b")).alias("mix"),
         F.sum(F.col("w_b") * (F.col("m_e") - F.col("m_b"))).alias("rate"),
@@ -64,17 +67,16 @@ def mix_vs_rate(moments: DataFrame, metric: str) -> DataFrame:
 
 
 def segment_shares(moments: DataFrame) -> DataFrame:
-    whole = Window.partitionBy()
-    return moments.where(F.col("segment").isNotNull()).select("segment", F.try_divide("rows_e", F.sum("rows_e").over(whole)).alias("share_e"), F.try_divide("rows_b", F.sum("rows_b").over(whole)).alias("share_b"))
+    known = _beside(moments.where(F.col("segment").isNotNull()), all_e=F.sum("rows_e"), all_b=F.sum("rows_b"))
+    return known.select("segment", F.try_divide("rows_e", "all_e").alias("share_e"), F.try_divide("rows_b", "all_b").alias("share_b"))
 
 
 def segment_scan(moments: DataFrame, metric: str, least: int = MIN_SEGMENT_N) -> DataFrame:
     """Per segment value with enough values in both windows: Welch's test of its change, adjusted for the number of
     tests, and its contribution (share of event values times change over the overall change)."""
     m = _plain(moments, metric)
-    whole = Window.partitionBy()
-    mean = lambda w: F.sum(F.col(f"{w}_n") * F.col(f"{w}_mean")).over(whole) / F.sum(f"{w}_n").over(whole)
-    m = m.withColumn("overall", mean("e") - mean("b")).withColumn("all_e", F.sum("e_n").over(whole))
+    mean = lambda w: F.try_divide(F.sum(F.col(f"{w}_n") * F.col(f"{w}_mean")), F.sum(f"{w}_n"))
+    m = _beside(m, overall=mean("e") - mean("b"), all_e=F.sum("e_n"))
     m = m.where(F.col("segment").isNotNull() & (F.col("e_n") >= least) & (F.col("b_n") >= least))
     m = fdr.adjusted(tests.with_welch(m))
     share = F.col("e_n") / F.col("all_e")
@@ -84,8 +86,8 @@ def segment_scan(moments: DataFrame, metric: str, least: int = MIN_SEGMENT_N) ->
 
 def concentration(scan: DataFrame) -> DataFrame:
     """One row: how much of the movement one segment value holds, how far it stands out, how many move materially."""
-    share = Window.partitionBy()
-    s = scan.withColumn("size", F.abs("delta")).withColumn("weighted", F.abs("delta") * F.col("e_n") / F.sum("e_n").over(share)).withColumn("_most", F.max(F.abs("delta")).over(share))
+    s = _beside(scan, _n=F.sum("e_n"), _most=F.max(F.abs("delta")))
+    s = s.withColumn("size", F.abs("delta")).withColumn("weighted", F.abs("delta") * F.col("e_n") / F.col("_n"))
     return s.agg(
         F.try_divide(F.max("weighted"), F.sum("weighted")).alias("concentration"),
         F.try_divide(F.max("size") - F.median("size"), F.max("size")).alias("separation"),
