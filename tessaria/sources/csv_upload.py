@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import csv
-import tempfile
-from pathlib import Path
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Encodings and separators in the order in which they are tried, characters of the sample.
 ENCODINGS, SEPARATORS, SAMPLE = ("utf-8-sig", "utf-8", "latin-1"), ",;\t|", 16_000
 
 
@@ -32,19 +32,46 @@ def sniff(head: bytes) -> tuple[str, str]:
         return encoding, max(counts, key=counts.get) if max(counts.values()) else ","
 
 
-def all_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether all lines of a file are valid UTF-8: their bytes are not decoded, and no sign of more bytes holds a line end."""
-    return spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count() == 0
+def _file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path and the path in its terms; works on the driver for any scheme."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, header names trimmed, unnamed columns dropped. Errors: no row, or fewer than two columns."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4 * SAMPLE).alias("head")).first()
-    if head is None:
+def head_of(spark: SparkSession, path: str, size: int = 4 * SAMPLE) -> bytes:
+    """The first bytes of a file, or of the first file in a folder."""
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
         raise ValueError("there is no file")
-    _, sep = sniff(bytes(head["head"]))
-    charset = "UTF-8" if all_utf8(spark, path) else "ISO-8859-1"
-    raw = spark.read.csv(path, sep=sep, encoding=charset, header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False)
+    if fs.getFileStatus(p).isDirectory():
+        names = sorted(str(f.getPath().toString()) for f in fs.listStatus(p) if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+        if not names:
+            raise ValueError("there is no file")
+        fs, p = _file_system(spark, names[0])
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
+
+
+def judged_lines(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether all lines of a file are valid UTF-8, and whether some line ends inside quotes: their bytes are not decoded,
+    and no sign of more bytes holds a line end or a quote."""
+    line = F.col("value")
+    odd = F.length(F.regexp_replace(F.decode(line.cast("binary"), "ISO-8859-1"), '[^"]', "")) % 2 == 1
+    r = spark.read.text(path).agg(F.max((~F.is_valid_utf8(line)).cast("int")).alias("bad"), F.max(odd.cast("int")).alias("open")).first()
+    return not r["bad"], bool(r["open"])
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as strings, header names trimmed, unnamed columns dropped. Errors: no row, or fewer than two columns.
+
+    Files are split between tasks unless some quoted value holds a line break; then each file is one task's.
+    """
+    _, sep = sniff(head_of(spark, path))
+    utf8, broken = judged_lines(spark, path)
+    raw = spark.read.csv(path, sep=sep, encoding="UTF-8" if utf8 else "ISO-8859-1", header=True, quote='"', escape='"', multiLine=broken, ignoreLeadingWhiteSpace=False)
     names = [c.lstrip("﻿").strip() for c in raw.columns]
     kept = [i for i, c in enumerate(names) if c and not c.startswith(("Unnamed", "_c"))]
     df = raw.toDF(*[f"c{i}" for i in range(len(names))]).select(*[F.when(F.col(f"c{i}") != "", F.col(f"c{i}")).alias(names[i]) for i in kept])
@@ -59,7 +86,11 @@ def read_csv_bytes(spark: SparkSession, raw: bytes, folder: str | None = None) -
     """The same for an upload held in memory, put into a folder that all executors see."""
     from tessaria.plans.materialize import ensure_checkpoint_dir
 
-    base = folder or ensure_checkpoint_dir(spark)
-    path = tempfile.mkdtemp(prefix="upload-", dir=base.removeprefix("file:"))
-    (Path(path) / "upload.csv").write_bytes(raw)
-    return read_csv(spark, f"file://{path}/upload.csv")
+    path = f"{folder or ensure_checkpoint_dir(spark)}/upload-{uuid.uuid4().hex}/upload.csv"
+    fs, p = _file_system(spark, path)
+    stream = fs.create(p)
+    try:
+        stream.write(raw)
+    finally:
+        stream.close()
+    return read_csv(spark, path)
