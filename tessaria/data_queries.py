@@ -144,13 +144,7 @@ figures AS (
 )"""
 _FORMAT = r"regexp_replace(regexp_replace(value, '\p{L}+', 'A', 'g'), '\p{Nd}', '9', 'g')"
 
-SQL = {
-    "p2_found": f"""
-WITH {_CELLS}, {_FIGURES},
-loads AS (SELECT DISTINCT feed_id, load_no, column_name FROM cells WHERE NOT is_base),
-miss AS (SELECT feed_id, column_name, load_no, is_base, avg(absent::INT) AS share FROM cells GROUP BY ALL),
-miss_base AS (SELECT feed_id, column_name, avg(absent::INT) AS share FROM cells WHERE is_base GROUP BY ALL),
-vals AS (SELECT * FROM cells WHERE NOT absent),
+_CHANGES = f"""vals AS (SELECT * FROM cells WHERE NOT absent),
 forms AS (SELECT feed_id, load_no, column_name, is_base, {_FORMAT} AS form FROM vals WHERE column_name IN ('order_id', 'order_date')),
 base_forms AS (SELECT DISTINCT feed_id, column_name, form, true AS known FROM forms WHERE is_base),
 sets AS (SELECT DISTINCT feed_id, load_no, column_name, is_base, value FROM vals WHERE column_name IN ('region', 'category')),
@@ -178,7 +172,15 @@ points AS (
 steps AS (SELECT feed_id, column_name, load_no, number, sum(n) AS n, sum(b) AS b FROM points GROUP BY ALL),
 cum AS (SELECT feed_id, column_name, load_no,
    sum(n) OVER (PARTITION BY feed_id, column_name, load_no ORDER BY number) / sum(n) OVER (PARTITION BY feed_id, column_name, load_no)
- - sum(b) OVER (PARTITION BY feed_id, column_name, load_no ORDER BY number) / nullif(sum(b) OVER (PARTITION BY feed_id, column_name, load_no), 0) AS diff FROM steps),
+ - sum(b) OVER (PARTITION BY feed_id, column_name, load_no ORDER BY number) / nullif(sum(b) OVER (PARTITION BY feed_id, column_name, load_no), 0) AS diff FROM steps),"""
+
+SQL = {
+    "p2_found": f"""
+WITH {_CELLS}, {_FIGURES},
+loads AS (SELECT DISTINCT feed_id, load_no, column_name FROM cells WHERE NOT is_base),
+miss AS (SELECT feed_id, column_name, load_no, is_base, avg(absent::INT) AS share FROM cells GROUP BY ALL),
+miss_base AS (SELECT feed_id, column_name, avg(absent::INT) AS share FROM cells WHERE is_base GROUP BY ALL),
+{_CHANGES}
 rec AS (SELECT DISTINCT feed_id, load_no, name AS column_name, role, n_unique, null_rate FROM column_profile WHERE name IS NOT NULL),
 found AS (
   SELECT l.feed_id, l.load_no, l.column_name, 'missing' AS issue FROM miss l JOIN miss_base b USING (feed_id, column_name) WHERE NOT l.is_base AND l.share - b.share > 0.10 + 1e-9
@@ -195,6 +197,17 @@ SELECT DISTINCT feed_id::BIGINT AS feed_id, load_no::BIGINT AS load_no, column_n
 WITH {_CELLS}, {_FIGURES}
 SELECT feed_id::BIGINT AS feed_id, load_no::BIGINT AS load_no, column_name, n_rows, round(n_null / n_rows, 6) AS null_share, round(n_missing / n_rows, 6) AS missing_share,
        n_unique, min_number, max_number, min_length::BIGINT AS min_length, max_length::BIGINT AS max_length FROM figures""",
+    "p2_change": f"""
+WITH {_CELLS},
+loads AS (SELECT DISTINCT feed_id, load_no, column_name FROM cells WHERE NOT is_base),
+{_CHANGES}
+every AS (SELECT feed_id, load_no, column_name, count(DISTINCT {_FORMAT}) FILTER (NOT absent) AS n_formats FROM cells GROUP BY ALL),
+pat AS (SELECT feed_id, load_no, column_name, avg((known IS NULL)::INT) AS pattern_share FROM forms LEFT JOIN base_forms USING (feed_id, column_name, form)
+  WHERE NOT is_base AND (feed_id, column_name) IN (SELECT feed_id, column_name FROM base_forms) GROUP BY ALL),
+sets_c AS (SELECT feed_id, load_no, column_name, odd / size AS value_set_change FROM set_odd WHERE size > 0),
+dist AS (SELECT feed_id, load_no, column_name, dist AS distance FROM cat_d UNION ALL SELECT feed_id, load_no, column_name, max(abs(diff)) FROM cum GROUP BY ALL)
+SELECT feed_id::BIGINT AS feed_id, load_no::BIGINT AS load_no, column_name, n_formats, round(pattern_share, 6) AS pattern_share, round(value_set_change, 6) AS value_set_change, round(distance, 6) AS distance
+FROM every LEFT JOIN pat USING (feed_id, load_no, column_name) LEFT JOIN sets_c USING (feed_id, load_no, column_name) LEFT JOIN dist USING (feed_id, load_no, column_name)""",
     "p2_control_limits": f"""
 WITH {_CELLS}, {_FIGURES},
 long AS (SELECT feed_id, load_no, column_name, unnest([

@@ -10,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from tessaria.functions.labels import STATES, label
 from tessaria.functions.text import STOP, TOPICS, normalised, words, words_and_pairs
 from tessaria.operators import integrity, localize
 from tessaria.operators import panel as P
+from tessaria.plans import catalog
+from tessaria.plans.sizing import LEAST_RECOVERY
 from tessaria.sources.tables import table
 
 FIRST, LAST, METRIC = "2018-01-15", "2018-03-26", "delivery_days"
@@ -186,7 +189,7 @@ def segment_concentration(spark, d):
 
 
 def segment_uniformity(spark, d):
-    return r6(localize.uniformity(localize.segment_scan(_moments(spark, d, "review_score"), "review_score")))
+    return r6(localize.uniformity(localize.segment_scan(_moments(spark, d, "review_score"), "review_score")).drop("n_values"))
 
 
 def simpson_fraction(spark, d):
@@ -289,13 +292,39 @@ def freshness(spark, d):
     return out
 
 
+def segment_count_scan(spark, d):
+    """Weekly delivered orders of each state, event against baseline."""
+    s = localize.count_scan(_roled(spark, d).where("delivered"), SEGMENT)
+    return r6(s.select("segment", "e_n", "b_n", "e_mean", "b_mean", "delta", "se"))
+
+
+def recovery_sizes(spark, d):
+    """Per state: the share on time in the event, half of what it lost (2 points at least), orders per arm that show it."""
+    m = _moments(spark, d, "on_time").where("segment IS NOT NULL AND on_time_e_n > 0 AND on_time_b_n > 0").select("segment", F.col("on_time_e_mean").alias("now"), F.col("on_time_b_mean").alias("before"))
+    rows = [(r["segment"], r["now"], r["before"], max((r["before"] - r["now"]) / 2, LEAST_RECOVERY)) for r in m.collect()]  # one row a state
+    return r6(spark.createDataFrame([(*r, tests.required_sample_size(r[1], r[3])) for r in rows], "segment string, now double, before double, mde double, n_per_arm long"))
+
+
+def catalog_sources(spark, d):
+    """The sources with their rows and how fresh they are."""
+    return catalog.sources(spark).join(freshness(spark, d), "source")
+
+
+def catalog_kpis(spark, d):
+    return catalog.kpis(spark)
+
+
+def catalog_methods(spark, d):
+    return catalog.methods(spark)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         panel_rollup, order_items_agg, review_rollup, weekly_kpis, weekly_kpis_by_segment, weekly_cancellation, weekly_topic_rates, topic_counts, region_options, robust_baseline, weekly_z, control_limits, sustained_runs, event_core,
         event_window, extreme_week, cusum_path, cusum_first_cross, lead_lag_corr, welch_moments, welch_p_values, two_proportion_z, mix_vs_rate, segment_shares, segment_scan_moments, bh_adjust, segment_concentration, segment_uniformity,
         simpson_fraction, dose_response, did_estimate, parallel_trend_slope, order_level_late_vs_ontime, leg_decomposition, demand_vs_prior8, topic_lift, text_segment_alignment, integrity_rows_per_week, integrity_coverage, integrity_null_rates,
-        integrity_category_drift, normalized_text, topic_flags, term_doc_frequency, bigram_doc_frequency, term_lift, freshness,
+        integrity_category_drift, normalized_text, topic_flags, term_doc_frequency, bigram_doc_frequency, term_lift, freshness, segment_count_scan, recovery_sizes, catalog_sources, catalog_kpis, catalog_methods,
     )
 }
 
@@ -578,5 +607,22 @@ SQL = {
     ),
     "freshness": " UNION ALL ".join(f"SELECT '{n}' AS source, count(*) AS n_rows, strftime(max(loaded_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS newest FROM {n}" for n in ("olist_orders_dataset", "olist_customers_dataset", "olist_order_items_dataset", "olist_order_reviews_dataset")),
 }
+_ZA, _ZB = NormalDist().inv_cdf(0.975), NormalDist().inv_cdf(tests.POWER)
+SQL |= {
+    "segment_count_scan": rounded(
+        f"""WITH {ROLED}, w AS (SELECT customer_state AS segment, role, week, count(*) AS k FROM roled WHERE delivered AND role IS NOT NULL AND customer_state IS NOT NULL GROUP BY ALL),
+        m AS (SELECT segment, sum(k) FILTER (role = 'event')::BIGINT AS e_n, sum(k) FILTER (role = 'baseline')::BIGINT AS b_n, avg(k) FILTER (role = 'event') AS e_mean, avg(k) FILTER (role = 'baseline') AS b_mean,
+          var_samp(k) FILTER (role = 'event') AS e_var, var_samp(k) FILTER (role = 'baseline') AS b_var, count(*) FILTER (role = 'event') AS ew, count(*) FILTER (role = 'baseline') AS bw FROM w GROUP BY 1)
+        SELECT segment, e_n, b_n, e_mean, b_mean, CASE WHEN ew >= 2 AND bw >= 2 THEN e_mean - b_mean ELSE 0 END AS delta, sqrt(e_var / ew + b_var / bw) AS se FROM m WHERE e_n >= 40 AND b_n >= 40""",
+        "e_mean, b_mean, delta, se",
+    ),
+    "recovery_sizes": rounded(
+        f"""WITH {ROLED}, m AS (SELECT customer_state AS segment, avg(on_time) FILTER (role = 'event') AS now, avg(on_time) FILTER (role = 'baseline') AS before FROM roled WHERE delivered AND customer_state IS NOT NULL GROUP BY 1),
+        x AS (SELECT *, greatest((before - now) / 2, {LEAST_RECOVERY}) AS mde FROM m WHERE now IS NOT NULL AND before IS NOT NULL),
+        q AS (SELECT *, least(greatest(now + mde, 1e-6), 1 - 1e-6) AS q FROM x)
+        SELECT segment, now, before, mde, CASE WHEN now > 0 AND now < 1 THEN ceil(pow(({_ZA!r} * sqrt(2 * (now + q) / 2 * (1 - (now + q) / 2)) + {_ZB!r} * sqrt(now * (1 - now) + q * (1 - q))) / (q - now), 2))::BIGINT ELSE 0 END AS n_per_arm FROM q""",
+        "now, before, mde",
+    ),
+}
 for _name in ("weekly_topic_rates", "topic_counts", "topic_flags", "topic_lift", "text_segment_alignment", "term_lift"):
     SQL[_name] = SQL[_name].replace(NORM, _normalised("review_text"))

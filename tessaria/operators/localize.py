@@ -84,6 +84,18 @@ def segment_scan(moments: DataFrame, metric: str, least: int = MIN_SEGMENT_N) ->
     return m.withColumn("contribution", contribution).withColumnRenamed("estimate", "delta")
 
 
+def count_scan(panel: DataFrame, segment: str, least: int = MIN_SEGMENT_N) -> DataFrame:
+    """The same for row counts: per segment value with enough rows in both windows, Welch's test of its weekly counts.
+
+    e_n and b_n are the value's rows; a week without any row of it is not counted as zero.
+    """
+    weeks = panel.where(F.col("role").isNotNull() & F.col(segment).isNotNull()).groupBy(F.col(segment).cast("string").alias("segment"), "week", "role").agg(F.count(F.lit(1)).alias("k"))
+    e, b = F.col("role") == "event", F.col("role") == "baseline"
+    m = weeks.groupBy("segment").agg(*tests.moments(F.col("k"), e, "e"), *tests.moments(F.col("k"), b, "b"), *[F.coalesce(F.sum(F.when(w, F.col("k"))), F.lit(0)).alias(n) for w, n in ((e, "rows_e"), (b, "rows_b"))])
+    m = fdr.adjusted(tests.with_welch(m.where((F.col("rows_e") >= least) & (F.col("rows_b") >= least))))
+    return m.withColumnRenamed("estimate", "delta").withColumns({"e_n": F.col("rows_e"), "b_n": F.col("rows_b")}).drop("rows_e", "rows_b")
+
+
 def concentration(scan: DataFrame) -> DataFrame:
     """One row: how much of the movement one segment value holds, how far it stands out, how many move materially."""
     s = _beside(scan, _n=F.sum("e_n"), _most=F.max(F.abs("delta")))
@@ -97,10 +109,10 @@ def concentration(scan: DataFrame) -> DataFrame:
 
 def uniformity(scan: DataFrame) -> DataFrame:
     """One row: share of values that move in one direction, and how evenly."""
-    s = scan.agg(F.avg((F.col("delta") < 0).cast("double")).alias("down"), F.avg((F.col("delta") > 0).cast("double")).alias("up"), F.stddev_pop("delta").alias("sd"), F.avg("delta").alias("mean"))
+    s = scan.agg(F.count(F.lit(1)).alias("n_values"), F.avg((F.col("delta") < 0).cast("double")).alias("down"), F.avg((F.col("delta") > 0).cast("double")).alias("up"), F.stddev_pop("delta").alias("sd"), F.avg("delta").alias("mean"))
     cv = F.col("sd") / (F.abs("mean") + 1e-9)
     s = s.withColumn("same_direction", F.greatest("down", "up")).withColumn("uniformity", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.least(cv, F.lit(1.5)) / 1.5)))
-    return s.select("same_direction", "uniformity", ((F.col("same_direction") >= 0.8) & (F.col("uniformity") >= 0.55)).alias("supported"))
+    return s.select("n_values", "same_direction", "uniformity", ((F.col("same_direction") >= 0.8) & (F.col("uniformity") >= 0.55)).alias("supported"))
 
 
 def simpson_fraction(scan: DataFrame) -> DataFrame:

@@ -114,5 +114,14 @@ def with_role(panel: DataFrame, windows: DataFrame) -> DataFrame:
     return panel.join(F.broadcast(windows.where(F.col("role").isin("event", "baseline")).select("week", "role")), "week", "left")  # one row per week
 
 
+def options(panel: DataFrame) -> dict:
+    """What a caller can choose from: regions by delivered orders, the metrics, the first and the last week."""
+    from tessaria.plans.catalog import KPIS
+
+    span = panel.agg(F.min("week").alias("first"), F.max("week").alias("last")).first()
+    regions = region_options(panel).orderBy(F.col("orders").desc(), "customer_state").collect()  # one row a region
+    return {"regions": [r.asDict() for r in regions], "metrics": [k[0] for k in KPIS], "first": str(span["first"]), "last": str(span["last"])}
+
+
 def region_options(panel: DataFrame) -> DataFrame:
     return panel.where("delivered AND customer_state IS NOT NULL").groupBy("customer_state").agg(F.count(F.lit(1)).alias("orders"))

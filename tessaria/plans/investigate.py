@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,6 +19,8 @@ from tessaria.functions import series, tests
 from tessaria.functions.text import TOPICS
 from tessaria.operators import ingest, integrity, localize
 from tessaria.operators import panel as P
+from tessaria.plans import sizing
+from tessaria.plans.catalog import EXPLANATIONS, KPIS
 from tessaria.plans.parallel import at_once
 
 MARGIN, NEUTRAL = 0.15, 0.5
@@ -57,8 +59,14 @@ def sure(r: dict) -> bool:
 
 
 def verdict(agent: str, family: str, supported: bool = False, parts: Sequence[float] = (0, 0, 0, 0), **evidence) -> dict:
+    """What an explanation came to: its claim, what would disprove it, its score, and its evidence, each item with its source."""
     names = ("statistical", "temporal", "specificity", "discrimination")
-    return {"agent": agent, "family": family, "supported": bool(supported), "score": tests.composite_score(*parts), "components": dict(zip(names, map(clip, parts))), "evidence": evidence}
+    claim, falsified_by, source = EXPLANATIONS[agent]
+    items = [{"name": k, "value": v, "source": source} for k, v in evidence.items()]
+    return {
+        "agent": agent, "family": family, "hypothesis": claim, "falsified_by": falsified_by, "supported": bool(supported), "score": tests.composite_score(*parts),
+        "components": dict(zip(names, map(clip, parts))), "evidence": evidence, "items": items,
+    }
 
 
 def local(df: DataFrame) -> DataFrame:
@@ -183,18 +191,18 @@ def table_feed(c: Context, segments: Sequence[str], values: Sequence[str]) -> di
 # --- explanations of any table ---
 
 
-def _scans(c: Context) -> list[tuple[str, DataFrame, DataFrame]]:
+def _scans(c: Context) -> list[tuple[str, DataFrame]]:
+    """Per segment column its values' changes: of the metric in rows, or of weekly row counts where rows do not carry it."""
     out = []
     for s in c.segments:
-        m = c.moments(s)
-        out.append((s, m, localize.segment_scan(m, c.metric, GENERIC_LEAST)))
+        out.append((s, localize.segment_scan(c.moments(s), c.metric, GENERIC_LEAST) if c.metric in c.panel.columns else localize.count_scan(c.panel, s, GENERIC_LEAST)))
     return out
 
 
 def concentrated(c: Context) -> dict:
     """One segment value changed on its own."""
     best = None
-    for name, _, scan in _scans(c):
+    for name, scan in _scans(c):
         rows = [r.asDict() for r in scan.collect()]
         if len(rows) < 2 or not any(r["rejected"] for r in rows):
             continue
@@ -209,7 +217,7 @@ def concentrated(c: Context) -> dict:
 
 def mix(c: Context) -> dict:
     """The shares of segments moved, not their values."""
-    found = [(s, localize.mix_vs_rate(c.moments(s), c.metric).first().asDict()) for s in c.segments]
+    found = [(s, localize.mix_vs_rate(c.moments(s), c.metric).first().asDict()) for s in c.segments] if c.metric in c.panel.columns else []
     found = [(s, d) for s, d in found if d["total"] is not None and d["mix"] is not None]
     if not found:
         return verdict("mix", "mix")
@@ -221,10 +229,9 @@ def systemic(c: Context) -> dict:
     """All values of the first segment moved alike."""
     if not c.segments:
         return verdict("systemic", "systemic")
-    scan = localize.segment_scan(c.moments(c.segments[0]), c.metric, GENERIC_LEAST)
-    if scan.count() < 3:
+    u = localize.uniformity(_scans(replace(c, segments=c.segments[:1]))[0][1]).first().asDict()
+    if u.pop("n_values") < 3:
         return verdict("systemic", "systemic")
-    u = localize.uniformity(scan).first().asDict()
     return verdict("systemic", "systemic", u["supported"], (u["uniformity"], NEUTRAL, u["uniformity"], u["same_direction"]), column=c.segments[0], even=u["uniformity"], same_direction=u["same_direction"])
 
 
@@ -332,7 +339,16 @@ def decide(gate: dict, tri: dict, verdicts: Sequence[dict] = ()) -> dict:
     return {"state": "CONFIRMED" if ranked and gap >= MARGIN else "INCONCLUSIVE", "families": ranked, "gap": gap, "leading": ranked[0]["family"] if ranked else None}
 
 
-def _run(c: Context, gate: dict, explain: Callable[[Context], list[dict]], challenge: Callable[[Context], dict], log: Callable[[str], None]) -> dict:
+def next_step(c: Context, out: dict, decision: dict, size: Callable[[Context, dict], dict]) -> dict | None:
+    """The size of a test of a confirmed cause, advice where no test can settle it, or what would tell explanations apart."""
+    if decision["state"] == "INCONCLUSIVE":
+        return {"instrument": "tell the explanations apart", "checks": sizing.discriminating_checks(out["verdicts"])}
+    if decision["state"] == "ARTEFACT" or decision.get("leading") in sizing.ADVICE:
+        return {"instrument": sizing.ADVICE[decision.get("leading") or "measurement"]}
+    return size(c, out) if decision["state"] == "CONFIRMED" else None
+
+
+def _run(c: Context, gate: dict, explain: Callable[[Context], list[dict]], challenge: Callable[[Context], dict], size: Callable[[Context, dict], dict], log: Callable[[str], None]) -> dict:
     began = time.time()
     marks: dict[str, float] = {}
 
@@ -360,13 +376,23 @@ def _run(c: Context, gate: dict, explain: Callable[[Context], list[dict]], chall
         if any(v["supported"] and v["family"] != "measurement" for v in out["verdicts"]):
             out["adversary"] = challenge(c)
         mark("challenge")
+        decision = decide(gate, tri, out["verdicts"])
+        out["next"] = next_step(c, out, decision, size)
+        mark("decide")
     finally:
         c.panel.unpersist()
-    return out | {"decision": decide(gate, tri, out["verdicts"]), "telemetry_ms": marks}
+    return out | {"decision": decision, "telemetry_ms": marks}
 
 
 def investigate(panel: DataFrame, metric: str = "review_score", states: Sequence[str] = (), week_from: str | None = None, week_to: str | None = None, log: Callable[[str], None] = lambda s: None) -> dict:
-    """An investigation of a KPI of the order panel, sliced by states and weeks. `cancellation_rate` is over all orders."""
+    """An investigation of a KPI of the order panel, sliced by states and weeks. `cancellation_rate` is over all orders.
+
+    An unknown metric or an empty span of weeks is an error; a state without orders gives NO_BASELINE.
+    """
+    if metric not in {k[0] for k in KPIS}:
+        raise ValueError(f"unknown metric {metric}")
+    if week_from and week_to and week_from > week_to:
+        raise ValueError("the first week lies behind the last")
     if states:
         panel = panel.where(F.col("customer_state").isin(*states))
     if week_from:
@@ -382,7 +408,11 @@ def investigate(panel: DataFrame, metric: str = "review_score", states: Sequence
     def explain(c: Context) -> list[dict]:
         return at_once(lambda: fulfilment(c), lambda: customer_voice(c), lambda: demand(c), lambda: order_feed(c))
 
-    return _run(c, gate, explain, challenge_orders, log)
+    def size(c: Context, out: dict) -> dict:
+        recent = [float(r["orders"]) for r in c.weekly.orderBy(F.col("week").desc()).limit(8).collect()]
+        return sizing.recovery_test(c.panel, recent, "customer_state", c.top_segments[:6], bool(out["adversary"] and out["adversary"]["survived"]))
+
+    return _run(c, gate, explain, challenge_orders, size, log)
 
 
 def investigate_table(df: DataFrame, metric: str | None = None, log: Callable[[str], None] = lambda s: None) -> dict:
@@ -394,12 +424,17 @@ def investigate_table(df: DataFrame, metric: str | None = None, log: Callable[[s
     weekly = local(ingest.generic_weekly(panel, p))
     gate = integrity.gate(panel, metric if metric in panel.columns else None, p.segments, [c for c in p.measures if c in panel.columns])
     log("integrity")
-    c = Context(panel, weekly, metric, p.segments if metric in panel.columns else [], None, "_text" if p.text else None)
+    c = Context(panel, weekly, metric, p.segments, None, "_text" if p.text else None)
 
     def explain(c: Context) -> list[dict]:
         return at_once(lambda: concentrated(c), lambda: mix(c), lambda: systemic(c), lambda: wording(c), lambda: table_feed(c, p.segments, [*p.measures, *([p.text] if p.text else [])]))
 
     def challenge(c: Context) -> dict:
-        return challenge_table(c) if c.segments else {"challenges": [], "survived": False}
+        return challenge_table(c) if c.segments and metric in c.panel.columns else {"challenges": [], "survived": False}
+
+    def size(c: Context, out: dict) -> dict:
+        if metric not in c.panel.columns or not c.segments:
+            return {"instrument": sizing.instrument(False)}
+        return sizing.movement_test(c.panel, metric, out["triage"]["delta"], c.segments[0], c.top_segments[:4], bool(out["adversary"] and out["adversary"]["survived"]))
 
-    return {"profile": {"rows": p.rows, "undated": p.undated, "roles": {x.name: x.role for x in p.columns}, "metrics": keys}} | _run(c, gate, explain, challenge, log)
+    return {"profile": {"rows": p.rows, "undated": p.undated, "roles": {x.name: x.role for x in p.columns}, "metrics": keys}} | _run(c, gate, explain, challenge, size, log)

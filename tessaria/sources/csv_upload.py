@@ -82,8 +82,34 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
+class Uploads:
+    """Uploads by id, the newest `keep` of them; older ones are dropped with their files."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, keep: int = 4) -> None:
+        self.spark, self.folder, self.keep = spark, folder, keep
+        self.paths: dict[str, str] = {}
+
+    def put(self, raw: bytes) -> str:
+        key = uuid.uuid4().hex
+        self.paths[key] = write_upload(self.spark, raw, self.folder)
+        while len(self.paths) > self.keep:
+            fs, p = _file_system(self.spark, self.paths.pop(next(iter(self.paths))))
+            fs.delete(p.getParent(), True)
+        return key
+
+    def get(self, key: str) -> DataFrame:
+        if key not in self.paths:
+            raise KeyError(f"no upload {key}")
+        return read_csv(self.spark, self.paths[key])
+
+
 def read_csv_bytes(spark: SparkSession, raw: bytes, folder: str | None = None) -> DataFrame:
     """The same for an upload held in memory, put into a folder that all executors see."""
+    return read_csv(spark, write_upload(spark, raw, folder))
+
+
+def write_upload(spark: SparkSession, raw: bytes, folder: str | None = None) -> str:
+    """The path of an upload's file in a folder that all executors see."""
     from tessaria.plans.materialize import ensure_checkpoint_dir
 
     path = f"{folder or ensure_checkpoint_dir(spark)}/upload-{uuid.uuid4().hex}/upload.csv"
@@ -93,4 +119,4 @@ def read_csv_bytes(spark: SparkSession, raw: bytes, folder: str | None = None) -
         stream.write(raw)
     finally:
         stream.close()
-    return read_csv(spark, path)
+    return path
