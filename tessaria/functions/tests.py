@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessaria.functions.dist import Z95, normal_pvalue, t_critical95, t_pvalue
+from tessaria.functions.dist import Z95, normal_pvalue, t_critical95, t_pvalue, t_quantile, t_two_sided
 
 POWER = 0.80
 
@@ -39,6 +40,31 @@ def with_welch(df: DataFrame, a: str = "e", b: str = "b") -> DataFrame:
     return df.withColumn("p_value", F.coalesce(t_pvalue("t", "dof"), F.lit(1.0))).withColumn("_h", half).withColumn("ci_low", F.col("estimate") - F.col("_h")).withColumn("ci_high", F.col("estimate") + F.col("_h")).drop("_h")
 
 
+def welch(e: Sequence[float | None], b: Sequence[float | None]) -> dict:
+    """The same for one test in memory: (n, mean, variance) of both sides."""
+    (n1, m1, v1), (n2, m2, v2) = e, b
+    out = {"e_n": n1, "e_mean": m1, "b_n": n2, "b_mean": m2, "estimate": 0.0, "p_value": 1.0, "ci_low": 0.0, "ci_high": 0.0}
+    if n1 < 2 or n2 < 2:
+        return out
+    d, s1, s2 = m1 - m2, v1 / n1, v2 / n2
+    if s1 + s2 <= 0:
+        return out | {"estimate": d, "ci_low": d, "ci_high": d}
+    se, dof = math.sqrt(s1 + s2), (s1 + s2) ** 2 / (s1 * s1 / (n1 - 1) + s2 * s2 / (n2 - 1))
+    half = t_quantile(0.975, dof) * se
+    return out | {"estimate": d, "se": se, "dof": dof, "p_value": t_two_sided(d / se, dof), "ci_low": d - half, "ci_high": d + half}
+
+
+def sides(r) -> tuple[tuple, tuple]:
+    """The moments e and b of a row as made by `moments`."""
+    return tuple((r[f"{w}_n"], r[f"{w}_mean"], r[f"{w}_var"] or 0.0) for w in "eb")
+
+
+def moments_of(values: Sequence[float]) -> tuple[int, float | None, float]:
+    n = len(values)
+    mean = sum(values) / n if n else None
+    return n, mean, sum((v - mean) ** 2 for v in values) / (n - 1) if n > 1 else 0.0
+
+
 def two_proportion(x1: Column, n1: Column, x2: Column, n2: Column) -> dict[str, Column]:
     """estimate, ci_low, ci_high (unpooled) and z (pooled) of a difference of shares; zeros where a side is empty."""
     x1, n1, x2, n2 = (c.cast("double") for c in (x1, n1, x2, n2))

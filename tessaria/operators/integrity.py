@@ -19,11 +19,21 @@ def with_part(panel: DataFrame) -> DataFrame:
     return panel.join(F.broadcast(recent_and_prior(panel)), "week")  # one row per week
 
 
-def rows_per_week(parts: DataFrame) -> DataFrame:
-    """One row: moments of rows per week in both parts, Welch's test, the relative shift."""
+def row_moments(parts: DataFrame) -> DataFrame:
     w = parts.groupBy("week", "part").agg(F.count(F.lit(1)).alias("k"))
     r = F.col("part") == "recent"
-    m = tests.with_welch(w.agg(*tests.moments(F.col("k"), r, "e"), *tests.moments(F.col("k"), ~r, "b")))
+    return w.agg(*tests.moments(F.col("k"), r, "e"), *tests.moments(F.col("k"), ~r, "b"))
+
+
+def row_shift(parts: DataFrame) -> dict:
+    """The same as rows_per_week for one table, tested in memory."""
+    r = tests.welch(*tests.sides(row_moments(parts).first()))
+    return r | {"shift": abs(r["estimate"]) / max(r["b_mean"] or 0.0, 1e-9)}
+
+
+def rows_per_week(parts: DataFrame) -> DataFrame:
+    """One row: moments of rows per week in both parts, Welch's test, the relative shift."""
+    m = tests.with_welch(row_moments(parts))
     return m.withColumn("shift", F.abs("estimate") / F.greatest("b_mean", F.lit(1e-9)))
 
 
@@ -71,11 +81,11 @@ def gate(panel: DataFrame, metric: str | None, segments: Sequence[str], values:
     parts = with_part(panel.select("week", *dict.fromkeys([c for c in [metric, *segments, *values] if c and c in panel.columns]))).persist()
     try:
         nulls, drifts = [c for c in values if c in panel.columns], [c for c in segments if c in panel.columns]
-        volume = rows_per_week(parts).first()  # also fills what is kept of parts
-        if not volume or not volume["e_n"]:
+        volume = row_shift(parts)  # also fills what is kept of parts
+        if not volume["e_n"]:
             return {"assessed": False, "is_artefact": False, "checks": [], "n_flagged": 0, "n_structural": 0}
         covered, null, drift = at_once(
-            lambda: coverage(parts, metric).first() if metric and metric in panel.columns else None,
+            lambda: coverage(parts, metric).drop("p_value").first() if metric and metric in panel.columns else None,
             lambda: null_rates(parts, nulls).orderBy(F.col("shift").desc(), "column_name").first() if nulls else None,
             lambda: category_drift(parts, drifts).orderBy(F.col("drift").desc(), "column_name").first() if drifts else None,
         )

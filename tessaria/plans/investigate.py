@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaria.functions import series, tests
+from tessaria.functions import one_series, series, tests
 from tessaria.functions.text import TOPICS
 from tessaria.operators import ingest, integrity, localize
 from tessaria.operators import panel as P
@@ -76,37 +76,35 @@ def local(df: DataFrame) -> DataFrame:
 
 def triage(panel: DataFrame, weekly: DataFrame, metric: str, population=None) -> dict:
     """NO_BASELINE, NOISE or SIGNAL with windows, direction, sizes and the test on rows (or weekly values)."""
-    s = series.indexed(weekly, metric)
-    known = [r["value"] for r in sorted(s.collect(), key=lambda r: r["i"]) if r["value"] is not None]  # one per week
+    rows = weekly.select(F.col("week").cast("string").alias("week"), F.nanvl(F.col(f"`{metric}`").cast("double"), F.lit(None).cast("double")).alias("value")).orderBy("week").collect()  # one per week
+    weeks, values = [r["week"] for r in rows], [r["value"] for r in rows]
+    known = [v for v in values if v is not None]
+    nothing = {"event_weeks": [], "baseline_weeks": []}
     if len(known) < series.MIN_HISTORY:
-        return {"verdict": "NO_BASELINE", "rule": f"only {len(known)} periods", "event_value": known[-1] if known else None, "baseline_value": sum(known) / len(known) if known else None, "delta": 0.0, "event_weeks": [], "baseline_weeks": []}
-    z = local(series.with_z(s))
-    core = series.event_core(z).collect()
-    if not core:
-        worst = z.orderBy(F.abs("z").desc(), "i").first()
-        return {"verdict": "NOISE", "rule": "none", "event_value": worst["value"], "baseline_value": worst["center"], "delta": (worst["value"] or 0.0) - worst["center"], "robust_z": worst["z"], "limits": [worst["lower"], worst["upper"]], "event_weeks": [], "baseline_weeks": []}
-    core = core[0]
-    spark = weekly.sparkSession
-    one = spark.createDataFrame([tuple(core)], "rule string, direction string, start_i int, end_i int")
-    rows = series.event_window(z, one).orderBy("i").collect()
-    event, base = [r for r in rows if r["role"] == "event"], [r for r in rows if r["role"] == "baseline"]
-    mean = lambda rs: (lambda v: sum(v) / len(v) if v else None)([r["value"] for r in rs if r["value"] is not None])
-    windows = spark.createDataFrame([(r["week"], r["role"]) for r in rows], "week date, role string")
+        return {"verdict": "NO_BASELINE", "rule": f"only {len(known)} periods", "event_value": known[-1] if known else None, "baseline_value": sum(known) / len(known) if known else None, "delta": 0.0} | nothing
+    band = one_series.band(values)
+    z = band.z(values)
+    core = one_series.core(z)
+    if core is None:
+        i = max(range(len(z)), key=lambda i: (abs(z[i]), -i))
+        return {"verdict": "NOISE", "rule": "none", "event_value": values[i], "baseline_value": band.center, "delta": (values[i] or 0.0) - band.center, "robust_z": z[i], "limits": band.limits} | nothing
+    roles = one_series.roles(z, core)
+    pick = lambda xs, role: [x for x, r in zip(xs, roles) if r == role and x is not None]
+    mean = lambda xs: sum(xs) / len(xs) if xs else None
+    event, base = pick(values, "event"), pick(values, "baseline")
+    event_weeks, baseline_weeks = pick(weeks, "event"), pick(weeks, "baseline")
     if metric in panel.columns:
-        tagged = P.with_role(panel, windows)
-        if population is not None:
-            tagged = tagged.where(population)
-        test = tests.with_welch(tagged.agg(*tests.moments(F.col(metric), F.col("role") == "event", "e"), *tests.moments(F.col(metric), F.col("role") == "baseline", "b"))).first()
+        said = F.col("week").cast("string")
+        tagged = panel.where(population) if population is not None else panel
+        test = tests.welch(*tests.sides(tagged.agg(*tests.moments(F.col(f"`{metric}`"), said.isin(event_weeks), "e"), *tests.moments(F.col(f"`{metric}`"), said.isin(baseline_weeks), "b")).first()))
     else:
-        tagged = weekly.join(F.broadcast(windows), "week")  # one row per week
-        test = tests.with_welch(tagged.agg(*tests.moments(F.col(metric), F.col("role") == "event", "e"), *tests.moments(F.col(metric), F.col("role") == "baseline", "b"))).first()
-    cross = series.first_crossing(series.cusum(z)).collect()
-    worst = (min if core["direction"] == "down" else max)(r["z"] for r in event)
+        test = tests.welch(tests.moments_of(event), tests.moments_of(base))
+    cross = one_series.first_crossing(values, z)
     ev, bs = mean(event), mean(base)
     return {
-        "verdict": "SIGNAL", "rule": core["rule"], "direction": core["direction"], "run_length": core["end_i"] - core["start_i"] + 1, "event_weeks": [str(r["week"]) for r in event], "baseline_weeks": [str(r["week"]) for r in base],
-        "event_value": ev, "baseline_value": bs, "delta": (ev or 0.0) - (bs or 0.0), "robust_z": worst, "limits": [rows[0]["lower"], rows[0]["upper"]], "first_crossing": str(cross[0]["week"]) if cross else None,
-        "p_value": test["p_value"], "ci_low": test["ci_low"], "ci_high": test["ci_high"], "series": [{"week": str(r["week"]), "value": r["value"], "z": r["z"], "in_event": r["role"] == "event"} for r in rows],
+        "verdict": "SIGNAL", "rule": core.rule, "direction": core.direction, "run_length": core.end - core.start + 1, "event_weeks": event_weeks, "baseline_weeks": baseline_weeks,
+        "event_value": ev, "baseline_value": bs, "delta": (ev or 0.0) - (bs or 0.0), "robust_z": (min if core.direction == "down" else max)(pick(z, "event")), "limits": band.limits, "first_crossing": weeks[cross] if cross is not None else None,
+        "p_value": test["p_value"], "ci_low": test["ci_low"], "ci_high": test["ci_high"], "series": [{"week": w, "value": v, "z": x, "in_event": r == "event"} for w, v, x, r in zip(weeks, values, z, roles)],
     }
 
 
@@ -121,18 +119,19 @@ def fulfilment(c: Context) -> dict:
     agg = [F.coalesce(F.sum(F.when(e, x)), F.lit(0.0)).alias("x_e"), F.count(F.when(e, x)).alias("n_e"), F.coalesce(F.sum(F.when(b, x)), F.lit(0.0)).alias("x_b"), F.count(F.when(b, x)).alias("n_b")]
     for m in ("delivery_days", "days_to_carrier"):
         agg.append((F.avg(F.when(e, F.col(m))) - F.avg(F.when(b, F.col(m)))).alias(m))
-    r = tests.with_two_proportion(done.agg(*agg), "x_e", "n_e", "x_b", "n_b").first().asDict()
+    r = tests.with_two_proportion(done.agg(*agg), "x_e", "n_e", "x_b", "n_b").drop("p_value").first().asDict()
     total, handling = r["delivery_days"] or 0.0, r["days_to_carrier"] or 0.0
     transit = (total - handling) / total if total else 0.0
-    dose = localize.dose_response(localize.segment_moments(c.panel, c.segments[0], ["on_time", "review_score"], F.col("delivered")), "on_time", "review_score").first().asDict()
-    lag = [x["lag"] for x in series.lead_lag(c.weekly, "on_time", "review_score").where("best").collect()]
-    temporal = 1.0 if lag and lag[0] > 0 else 0.65 if lag and lag[0] == 0 else 0.2
-    return verdict("fulfilment", "fulfilment", sure(r) and r["estimate"] < 0, (strength(r), temporal, abs(dose["r"]), abs(transit)), on_time=r, transit_share=transit, dose_response=dose, best_lag=lag[0] if lag else None)
+    dose = localize.dose_response(localize.segment_moments(c.panel, c.segments[0], ["on_time", "review_score"], F.col("delivered")), "on_time", "review_score").drop("p_value").first().asDict()
+    w = c.weekly.orderBy("week").select("on_time", "review_score").collect()  # one row a week
+    lag = one_series.best_lag([x["on_time"] for x in w], [x["review_score"] for x in w])
+    temporal = 0.2 if lag is None or lag < 0 else 0.65 if lag == 0 else 1.0
+    return verdict("fulfilment", "fulfilment", sure(r) and r["estimate"] < 0, (strength(r), temporal, abs(dose["r"]), abs(transit)), on_time=r, transit_share=transit, dose_response=dose, best_lag=lag)
 
 
 def customer_voice(c: Context) -> dict:
     """Complaints of late delivery rose more than other complaints, and in the segments that moved."""
-    t = {r["topic"]: r.asDict() for r in localize.topic_lift(c.panel, list(TOPICS)).collect()}
+    t = {r["topic"]: r.asDict() for r in localize.topic_lift(c.panel, list(TOPICS)).drop("p_value").collect()}
     focal = t.get("delivery_delay")
     if not focal:
         return verdict("customer_voice", "fulfilment")
@@ -147,10 +146,8 @@ def demand(c: Context) -> dict:
     rows = c.weekly.orderBy("week").select(F.col("week").cast("string").alias("week"), "orders").collect()
     ev = set(c.triage["event_weeks"])
     first = min(ev)
-    spark = c.panel.sparkSession
     e, b = [float(r["orders"]) for r in rows if r["week"] in ev], [float(r["orders"]) for r in rows if r["week"] < first][-8:]
-    sides = spark.createDataFrame([("e", v) for v in e] + [("b", v) for v in b], "side string, v double")
-    r = tests.with_welch(sides.agg(*tests.moments(F.col("v"), F.col("side") == "e", "e"), *tests.moments(F.col("v"), F.col("side") == "b", "b"))).first().asDict()
+    r = tests.welch(tests.moments_of(e), tests.moments_of(b))
     spike = sure(r) and r["estimate"] > 0
     return verdict("demand", "external", spike, (strength(r) if spike else 0.0, NEUTRAL, 0.5 * spike, 0.4 * spike), orders=r)
 
@@ -182,7 +179,7 @@ def table_feed(c: Context, segments: Sequence[str], values: Sequence[str]) -> di
     said = {x: F.col(f"`{x}`").cast("string") for x in dict.fromkeys([*segments, *values])}
     known = [F.when((F.trim(v) != "") & (F.lower(v) != "nan"), v).alias(x) for x, v in said.items()]
     parts = c.panel.where(F.col("role").isNotNull()).select("week", F.when(F.col("role") == "event", "recent").otherwise("prior").alias("part"), *known)
-    rows = integrity.rows_per_week(parts).first().asDict()
+    rows = integrity.row_shift(parts)
     nulls = max((r["shift"] or 0.0 for r in integrity.null_rates(parts, list(values)).collect()), default=0.0) if values else 0.0
     drift = max((r["drift"] for r in integrity.category_drift(parts, list(segments)).collect()), default=0.0) if segments else 0.0
     return feed_verdict([("row_volume", sure(rows) and rows["shift"] > GENERIC_LIMITS[0], rows["shift"]), ("missing_values", nulls > GENERIC_LIMITS[2], nulls), ("category_drift", drift > GENERIC_LIMITS[3], drift)], GENERIC_LIMITS[3])
@@ -281,7 +278,7 @@ def against_unexposed(c: Context, rows: DataFrame, moments: DataFrame, segment:
 def order_level(rows: DataFrame) -> dict:
     """Do late orders of the event score lower than those on time?"""
     w = rows.where(F.col("role") == "event").agg(*tests.moments(F.col("review_score"), F.col("on_time") == 0, "e"), *tests.moments(F.col("review_score"), F.col("on_time") == 1, "b"))
-    r = tests.with_welch(w).first().asDict()
+    r = tests.welch(*tests.sides(w.first()))
     return {"name": "order_level", "passed": bool(sure(r) and r["estimate"] < 0), **r}
 
 
@@ -366,9 +363,10 @@ def _run(c: Context, gate: dict, explain: Callable[[Context], list[dict]], chall
     c.panel, c.triage = P.with_role(c.panel, windows).where(F.col("role").isNotNull()).persist(), tri
     try:
         if c.metric in c.panel.columns and c.segments:
-            m = c.moments(c.segments[0])
-            scan = [r.asDict() for r in localize.segment_scan(m, c.metric).orderBy("delta", "segment").collect()]
-            out["localisation"] = {"decomposition": localize.mix_vs_rate(m, c.metric).first().asDict(), "segments": scan}
+            m = c.moments(c.segments[0]).persist()
+            scan, parts = at_once(lambda: [r.asDict() for r in localize.segment_scan(m, c.metric).orderBy("delta", "segment").collect()], lambda: localize.mix_vs_rate(m, c.metric).first().asDict())
+            m.unpersist()
+            out["localisation"] = {"decomposition": parts, "segments": scan}
             c.top_segments = [r["segment"] for r in scan if r["rejected"]][:8]
         mark("localise")
         out["verdicts"] = sorted(explain(c), key=lambda v: -v["score"])
