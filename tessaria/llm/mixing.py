@@ -14,11 +14,13 @@ one row per target.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import SparkFiles, TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,19 +35,26 @@ MAX_BROADCAST_RANGES = 500_000
 _loaded: dict = {}
 
 
+def ship_vocabulary(spark: SparkSession, folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> None:
+    """Lets Spark serve the rank file to every executor; only the driver needs the folder."""
+    if not os.path.exists(f"{folder}/{name}"):
+        raise FileNotFoundError(f"no vocabulary {folder}/{name}")
+    spark.sparkContext.addFile(f"{folder}/{name}")
+
+
 def tokenizer(folder: str = TOKENIZER_DIR, name: str = TOKENIZER):
-    """The public byte-level BPE of a rank file, loaded once per process."""
+    """The public byte-level BPE of a rank file, loaded once per process; in tasks, from what was shipped."""
     if (folder, name) not in _loaded:
         import tiktoken
 
-        with open(f"{folder}/{name}", "rb") as f:
+        with open(SparkFiles.get(name) if TaskContext.get() else f"{folder}/{name}", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _loaded[folder, name] = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _loaded[folder, name]
 
 
 def token_count(text: Column, folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> Column:
-    """Tokens of a whole text; 0 for null and empty ones."""
+    """Tokens of a whole text; 0 for null and empty ones. ship_vocabulary comes first."""
 
     @F.pandas_udf(T.LongType())
     def count(texts: pd.Series) -> pd.Series:
@@ -104,6 +113,7 @@ def source_key(c: Column) -> Column:
 def sized(docs: DataFrame, folder: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, n_tokens), one row per document, materialised. Repeated rows of an id are one document, its
     longest; documents without id, source or tokens cannot be drawn."""
+    ship_vocabulary(docs.sparkSession, folder, name)
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", source_key(F.col("source")).alias("source"), token_count(F.col("text"), folder, name).alias("n_tokens"))
     rows = rows.where(F.col("source").isNotNull() & (F.col("n_tokens") > 0))
     best = F.max(F.struct("n_tokens", "source")).alias("b")
