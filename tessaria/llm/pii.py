@@ -40,6 +40,8 @@ from tessaria.plans.materialize import cut
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 MAX_BROADCAST_TERMS = 500_000
+#: How far in front of a number a word announces it, and how many words a name has at most.
+NEAR_CHARS, NEAR_WORDS, NAME_WORDS = 40, 2, 8
 #: Thresholds. Bits above chance and share of a word's uses, for names; share of numbers of a revealing
 #: shape behind a word, the support and share under which a word is known to announce something else, and the share of
 #: announced numbers of a shape.
@@ -112,11 +114,11 @@ ANNOUNCED = {folded(w): k for k, ws in PRIOR.items() for w in ws}
 
 
 def words_before(f: str, start: int) -> list[str]:
-    """The two nearest words with a meaning between the number before and a place, the nearest first, with distances."""
-    near = f[max(0, start - 40) : start]
+    """The nearest NEAR_WORDS words with a meaning between the number before and a place, the nearest first, with distances."""
+    near = f[max(0, start - NEAR_CHARS) : start]
     digits = [m.end() for m in DIGIT.finditer(near)]
     found = [w for w in WORD.findall(near[digits[-1] if digits else 0 :]) if len(w) > 2 or w in SHORT_CUES]
-    return [f"{w}@{d}" for d, w in enumerate(reversed(found[-2:]), 1)]
+    return [f"{w}@{d}" for d, w in enumerate(reversed(found[-NEAR_WORDS:]), 1)]
 
 
 def shape_of(number: str) -> str:
@@ -258,7 +260,7 @@ def protected_terms(counts: DataFrame) -> DataFrame:
     known = spark.createDataFrame([("shape", x, k, CUE_SUPPORT) for k, xs in PRIOR_SHAPES.items() for x in xs], _COUNTS)
     shape = counts.where(F.col("what") == "shape").unionByName(known).groupBy(F.col("a").alias("shape")).agg(n("phone").alias("p"), n("id_number").alias("i"), F.sum("n").alias("all_n"))
     shape = shape.where((best >= CUE_SUPPORT) & (best / total_n >= SHAPE_SHARE)).select("shape", mine.alias("kind"), (best / total_n).alias("strength"))
-    prior = spark.createDataFrame([("cue", f"{folded(w)}@{d}", k, CUE_SUPPORT) for k, ws in PRIOR.items() for w in ws for d in (1, 2)], _COUNTS)
+    prior = spark.createDataFrame([("cue", f"{folded(w)}@{d}", k, CUE_SUPPORT) for k, ws in PRIOR.items() for w in ws for d in range(1, NEAR_WORDS + 1)], _COUNTS)
     seen = counts.where(F.col("what") == "cue").join(shape, F.col("b") == F.col("shape"), "left").select("what", "a", F.coalesce("kind", F.lit("?")).alias("b"), "n")
     cue = seen.unionByName(prior)
     cue = cue.groupBy(F.col("a").alias("term")).agg(n("phone").alias("p"), n("id_number").alias("i"), F.sum("n").alias("all_n"))
@@ -303,7 +305,7 @@ class Terms:
             j, end = i + 1, None
             if w in self.given and not (i and words[i - 1][2] in SHOPS):
                 last = b
-                while j < len(words) and j - i < 8:
+                while j < len(words) and j - i < NAME_WORDS:
                     x, y, v = words[j]
                     if f[last:x].strip(" .") or ("." in f[last:x] and last - words[j - 1][0] > 1):
                         break
