@@ -77,3 +77,18 @@ def test_control_limits(spark):
     df = spark.createDataFrame([(1, i, "c", float(v)) for i, v in enumerate([10, 11, 9, 10, 50, 10], 1)], "feed_id int, load_no int, column_name string, m double")
     out = {r.load_no: r.out_of_control for r in quality.control_limits(df, ["m"]).collect()}
     assert out == {1: False, 2: False, 3: False, 4: False, 5: True, 6: False}
+
+
+def test_declared_control_limits_are_issues(spark):
+    from dataclasses import replace
+
+    data = [r for load in range(1, 6) for r in rows(1, load)] + rows(1, 6, n=60)
+    checks = replace(quality.UPLOAD, declared=(), control=("n_rows", "max_number"))
+    found = quality.issues(spark.createDataFrame(data, SCHEMA), checks=checks).collect()
+    assert {(r.load_no, r.issue) for r in found} == {(6, "control_n_rows"), (6, "control_max_number")}
+    assert {r.column_name for r in found if r.issue == "control_n_rows"} == set(checks.columns)
+
+
+def test_the_state_holds_no_text(spark):
+    s = quality.value_state(spark.createDataFrame(base(1), SCHEMA))
+    assert [c for c, t in s.dtypes if t == "string"] == ["column_name"]
