@@ -79,6 +79,19 @@ def order_panel(spark: SparkSession, d: str, topics: bool = True, first: str | N
     return p
 
 
+_kept: dict[tuple[str, str], DataFrame] = {}
+
+
+def kept_panel(spark: SparkSession, d: str, force: bool = False) -> DataFrame:
+    """The panel of a folder, persisted once per application; force reads the tables anew."""
+    key = (spark.sparkContext.applicationId, d)
+    if force and key in _kept:
+        _kept.pop(key).unpersist()
+    if key not in _kept:
+        _kept[key] = order_panel(spark, d).persist()
+    return _kept[key]
+
+
 def mean_where(value: Column, when: Column) -> Column:
     return F.avg(F.when(when, number(value)))
 

@@ -85,3 +85,12 @@ def test_the_newest_uploads_are_kept(spark, tmp_path):
     with pytest.raises(KeyError):
         u.get(keys[0])
     assert len(list(tmp_path.iterdir())) == 2
+
+
+def test_a_panel_is_kept_by_folder(spark, small):
+    a = P.kept_panel(spark, small)
+    assert P.kept_panel(spark, small) is a and a.is_cached
+    b = P.kept_panel(spark, small, force=True)
+    assert b is not a and not a.is_cached
+    b.unpersist()
+    P._kept.clear()
