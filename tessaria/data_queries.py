@@ -174,6 +174,18 @@ cum AS (SELECT feed_id, column_name, load_no,
    sum(n) OVER (PARTITION BY feed_id, column_name, load_no ORDER BY number) / sum(n) OVER (PARTITION BY feed_id, column_name, load_no)
  - sum(b) OVER (PARTITION BY feed_id, column_name, load_no ORDER BY number) / nullif(sum(b) OVER (PARTITION BY feed_id, column_name, load_no), 0) AS diff FROM steps),"""
 
+_CHANGE = f"""
+WITH {_CELLS},
+loads AS (SELECT DISTINCT feed_id, load_no, column_name FROM cells WHERE NOT is_base),
+{_CHANGES}
+every AS (SELECT feed_id, load_no, column_name, count(DISTINCT {_FORMAT}) FILTER (NOT absent) AS n_formats FROM cells GROUP BY ALL),
+pat AS (SELECT feed_id, load_no, column_name, avg((known IS NULL)::INT) AS pattern_share FROM forms LEFT JOIN base_forms USING (feed_id, column_name, form)
+  WHERE NOT is_base AND (feed_id, column_name) IN (SELECT feed_id, column_name FROM base_forms) GROUP BY ALL),
+sets_c AS (SELECT feed_id, load_no, column_name, odd / size AS value_set_change FROM set_odd WHERE size > 0),
+dist AS (SELECT feed_id, load_no, column_name, dist AS distance FROM cat_d UNION ALL SELECT feed_id, load_no, column_name, max(abs(diff)) FROM cum GROUP BY ALL)
+SELECT feed_id::BIGINT AS feed_id, load_no::BIGINT AS load_no, column_name, n_formats, pattern_share, value_set_change, distance
+FROM every LEFT JOIN pat USING (feed_id, load_no, column_name) LEFT JOIN sets_c USING (feed_id, load_no, column_name) LEFT JOIN dist USING (feed_id, load_no, column_name)"""
+
 SQL = {
     "p2_found": f"""
 WITH {_CELLS}, {_FIGURES},
@@ -198,16 +210,7 @@ WITH {_CELLS}, {_FIGURES}
 SELECT feed_id::BIGINT AS feed_id, load_no::BIGINT AS load_no, column_name, n_rows, round(n_null / n_rows, 6) AS null_share, round(n_missing / n_rows, 6) AS missing_share,
        n_unique, min_number, max_number, min_length::BIGINT AS min_length, max_length::BIGINT AS max_length FROM figures""",
     "p2_change": f"""
-WITH {_CELLS},
-loads AS (SELECT DISTINCT feed_id, load_no, column_name FROM cells WHERE NOT is_base),
-{_CHANGES}
-every AS (SELECT feed_id, load_no, column_name, count(DISTINCT {_FORMAT}) FILTER (NOT absent) AS n_formats FROM cells GROUP BY ALL),
-pat AS (SELECT feed_id, load_no, column_name, avg((known IS NULL)::INT) AS pattern_share FROM forms LEFT JOIN base_forms USING (feed_id, column_name, form)
-  WHERE NOT is_base AND (feed_id, column_name) IN (SELECT feed_id, column_name FROM base_forms) GROUP BY ALL),
-sets_c AS (SELECT feed_id, load_no, column_name, odd / size AS value_set_change FROM set_odd WHERE size > 0),
-dist AS (SELECT feed_id, load_no, column_name, dist AS distance FROM cat_d UNION ALL SELECT feed_id, load_no, column_name, max(abs(diff)) FROM cum GROUP BY ALL)
-SELECT feed_id::BIGINT AS feed_id, load_no::BIGINT AS load_no, column_name, n_formats, round(pattern_share, 6) AS pattern_share, round(value_set_change, 6) AS value_set_change, round(distance, 6) AS distance
-FROM every LEFT JOIN pat USING (feed_id, load_no, column_name) LEFT JOIN sets_c USING (feed_id, load_no, column_name) LEFT JOIN dist USING (feed_id, load_no, column_name)""",
+SELECT feed_id, load_no, column_name, n_formats, round(pattern_share, 6) AS pattern_share, round(value_set_change, 6) AS value_set_change, round(distance, 6) AS distance FROM ({_CHANGE})""",
     "p2_control_limits": f"""
 WITH {_CELLS}, {_FIGURES},
 long AS (SELECT feed_id, load_no, column_name, unnest([
@@ -219,6 +222,16 @@ SELECT feed_id::BIGINT AS feed_id, load_no::BIGINT AS load_no, column_name, metr
        coalesce(n >= 3 AND abs(value - center) > 3 * spread + 1e-9, false) AS out_of_control FROM lim""",
 }
 
+SQL["p2_change_limits"] = f"""
+WITH change AS ({_CHANGE}),
+{_CELLS}, {_FIGURES},
+long AS (SELECT feed_id, load_no, column_name, unnest([{{'metric': 'min_number', 'value': min_number}}]) AS u FROM figures
+  UNION ALL SELECT feed_id, load_no, column_name, unnest([{{'metric': 'n_formats', 'value': n_formats::DOUBLE}}, {{'metric': 'pattern_share', 'value': pattern_share::DOUBLE}}, {{'metric': 'value_set_change', 'value': value_set_change::DOUBLE}}, {{'metric': 'distance', 'value': distance::DOUBLE}}]) FROM change),
+lim AS (SELECT feed_id, load_no, column_name, u.metric AS metric, u.value AS value, avg(u.value) OVER w AS center, stddev_samp(u.value) OVER w AS spread, count(u.value) OVER w AS n
+   FROM long WINDOW w AS (PARTITION BY feed_id, column_name, u.metric ORDER BY load_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT feed_id::BIGINT AS feed_id, load_no::BIGINT AS load_no, column_name, metric, round(value, 4) AS value, round(center, 4) AS center, round(spread, 4) AS spread,
+       coalesce(n >= 3 AND abs(value - center) > 3 * spread + 1e-9, false) AS out_of_control FROM lim"""
+
 _REFS = """
 refs AS (
   SELECT 'olist_order_items_dataset' AS child_table, 'order_id' AS ref_column, 'olist_orders_dataset' AS parent, lower(trim(order_id)) AS k, loaded_at FROM olist_order_items_dataset
