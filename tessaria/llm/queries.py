@@ -239,6 +239,27 @@ p AS (SELECT nullif(lower(trim(order_id)), '') AS order_id, review_text AS t, {l
 SELECT DISTINCT order_id FROM p JOIN shown USING (order_id, look) JOIN one USING (order_id) WHERE t <> u"""
 
 
+def _groups_sql() -> str:
+    look = lambda c: f"md5(trim(regexp_replace({_canonical(c)}, '\\s+', ' ', 'g')))"
+    return f"""
+WITH t AS (SELECT review_text AS t, {look("review_text")} AS look FROM panel WHERE review_text IS NOT NULL
+  UNION ALL SELECT review_comment_message, {look("review_comment_message")} FROM {REVIEWS} WHERE review_comment_message IS NOT NULL)
+SELECT look, count(*) AS n_rows, count(DISTINCT t) AS n_forms FROM t GROUP BY 1 HAVING count(DISTINCT t) > 1"""
+
+
+def _clean_sql(table_name: str, columns: str, column: str) -> str:
+    """Line by line; joiners and selectors behind an emoji are put aside as private signs and put back."""
+    emoji = "[\\x{2600}-\\x{27bf}\\x{2b00}-\\x{2bff}\\x{1f000}-\\x{1faff}\\x{e000}\\x{e001}]"
+    text = f"regexp_replace({column}, '\\r\\n|[\\r\\x0b\\x0c\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g')"
+    text = f"regexp_replace(replace({text}, chr(9), ' '), '[\\x00-\\x08\\x0e-\\x1f\\x7f]', '', 'g')"
+    for _ in range(3):
+        for code, private in (("200d", 0xE000), ("fe0f", 0xE001)):
+            text = f"regexp_replace({text}, '({emoji})\\x{{{code}}}', '\\1' || chr({private}), 'g')"
+    lines = f"list_transform(string_split({_canonical('t')}, chr(10)), lambda l: trim(regexp_replace(l, ' +', ' ', 'g'), ' '))"
+    back = f"translate(array_to_string({lines}, chr(10)), chr({0xE000}) || chr({0xE001}), chr({0x200D}) || chr({0xFE0F}))"
+    return f"WITH a AS (SELECT {columns}, {text} AS t FROM {table_name}) SELECT * EXCLUDE (t), nfc_normalize({back}) AS {column} FROM a"
+
+
 def _leaks_sql() -> str:
     ws = lambda c: f"regexp_extract_all(strip_accents(lower({_canonical(c)})), '{_WORDS}')"
     runs = f"unnest(list_transform(range(1, len(w) - {leakage.LEAST - 2}), lambda i: array_to_string(w[i:i + {leakage.LEAST - 1}], ' ')))"
@@ -270,6 +291,9 @@ SQL |= {
     "p4_found": _terms_sql("SELECT order_id, term FROM p WHERE tf >= 2 AND df BETWEEN 2 AND 8"),
     "p4_term_scores": _terms_sql("SELECT order_id, term, tf, df, cf, round(ridf, 6) AS ridf, round(tf * ridf, 6) AS score FROM p"),
     "p6_found": _looks_sql(),
+    "p6_equal_look_groups": _groups_sql(),
+    "p6_canonical_reviews": _clean_sql(REVIEWS, "nullif(lower(trim(review_id)), '') AS review_id, nullif(lower(trim(order_id)), '') AS order_id", "review_comment_message"),
+    "p6_canonical_panel": _clean_sql("panel", "nullif(lower(trim(order_id)), '') AS order_id", "review_text"),
     "p8_found": _leaks_sql(),
     "p10_plain_figures": _figures_sql(),
 }
